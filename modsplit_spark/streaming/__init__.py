@@ -1,0 +1 @@
+"""The work re-expressed here is batch only; there is no stream to process."""
