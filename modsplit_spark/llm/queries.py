@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modsplit_spark.llm import language_id, sharding, simhash, toxicity, url_filter
+from modsplit_spark.llm import language_id, packing, sharding, simhash, toxicity, url_filter, webp
 
 #: The rules that op5 judges by, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,10 +25,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(_read(spark, sf_dir, "documents"))
 
@@ -59,8 +67,10 @@ FROM parts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
+        "op3_media": op3_media,
         "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
+        "op6_packing": op6_packing,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
     }
