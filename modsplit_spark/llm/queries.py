@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modsplit_spark.llm import language_id, packing, sharding, simhash, toxicity, url_filter, webp
+from modsplit_spark.llm import language_id, packing, sharding, simhash, substring_dedup, toxicity, url_filter, webp
 
 #: The rules that op5 judges by, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -45,6 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, t=2)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -64,6 +68,28 @@ FROM parts
 """
 
 
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i+19], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM starts) WHERE r > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM late) GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed, ws, js FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id),
+word AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM kept),
+lost AS (SELECT doc_id, unnest(js) AS j FROM gone),
+text AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.j) AS t
+  FROM word LEFT JOIN lost ON word.doc_id = lost.doc_id AND word.j = lost.j WHERE lost.j IS NULL GROUP BY word.doc_id)
+SELECT kept.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM kept LEFT JOIN text ON kept.doc_id = text.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
@@ -73,8 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op10_substring_dedup": OP10_SQL}
