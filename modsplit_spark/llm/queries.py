@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modsplit_spark.llm import language_id, packing, sharding, simhash, substring_dedup, toxicity, url_filter, webp
+from modsplit_spark.llm import decontamination, html_template, language_id, packing, sharding, simhash, substring_dedup, toxicity, url_filter, webp
 
 #: The rules that op5 judges by, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=16)
 
@@ -37,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(_read(spark, sf_dir, "documents"))
 
@@ -92,11 +100,13 @@ FROM kept LEFT JOIN text ON kept.doc_id = text.doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
         "op3_media": op3_media,
         "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
+        "op7_html_extraction": op7_html_extraction,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_substring_dedup": op10_substring_dedup,

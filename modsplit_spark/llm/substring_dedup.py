@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -254,3 +255,29 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False) -> DataFrame
     joined = keyed.join(places.hint("shuffle_merge"), ["doc", "crc"], "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias("doc_id"), "text", "places")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
     return joined.mapInArrow(_finish, schema + ", kept_text string") if with_text else joined.mapInArrow(_digest, schema)
+
+
+def _cut(batches):
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        plain = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, batch.column(batch.schema.get_field_index("_places"))], ["id", "text", "places"])
+        done = next(_finish(iter([plain])))
+        rest = batch.drop_columns(["_places"])
+        at = rest.schema.get_field_index("text")
+        new = rest.set_column(at, "text", done.column("kept_text"))
+        sizes = pa.compute.coalesce(pa.compute.utf8_length(done.column("kept_text")), 0)
+        if "n_chars" in rest.schema.names:
+            changed = pa.compute.greater(done.column("n_removed"), 0)
+            i = rest.schema.get_field_index("n_chars")
+            new = new.set_column(i, "n_chars", pa.compute.if_else(changed, pa.compute.cast(sizes, rest.schema.field(i).type), rest.column(i)))
+        yield new.filter(pa.compute.or_(pa.compute.equal(done.column("n_removed"), 0), pa.compute.greater(sizes, 0)))
+
+
+def cut_repeats(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, without the words that ``dedup_substrings`` removes (n_chars follows the
+    text). A text that loses all its words goes; one that loses none is unchanged."""
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"))
+    keyed = documents.select(*key, "*")
+    places = removed_places(keyed.where("text is not null").select("doc", "crc", "text")).withColumnRenamed("places", "_places")
+    joined = keyed.join(places.hint("shuffle_merge"), ["doc", "crc"], "left").select(*[documents[c] for c in documents.columns], "_places")
+    return joined.mapInArrow(_cut, documents.schema)

@@ -228,3 +228,14 @@ def score_held_out(documents: DataFrame, labels: DataFrame, folds: int = 4, held
     """The digest of ``op4``: every document scored by a model that has not learnt from the held-out fold."""
     found = score(documents, fit(documents, labels, folds, held_out))
     return found.select("doc_id", F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def _kept(batches, model: dict):
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        yield batch.filter(pa.array(score_texts([_prepared(t) for t in texts], model) < THRESHOLD))
+
+
+def keep_clean(documents: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``documents``, all columns, whose text scores under the threshold."""
+    return documents.mapInArrow(partial(_kept, model=model), documents.schema)
