@@ -6,8 +6,8 @@ class) becomes one symbol. Names are 64-bit hashes of what they stand for, so th
 round give equal content the same name without a shared dictionary. Whether two neighbours merge
 depends on them alone; so of equal passages all symbols are equal but a few words from either end.
 Two rounds give symbols of at most four words, and every window of 20 words holds some within
-the part where equal windows must agree. The longest of those, and of equally
-long ones that with the least name, is the window's anchor.
+the part where equal windows must agree. The longest of those in bytes, and of
+equally long ones that with the least name, is the window's anchor.
 
 Consecutive windows with one anchor make a segment, about five to seven windows long. Spark gathers
 segments by anchor name: a name that occurs once holds no repeat. Where all segments of a name have the same
@@ -60,7 +60,7 @@ def recompress(name: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return name, start
 
 
-def anchors(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray, owner: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every window start (a word with 19 more of its text after it) its anchor's name; whether it is
     a window; and the names that recur so closely that a segment may hold equal windows."""
     n = len(words)
@@ -70,8 +70,10 @@ def anchors(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
         last_of_text = np.append(owner[start[1:]] != owner[start[:-1]], True)
         ends = np.searchsorted(owner, owner[start[last_of_text]], "right")
         size[last_of_text] = ends - start[last_of_text]
-    # Long symbols come first, as they recur less by chance: the top bits hold what a symbol lacks of the longest.
-    name = (name >> np.uint64(2)) | ((LONGEST - size).astype(np.uint64) << np.uint64(62))
+    # Long symbols come first, as they recur less by chance: the top bits hold what a symbol lacks of 63 bytes.
+    total = np.concatenate([[0], np.cumsum(word_bytes)])
+    lack = 63 - np.minimum(63, total[start + size] - total[start])
+    name = (name >> np.uint64(6)) | (lack.astype(np.uint64) << np.uint64(58))
     values = [np.full(n + 2 * WINDOW, FAR) for _ in range(LONGEST)]
     for longest in range(1, LONGEST + 1):
         fits = size <= longest
@@ -95,8 +97,8 @@ def anchors(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     """All segments of a chunk in document order, each with its anchor name, content hash, text, first window
     (counted in its text), number of windows, and whether its windows must be compared one by one."""
-    words, owner, *_ = word_hashes(texts)
-    least, valid, close = anchors(words, owner)
+    words, owner, begin, stop, _ = word_hashes(texts)
+    least, valid, close = anchors(words, owner, stop - begin)
     before = np.concatenate([[False], valid[:-1] & (least[1:] == least[:-1]) & (owner[1:] == owner[:-1])]) if len(words) else np.zeros(0, bool)
     first = np.flatnonzero(valid & ~before)
     ends = np.flatnonzero(valid & ~np.append(valid[1:] & before[1:], False)) + 1 if len(words) else first
@@ -152,13 +154,15 @@ def _first_pass(batches):
         doc, check = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         text = s["text"][order]
         none = np.full(len(several), 0, np.int64)
+        places = _place(s["at"], s["size"])[order]
+        own = mix(places.view(np.uint64) ^ mix(doc[text].view(np.uint64) ^ (check[text].view(np.uint64) << np.uint64(32)))) | np.uint64(1 << 63)
         columns = [
             np.concatenate([kind, np.full(len(several), MARK)]).astype(np.int8),
-            np.concatenate([s["name"][order], several]).view(np.int64),
+            np.concatenate([np.where(kind == SINGLE, s["name"][order], own), several]).view(np.int64),
             np.concatenate([s["content"][order].view(np.int64), none]),
             np.concatenate([doc[text], none]),
             np.concatenate([check[text], none]),
-            np.concatenate([_place(s["at"], s["size"])[order], none]),
+            np.concatenate([places, none]),
         ]
         yield from pa.table([pa.array(c) for c in columns], ["kind", "name", "content", "doc", "crc", "place"]).to_batches(1 << 16)
 
@@ -180,8 +184,12 @@ def _second_pass(batches):
         gone = np.zeros(len(at), bool)
         gone[order[again]] = True
         doc, check = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        # Neighbouring settled windows leave as one run.
+        head = ~gone | np.concatenate([[True], ~gone[:-1] | (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
+        size = np.diff(np.append(np.flatnonzero(head), len(at)))
+        at, a, b, gone = at[head], a[head], b[head], gone[head]
         text = owner[at]
-        place = _place(at - text_first[text], np.ones(len(at), np.int64))
+        place = _place(at - text_first[text], size)
         # Settled windows get hashes of their place, so that a common window does not draw them together.
         a = np.where(gone, mix(place.view(np.uint64) ^ mix(doc[text].view(np.uint64))), a).view(np.int64)
         b = np.where(gone, np.uint64(0), b).view(np.int64)
@@ -218,21 +226,21 @@ def _digest(batches):
 def removed_places(texts: DataFrame) -> DataFrame:
     """``(doc, crc, places)``: of each text with repeats, the starts and lengths of runs of windows that go.
 
-    ``texts`` has doc (long), crc (long) and text, none of them null."""
-    segs = materialize(texts.mapInArrow(_first_pass, "kind byte, name long, content long, doc long, crc long, place long"), "segments")
+    ``texts`` has doc (long), crc (long), neither null, and text."""
+    segs = texts.where("text is not null").mapInArrow(_first_pass, "kind byte, name long, content long, doc long, crc long, place long")
     where = F.struct("doc", "crc", "place")
     by_name, by_content = W.partitionBy("name"), W.partitionBy("name", "content")
-    shared = (
-        segs.where(F.col("kind") <= MARK)
-        .withColumn("rows", F.count("*").over(by_name))
-        .where("rows > 1")
+    # Settled and open segments only pass through: their names are hashes of their places.
+    found = (
+        segs.withColumn("rows", F.count("*").over(by_name))
+        .where((F.col("rows") > 1) | (F.col("kind") >= OPEN))
         .withColumn("several", F.max((F.col("kind") == MARK).cast("int")).over(by_name) + (F.max("content").over(by_name) != F.min("content").over(by_name)).cast("int"))
-        .where(F.col("kind") == SINGLE)
+        .where(F.col("kind") != MARK)
         .withColumn("again", where > F.min(where).over(by_content))
-        .select("doc", "crc", "place", F.when(F.col("again"), GONE).when(F.col("several") > 0, OPEN).alias("kind"))
+        .select("doc", "crc", "place", F.when(F.col("kind") >= OPEN, F.col("kind").cast("int")).when(F.col("again"), GONE).when(F.col("several") > 0, OPEN).alias("kind"))
         .where("kind is not null")
     )
-    found = materialize(shared.unionByName(segs.where(F.col("kind") >= OPEN).select("doc", "crc", "place", F.col("kind").cast("int").alias("kind"))), "shared-segments")
+    found = materialize(found, "shared-segments")
     # Both joins with the texts read one exchange of them: they need the same columns by the same key.
     opened = found.where(F.col("kind") == OPEN).groupBy("doc", "crc").agg(F.collect_list("place").alias("places"))
     windows = texts.join(opened.hint("shuffle_merge"), ["doc", "crc"]).select("doc", "crc", "text", "places").mapInArrow(_second_pass, "gone boolean, a long, b long, doc long, crc long, place long")
@@ -251,7 +259,7 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False) -> DataFrame
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("string").alias("text"))
     keyed = keyed.select("doc", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"), "text")
-    places = removed_places(keyed.where("text is not null"))
+    places = removed_places(keyed)
     joined = keyed.join(places.hint("shuffle_merge"), ["doc", "crc"], "left").select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).cast(kind).alias("doc_id"), "text", "places")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
     return joined.mapInArrow(_finish, schema + ", kept_text string") if with_text else joined.mapInArrow(_digest, schema)
@@ -278,6 +286,6 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
     text). A text that loses all its words goes; one that loses none is unchanged."""
     key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"))
     keyed = documents.select(*key, "*")
-    places = removed_places(keyed.where("text is not null").select("doc", "crc", "text")).withColumnRenamed("places", "_places")
+    places = removed_places(keyed.select("doc", "crc", "text")).withColumnRenamed("places", "_places")
     joined = keyed.join(places.hint("shuffle_merge"), ["doc", "crc"], "left").select(*[documents[c] for c in documents.columns], "_places")
     return joined.mapInArrow(_cut, documents.schema)
