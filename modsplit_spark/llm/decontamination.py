@@ -29,9 +29,9 @@ from modsplit_spark.llm.wordhash import mix, word_hashes
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-WALKS, SAMPLES, PLACES = 8, 6, 2
+WALKS, SAMPLES, PLACES = 4, 8, 3
 ITEMS_PER_BLOCK = 20_000
-CHUNK_BYTES = 2 << 20
+HASHED_BYTES, CHUNK_BYTES = 1 << 20, 8 << 20
 SEED = 77
 #: ASCII marks count as blanks.
 MARKS = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
@@ -62,19 +62,23 @@ def walk_keys(windows: np.ndarray) -> np.ndarray:
     """LSH keys (tables x windows) of equally long word sequences, one a row."""
     n, length = windows.shape
     rng = np.random.default_rng(SEED + length)
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    rows, out = np.arange(n), []
+    flat = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1).ravel()
+    begin, out = np.arange(n) * (length + 1), []
+    end = begin + length
     for walk in range(WALKS):
         places = rng.integers(0, 3 * length, (SAMPLES, PLACES))
-        salts = rng.integers(1, 1 << 62, 3 * length).astype(np.uint64)
+        salts = rng.integers(0, 1 << 62, 3 * length).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         keys = np.full((SAMPLES, n), walk + 1, np.uint64)
-        at = np.zeros(n, np.int64)
-        last = int(places.max())
-        for step in range(last + 1):
-            word = padded[rows, at]
-            for i, j in np.argwhere(places == step):
-                keys[i] += mix(word ^ np.uint64(0x51ED270B * (int(j) + 1)))
-            at = np.minimum(at + (mix(word ^ salts[step]) & np.uint64(1)).astype(np.int64), length)
+        at = begin
+        wanted: dict[int, list[tuple[int, int]]] = {}
+        for i, j in np.ndindex(places.shape):
+            wanted.setdefault(int(places[i, j]), []).append((i, j))
+        for step in range(max(wanted) + 1):
+            word = flat[at]
+            for i, j in wanted.get(step, ()):
+                keys[i] += mix(word ^ np.uint64(0x51ED270B * (j + 1)))
+            # The walk moves by the top bit of a product of the word and the step's odd number, up to the blank at the end.
+            at = np.minimum(at + (word * salts[step] >> np.uint64(63)).astype(np.int64), end)
         out.append(mix(keys + np.arange(SAMPLES, dtype=np.uint64)[:, None]))
     return np.concatenate(out)
 
@@ -184,7 +188,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def occurrences(item: np.ndarray, most: int, text: np.ndarray, base: int) -> list[tuple[int, int, int]]:
     """(start, end, distance) of stretches of ``text`` within ``most`` edits that do not overlap, best first and then on either side."""
-    if len(text) < len(item) - most:
+    # Every word of the item that the text lacks costs an edit.
+    if len(text) < len(item) - most or np.count_nonzero(np.isin(item, text)) < len(item) - most:
         return []
     distance, start, end = align(item, text)
     if distance > most:
@@ -195,7 +200,14 @@ def occurrences(item: np.ndarray, most: int, text: np.ndarray, base: int) -> lis
 
 def leaks(texts: list[bytes], index: Index) -> list[tuple[int, object, int, int, int, int]]:
     """(text, item id, first word in its text, words, edits, words of the item) for every leak in a chunk."""
-    words, owner, *_ = word_hashes(texts, MARKS)
+    parts, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= HASHED_BYTES or i == len(texts) - 1:
+            words, owner, *_ = word_hashes(texts[first : i + 1], MARKS)
+            parts.append((words, owner + first))
+            first, size = i + 1, 0
+    words, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     regions: dict[tuple[int, int], list[list[int]]] = {}
     for item, start in sorted(lsh_candidates(words, owner, bounds, index)):
