@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CUT = "\u0001"
 
@@ -113,7 +114,6 @@ def porter(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
 def _stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(porter)
 
@@ -123,7 +123,7 @@ def termize(names: DataFrame, stem: bool = True) -> DataFrame:
     tokens = names.withColumn("_tokens", split_identifier(F.col("name")))
     if not stem:
         return tokens.withColumn("terms", F.col("_tokens")).withColumn("doc", normalize_name(F.col("terms"))).drop("_tokens")
-    stems = tokens.select(F.explode("_tokens").alias("_t")).distinct().withColumn("_s", _stems("_t"))
+    stems = tokens.select(F.explode("_tokens").alias("_t")).distinct().withColumn("_s", F.pandas_udf(_stems, T.StringType())("_t"))
     distinct = tokens.select("name", F.posexplode("_tokens").alias("_i", "_t")).distinct().join(stems, "_t")
     terms = distinct.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda x: x["_s"]).alias("terms"))
     joined = tokens.join(terms, "name", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
