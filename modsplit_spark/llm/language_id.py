@@ -33,7 +33,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     if k <= 5:
         bits = max(1, 2 ** (k - 1) - 1)
         return np.array([[1 if i == 0 or (b >> (i - 1)) & 1 == 0 else -1 for b in range(1, bits + 1)] for i in range(k)], np.float64)
-    rng, best = np.random.default_rng(seed), (-1.0, None)
+    rng, best = np.random.default_rng(seed), (-np.inf, None)
     for _ in range(50):
         code = rng.choice([-1.0, 1.0], (k, 10 + 6 * int(np.ceil(np.log2(k)))))
         code = code[:, np.abs(code.sum(axis=0)) < k]
