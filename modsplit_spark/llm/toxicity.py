@@ -74,28 +74,40 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _word_grams(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of each word, from the separator before it to the one after it, and where each word's start."""
     a, first = joined_points(distinct)
-    found = []
+    lengths = np.diff(first) - 1
+    word_at = np.repeat(np.arange(len(distinct), dtype=np.int32), lengths + 1)  # of the separator before a word and its characters
+    words_of, flat = [], []
     for n, g in grams(a, SIZES, BUCKET_BITS):
-        at = np.arange(len(g))
-        word = np.searchsorted(first - 1, at, "right") - 1
-        whole = at + n <= first[np.minimum(word + 1, len(first) - 1)]
-        found.append((word[whole], g[whole]))
-    word, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = np.arange(min(len(g), len(word_at)))
+        word = word_at[: len(at)]
+        whole = at + n <= first[word + 1]
+        words_of.append(word[whole])
+        flat.append(g[: len(at)][whole])
+    word, flat = np.concatenate(words_of), np.concatenate(flat)
     order = np.argsort(word, kind="stable")
     return flat[order], np.searchsorted(word[order], np.arange(len(distinct) + 1))
 
 
 class _Sums:
-    """Sums of rows by key, as one sorted pass. Keys must all occur."""
+    """Sums of rows by key, in sorted passes over ``BLOCK`` rows at a time. Keys must all occur; row ``at[i]`` counts for the i-th key."""
 
-    def __init__(self, keys: np.ndarray):
-        self.order = None if np.all(keys[1:] >= keys[:-1]) else np.argsort(keys, kind="stable")
-        keys = keys if self.order is None else keys[self.order]
+    BLOCK = 1 << 19
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray):
+        if not np.all(keys[1:] >= keys[:-1]):
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+        self.at = at.astype(np.int32)
         self.starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        cuts = np.searchsorted(self.starts, np.arange(0, len(keys), self.BLOCK))
+        self.cuts = np.unique(np.append(cuts, len(self.starts)))
 
-    def __call__(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Row ``at[i]`` of ``rows`` counts for the i-th key."""
-        return np.add.reduceat(rows[at if self.order is None else at[self.order]], self.starts, axis=0)
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(self.starts), rows.shape[1]), rows.dtype)
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            lo, hi = self.starts[a], self.starts[b] if b < len(self.starts) else len(self.at)
+            out[a:b] = np.add.reduceat(rows[self.at[lo:hi]], self.starts[a:b] - lo, axis=0)
+        return out
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 40, seed: int = 5) -> dict:
@@ -114,17 +126,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 40, seed: int = 5)
         return empty
     per_word = np.maximum(np.diff(offsets), 1)[:, None].astype(np.float32)
     n_words, n_texts = len(per_word), len(learnt)
-    gram_word = np.repeat(np.arange(n_words), np.diff(offsets))
+    gram_word = np.repeat(np.arange(n_words, dtype=np.int32), np.diff(offsets))
     # Texts of each bucket: distinct (text, word) pairs carry the word's buckets.
     pairs = np.unique(text_of[window_of] * n_words + word_of)
     texts_of_word = np.bincount(pairs % n_words, minlength=n_words)
     frequent = np.bincount(flat, texts_of_word[gram_word], 1 << BUCKET_BITS)[flat] >= max(MIN_TEXTS, MIN_SHARE * n_texts)
     used, ids = np.unique(flat[frequent], return_inverse=True)
     # Bucket 0 stays zero and stands for what is left out, so that every word has a gram.
-    flat = np.concatenate([np.zeros(n_words, np.int64), ids + 1])
-    gram_word = np.concatenate([np.arange(n_words), gram_word[frequent]])
-    by_word, by_bucket = _Sums(gram_word), _Sums(flat)
-    by_window, by_running = _Sums(window_of), _Sums(word_of)
+    flat = np.concatenate([np.zeros(n_words, np.int32), ids.astype(np.int32) + 1])
+    gram_word = np.concatenate([np.arange(n_words, dtype=np.int32), gram_word[frequent]])
+    by_word, by_bucket = _Sums(gram_word, flat), _Sums(flat, gram_word)
+    by_window, by_running = _Sums(window_of, word_of), _Sums(word_of, window_of)
+    del flat, gram_word, ids, frequent, pairs
     window_size = np.bincount(window_of)[:, None].astype(np.float32)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used) + 1, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
@@ -135,8 +148,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 40, seed: int = 5)
     share = np.where(y_text == 1, 0.5 / max(1, (y_text == 1).sum()), 0.5 / max(1, (y_text == 0).sum()))[text_of]
     for epoch in range(1, epochs + 1):
         emb, soft, bias = params
-        word_vec = by_word(emb, flat) / per_word
-        win_vec = by_window(word_vec, word_of) / window_size
+        word_vec = by_word(emb) / per_word
+        win_vec = by_window(word_vec) / window_size
         logits = win_vec @ soft + bias
         p = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
         # Of a toxic text the windows share its weight by their odds; of a clean one equally, the worst counting again.
@@ -147,8 +160,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 40, seed: int = 5)
         alpha = np.where(y == 1, by_odds, 0.5 / in_text + 0.5 * (p == top[text_of]))
         g = (((p - y) * alpha * share)[:, None] * np.array([[-1.0, 1.0]])).astype(np.float32)
         d_win = (g @ soft.T) / window_size
-        d_word = by_running(d_win, window_of) / per_word
-        grads = [by_bucket(d_word, gram_word) + DECAY * emb, win_vec.T @ g, g.sum(axis=0)]
+        d_word = by_running(d_win) / per_word
+        grads = [by_bucket(d_word) + DECAY * emb, win_vec.T @ g, g.sum(axis=0)]
         grads[0][0] = 0
         for q, d, (m, v) in zip(params, grads, state, strict=True):
             m += 0.1 * (d - m)
@@ -174,7 +187,7 @@ def _shift(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_label: int = 1200) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_label: int = 500) -> dict:
     """The model, from at most ``per_label`` texts of each label outside the held-out fold.
 
     Rows whose doc_id, text or label is null are not learnt from; a doc_id that is labelled twice counts as toxic if once."""
