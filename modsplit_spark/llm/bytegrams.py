@@ -12,6 +12,13 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[np.frombuffer(b"\x00\t\n\v\f\r ,.;:?\"()[]{}|", np.uint8)] = True
 
 
+def parts(batches, rows: int = 512) -> Iterator:
+    """Arrow batches cut to at most ``rows`` rows, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[bytes] | list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``SLICE_BYTES`` in all; a longer text is alone."""
     start = total = 0

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.llm.wordhash import mix, word_hashes
 
 SIMILARITY = 0.8
@@ -227,7 +228,7 @@ def leaks(texts: list[bytes], index: Index) -> list[tuple[int, object, int, int,
 
 
 def _found(batches, index: Index, item_type):
-    for batch in batches:
+    for batch in parts(batches, 2048):
         texts, start = [_prepared(t) for t in batch.column(1).to_pylist()], 0
         while start < len(texts):
             end, size = start, 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modsplit_spark.llm.bytegrams import grams, joined, slices
+from modsplit_spark.llm.bytegrams import grams, joined, parts, slices
 from modsplit_spark.llm.sampling import fold, sample_ids
 
 SIZES = range(1, 4)
@@ -132,7 +132,7 @@ def fit(documents: DataFrame, folds: int = 3, held_out: int = 1, per_label: int
 
 
 def _predicted(batches, model: dict):
-    for batch in batches:
+    for batch in parts(batches):
         raw = batch.column(1).to_pylist()
         known = np.array([t is not None and any(map(str.isalpha, t)) for t in raw], bool)
         langs, score, unsure = np.full(len(raw), UNKNOWN, object), np.zeros(len(raw)), np.zeros(len(raw), bool)

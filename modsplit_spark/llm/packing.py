@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.sources.workspace import materialize
 
 LENGTH = 1024
 FINE = 128
 GROUP = 8192
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 200_000
 KEPT_CHARS = 48
 SPECIAL = "<|"
 
@@ -102,7 +103,7 @@ def _table(files: tuple[str, str, str] | None) -> ChunkIds:
 
 def _pieces(batches, files):
     table, checked = _table(files), False
-    for batch in batches:
+    for batch in parts(batches):
         texts = batch.column(1).to_pylist()
         rows, starts, lengths, crcs, totals = [], [], [], [], []
         for i, text in enumerate(texts):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.operators.components import connected_components
 from modsplit_spark.sources.workspace import materialize
 
@@ -57,7 +58,7 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def _fingerprints(batches, words: int):
-    for batch in batches:
+    for batch in parts(batches):
         prints = pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "print"])
 

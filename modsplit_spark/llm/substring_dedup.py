@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.llm.wordhash import BASES, mix, range_hash, range_sums, word_hashes
 from modsplit_spark.sources.workspace import materialize
 
@@ -124,7 +125,7 @@ def settle(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _chunks(batches) -> Iterator[list[tuple[int, int, bytes, object]]]:
     """Rows (doc, text hash, text, extra column or None) in chunks of about CHUNK_BYTES, in document order, equal rows once."""
     held, size = {}, 0
-    for batch in batches:
+    for batch in parts(batches):
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for row in zip(*columns, strict=True):
             key = row[:2]
@@ -198,7 +199,7 @@ def _second_pass(batches):
 
 def _finish(batches):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    for batch in batches:
+    for batch in parts(batches):
         out = []
         for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -266,7 +267,7 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False) -> DataFrame
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in parts(batches):
         texts = batch.column(batch.schema.get_field_index("text"))
         plain = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, batch.column(batch.schema.get_field_index("_places"))], ["id", "text", "places"])
         done = next(_finish(iter([plain])))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modsplit_spark.llm.bytegrams import grams, joined_points, slices, words
+from modsplit_spark.llm.bytegrams import grams, joined_points, parts, slices, words
 from modsplit_spark.llm.sampling import fold, sample_ids
 
 SIZES = range(3, 8)
@@ -225,7 +225,7 @@ def score_texts(texts: list[str], model: dict) -> np.ndarray:
 
 
 def _scored(batches, model: dict):
-    for batch in batches:
+    for batch in parts(batches):
         p = score_texts([_prepared(t) for t in batch.column(1).to_pylist()], model)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -244,7 +244,7 @@ def score_held_out(documents: DataFrame, labels: DataFrame, folds: int = 4, held
 
 
 def _kept(batches, model: dict):
-    for batch in batches:
+    for batch in parts(batches):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         yield batch.filter(pa.array(score_texts([_prepared(t) for t in texts], model) < THRESHOLD))
 
