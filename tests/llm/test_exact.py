@@ -296,6 +296,20 @@ def test_templates_and_extraction(spark):
     assert html_template.main_text("<article><p>x</p><div class='comments'>c</div><aside>s</aside><footer>f</footer></article>", set()) == "x"
 
 
+def test_template_slots_decide(spark):
+    page = lambda inner: f"<html><body><div><p>Same line</p></div>{inner}</body></html>"
+    shared = page("<article><h1>T</h1><p>Copied text</p></article>")
+    rows = [(i, "http://h.example.com/", shared) for i in range(4)]
+    # A nested article that half of the host's pages lack is no slot of its own; a page without an article gives its other slots.
+    rows += [(7, "http://h.example.com/7", page("<article><p>Kept</p><section><article><p>Also kept</p></article></section></article>"))]
+    rows += [(8, "http://h.example.com/8", page("<div><p>Free text</p></div>")), (9, "http://h.example.com/9", page("<section><article><p>Off the template</p></article></section>"))]
+    rows += [(10, "http://alone.example.com/", shared), (11, "http://alone.example.com/role", "<div role='main'><p>m</p></div><div><p>n</p></div>")]
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict.fromkeys([0, 1, 2, 3, 10], "T\nCopied text"), 7: "Kept\nAlso kept", 8: "Free text", 9: "Off the template", 11: "m"}
+    template = {html_template._hash("html/body/article")}
+    assert html_template.slot_of("html/body/article/section/p", template) == "html/body/article" and html_template.slot_of("html/body/div", template) == ""
+
+
 def test_language_and_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = L.identify_held_out(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
