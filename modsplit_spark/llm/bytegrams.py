@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+RELEASE_BYTES = 8 << 20
 #: Separators of words: white space and marks that end words; others stay, as they stand in for letters.
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[np.frombuffer(b"\x00\t\n\v\f\r ,.;:?\"()[]{}|", np.uint8)] = True
 
 
+def release_memory() -> None:
+    """Freed memory goes back to the system. Workers live on between tasks and would keep their peak for good."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def parts(batches, rows: int = 512) -> Iterator:
-    """Arrow batches cut to at most ``rows`` rows, so that a worker holds few texts as Python objects at a time."""
+    """Arrow batches cut to at most ``rows`` rows, so that a worker holds few texts as Python objects at a time.
+
+    Freed memory is given back after every ``RELEASE_BYTES`` of batches and at the end of a task."""
+    seen = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        seen += batch.nbytes
+        if seen >= RELEASE_BYTES:
+            batch, seen = None, 0
+            release_memory()
+    batch = None
+    release_memory()
 
 
 def slices(texts: list[bytes] | list[str]) -> Iterator[tuple[int, int]]:
