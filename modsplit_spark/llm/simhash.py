@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modsplit_spark.llm.bytegrams import parts
+from modsplit_spark.llm.near_copies import keep_one  # noqa: F401 (the pipeline's stage, under its old name)
 from modsplit_spark.operators.components import connected_components
 from modsplit_spark.sources.workspace import materialize
 
@@ -222,11 +223,3 @@ def near_duplicates(documents: DataFrame, words: int = 3, t: int = 2) -> DataFra
     least = names.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_print = names.join(least, "component").select("print", "component_id")
     return rows.join(of_print, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
-    """The rows of ``documents``, all columns, whose doc_id names their component; of rows with equal doc_ids all
-    stay that carry the component's name. Rows with a null doc_id stay."""
-    found = near_duplicates(documents, words, t)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
