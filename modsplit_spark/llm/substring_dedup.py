@@ -12,7 +12,8 @@ equally long ones that with the least name, is the window's anchor.
 Consecutive windows with one anchor make a segment, about five to seven windows long. Spark gathers
 segments by anchor name: a name that occurs once holds no repeat. Where all segments of a name have the same
 content, the first in document order stays and the others go. Where contents differ, the windows of each
-content's first segment are compared one by one by 128-bit hashes. Nothing is sampled: the result is exact but
+content's first segment are compared one by one by 128-bit hashes. So are those of very long segments (a word or short
+period repeated), which are split every ``LONGEST_RUN`` windows. Nothing is sampled: the result is exact but
 for collisions of those hashes.
 
 Tasks work through their texts in chunks of about ``CHUNK_BYTES``. What repeats within a chunk is settled
@@ -40,6 +41,8 @@ CHUNK_BYTES = 3 << 20
 #: Words at the left and right end of a window where equal windows may be parsed differently.
 LEFT, RIGHT, LONGEST = 4, 3, 4
 INSIDE = WINDOW - LEFT - RIGHT
+#: Windows of a segment or run at most, as a place holds their number in 20 bits; longer ones are split.
+LONGEST_RUN = 1 << 19
 SINGLE, MARK, OPEN, GONE = 0, 1, 2, 3
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -103,10 +106,16 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     before = np.concatenate([[False], valid[:-1] & (least[1:] == least[:-1]) & (owner[1:] == owner[:-1])]) if len(words) else np.zeros(0, bool)
     first = np.flatnonzero(valid & ~before)
     ends = np.flatnonzero(valid & ~np.append(valid[1:] & before[1:], False)) + 1 if len(words) else first
+    many = ends - first > INSIDE
+    pieces = -(-(ends - first) // LONGEST_RUN)
+    if len(pieces) and pieces.max() > 1:
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, ends, many = np.repeat(first, pieces) + nth * LONGEST_RUN, np.repeat(ends, pieces), np.repeat(many, pieces)
+        ends = np.minimum(ends, first + LONGEST_RUN)
     content = range_hash(range_sums(words, BASES[1]), first, ends + WINDOW - 1, BASES[1])
     text_first = np.searchsorted(owner, np.arange(len(texts)))
     name = least[first]
-    return {"name": name, "content": content, "text": owner[first], "at": first - text_first[owner[first]], "size": ends - first, "odd": (ends - first > INSIDE) | np.isin(name, close)}
+    return {"name": name, "content": content, "text": owner[first], "at": first - text_first[owner[first]], "size": ends - first, "odd": many | np.isin(name, close)}
 
 
 def settle(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,9 +157,6 @@ def _place(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _first_pass(batches):
     for rows in _chunks(batches):
         s = segments([r[2] for r in rows])
-        long_ones = s["size"] >= 1 << 20
-        if long_ones.any():
-            raise ValueError("a text repeats one word over a million times in a row")
         order, kind, several = settle(s)
         doc, check = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         text = s["text"][order]
@@ -187,6 +193,8 @@ def _second_pass(batches):
         doc, check = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         # Neighbouring settled windows leave as one run.
         head = ~gone | np.concatenate([[True], ~gone[:-1] | (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
+        nth = np.arange(len(at))
+        head |= (nth - np.maximum.accumulate(np.where(head, nth, 0))) % LONGEST_RUN == 0
         size = np.diff(np.append(np.flatnonzero(head), len(at)))
         at, a, b, gone = at[head], a[head], b[head], gone[head]
         text = owner[at]
