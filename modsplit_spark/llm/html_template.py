@@ -39,13 +39,13 @@ PAGE_TOKEN = 0
 MAIN = frozenset(("article", "main"))
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|xmp)\b[^>]*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|annotation-xml|annotation|xmp)\b[^>]*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br ruby rt rp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object q s samp semantics small span strike strong sub sup time tt u var wbr br ruby rt rp".split())
 LEFT_OUT = frozenset("head nav header footer aside form button select menu dialog fieldset option datalist noframes audio video canvas map".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 #: Parts of class and id names that mark what is not the article.
@@ -54,6 +54,11 @@ LEFT_OUT_NAMES = frozenset(
     "masthead cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus respond reply replies "
     "related recommended widget toolbar pagination pager copyright disclaimer skip search form".split()
 )
+#: What may follow such a part in the name of a box ("share-buttons"); other names ("related-work", "no-sidebar") are no marks.
+BOX_NAMES = frozenset("area bar block box button buttons card container content icon icons inner inset item items left line link links list panel post posts right row section slot text thread title unit wrap wrapper".split()) | LEFT_OUT_NAMES
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can be a box by their id, which on any other may be the slug of a title; in the article they alone count.
+BOXES = frozenset("div ul ol dl table center".split())
 MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?\s*main\b", re.I)
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -63,14 +68,26 @@ def _left_out(tag: str, attrs: str, in_main: bool) -> bool:
         return not (tag == "header" and in_main)
     if tag in ("html", "body", "article", "main") or not attrs:
         return False
+    names = []
     for name, *values in ATTR.findall(attrs):
-        value = unescape("".join(values)).lower()
-        if name.lower() == "role":
-            if value.strip() in LEFT_OUT_ROLES:
+        value = unescape("".join(values))
+        name = name.lower()
+        if name == "role":
+            if value.strip().lower() in LEFT_OUT_ROLES:
                 return True
-        elif any(w in LEFT_OUT_NAMES for w in value.split()) or any(w in LEFT_OUT_NAMES for w in PARTS.split(value)):
-            return True
-    return False
+        elif tag not in HEADINGS and (tag in BOXES or (name == "class" and not (in_main and tag not in ("section", "figure")))):
+            names.append((name, value.split()))
+    if any(name == "class" and "section" in values for name, values in names):
+        names = [x for x in names if x[0] == "class"]  # the id is the section's slug
+    return any(_marks(v) for _, values in names for v in values)
+
+
+def _marks(name: str) -> bool:
+    """Whether one whole name of a class or id tells a box of what is not the article."""
+    if name.lower() in LEFT_OUT_NAMES:
+        return True
+    first, *more = [w for w in PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w] or [""]
+    return first in LEFT_OUT_NAMES and all(w in BOX_NAMES or w.isdigit() for w in more)
 
 
 def _hash(path: str, text: str = "") -> int:
