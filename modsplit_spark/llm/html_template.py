@@ -4,13 +4,14 @@ A page is a sequence of tokens: elements, told apart by the path of structural e
 and texts, told apart by path and content. Tokens that occur equally often in every page of a host have
 one occurrence vector and form an equivalence class. Spark sums, per host and token, the pages it occurs in and a hash of
 (page, count); equal sums stand for equal vectors, so no vector is gathered and a host may hold any
-share of the pages. Classes that occur in at least ``SUPPORT`` of the host's pages (texts also in ``LEAST_PAGES``) are valid; nested by
-their paths they are the template.
+share of the pages. Classes that occur in at least ``SUPPORT`` of the host's pages (texts also in ``LEAST_PAGES``) and hold an element are valid;
+nested by their paths they are the template. A class of texts alone is no template: it is what copies of one article give.
+Whether a class's tokens come in one order on all its pages is not checked.
 
 A text stands in the slot of the innermost template element around it. Where the template has slots in an article (or main)
 element, these are the main text, and all that fills them is the page's own, also where copies of one article repeat it.
-A page off its host's template gives its own article; a page without one gives all its slots but lists of links and
-texts of the template. Menus, headers, footers, side
+A page off its host's template gives its own article; a page without one gives all its slots but items of lists that are
+links and texts of the template. So classes decide on pages without an article; where there is one, its element does. Menus, headers, footers, side
 bars, notices, adverts, forms, scripts, styles and comments are left out by element, role, class or id.
 """
 
@@ -37,6 +38,7 @@ LEAST_PAGES = 3
 BROADCAST_TOKENS = 50_000
 PAGE_TOKEN = 0
 MAIN = frozenset(("article", "main"))
+LISTS = frozenset(("li", "ul", "ol", "dl"))
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|annotation-xml|annotation|xmp)\b[^>]*>(?:.*?(?:</(?P=raw)\s*>|\Z))"
@@ -184,7 +186,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int]) -> str:
     chosen = {path for path, slot in slots.items() if _in_main(slot)} or {path for path in slots if _in_main(path)}
     if chosen:
         return "\n".join(text for text, path, _ in blocks if path in chosen)
-    return "\n".join(text for text, path, only_links in blocks if not (only_links or _hash(path, text) in template))
+    return "\n".join(text for text, path, only_links in blocks if not ((only_links and not LISTS.isdisjoint(path.split("/"))) or _hash(path, text) in template))
 
 
 def _vectors(batches):
@@ -217,8 +219,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
     tokens = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "vector", "texts")))
     total = F.max(F.when(F.col("token") == PAGE_TOKEN, F.col("pages"))).over(W.partitionBy("host"))
     frequent = tokens.withColumn("total", total).where(((F.col("pages") >= LEAST_PAGES) | (F.col("texts") == 0)) & (F.col("pages") >= SUPPORT * F.col("total")) & (F.col("token") != PAGE_TOKEN))
-    # A class is its tokens of one vector; a lone token is a class of one.
-    classes = frequent.groupBy("host", "pages", "vector").agg(F.collect_list("token").alias("tokens"))
+    # A class is its tokens of one vector; a lone token is a class of one. Classes without an element are no template.
+    classes = frequent.groupBy("host", "pages", "vector").agg(F.collect_list("token").alias("tokens"), F.min("texts").alias("least")).where("least = 0")
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
