@@ -1,18 +1,24 @@
 """Main-text extraction by deducing the template of a host's pages from equivalence classes of tokens.
 
-A page is a sequence of tokens: elements, told apart by the path of structural elements they stand in,
-and texts, told apart by path and content. Tokens that occur equally often in every page of a host have
-one occurrence vector and form an equivalence class. Spark sums, per host and token, the pages it occurs in and a hash of
-(page, count); equal sums stand for equal vectors, so no vector is gathered and a host may hold any
-share of the pages. Classes that occur in at least ``SUPPORT`` of the host's pages (texts also in ``LEAST_PAGES``) and hold an element are valid;
-nested by their paths they are the template. A class of texts alone is no template: it is what copies of one article give.
-Whether a class's tokens come in one order on all its pages is not checked.
-
-A text stands in the slot of the innermost template element around it. Where the template has slots in an article (or main)
-element, these are the main text, and all that fills them is the page's own, also where copies of one article repeat it.
-A page off its host's template gives its own article; a page without one gives all its slots but items of lists that are
-links and texts of the template. So classes decide on pages without an article; where there is one, its element does. Menus, headers, footers, side
-bars, notices, adverts, forms, scripts, styles and comments are left out by element, role, class or id.
+A page is a sequence of tokens: elements (begin and end), told apart by the path of elements and class names they
+stand in, and texts, told apart by path and content. Tokens that occur equally often in every page of a host have one
+occurrence vector and form an equivalence class. Spark sums, per host and token, the pages it occurs in and a hash of
+(page, count); equal sums stand for equal vectors, so no vector is gathered and a host may hold any share of the pages.
+
+Two rounds deduce the template. Each takes the classes that occur in at least ``SUPPORT`` of the host's pages and hold
+an element, and then has every page spell each class out: a class is valid if on ``ALIKE`` of its pages its tokens
+come as one word, repeated as often as the class occurs, and do not cross another class. Valid classes nest; what stands between two
+neighbouring tokens of a class is a slot. The second round names every token anew by the slot it stands in, and tokens that a slot
+holds a fixed number of times by their number too, so that a ``div`` of one slot is not the ``div`` of another.
+
+The slots are then read. Words of running text are summed, over all pages of the host, for each template element that occurs once a
+page: the deepest that holds ``SHARE`` of the running text of the pages it is on is the main element, with the template's heading that
+leads up to it. In it, texts that the template repeats on all its pages, and elements that the host fills with links, are left out. All
+else that fills its slots is the page's main text.
+
+Hosts of fewer than ``LEAST_PAGES`` pages, and pages that lack their host's main element, have no template: there the article or main element,
+or else all but lists of links, is the text. Scripts, menus, headers, footers, side bars, forms and the like are left out by element, role, class
+or id on any page.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache, partial
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +39,14 @@ from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.llm.url_filter import url_host
 from modsplit_spark.sources.workspace import materialize
 
-SUPPORT = 0.5
+SUPPORT, ALIKE, SHARE = 0.5, 0.9, 0.75
 LEAST_PAGES = 3
+#: Tokens that a slot holds so often, as often on every page, are told apart by their number.
+MOST_NUMBERED = 8
 #: Template tokens up to which their table is broadcast; a larger one is joined by shuffle.
 BROADCAST_TOKENS = 50_000
+#: Shares in which a host's tokens meet its number of pages.
+SALTS = 16
 PAGE_TOKEN = 0
 MAIN = frozenset(("article", "main"))
 LISTS = frozenset(("li", "ul", "ol", "dl"))
@@ -59,6 +70,8 @@ LEFT_OUT_NAMES = frozenset(
 #: What may follow such a part in the name of a box ("share-buttons"); other names ("related-work", "no-sidebar") are no marks.
 BOX_NAMES = frozenset("area bar block box button buttons card container content icon icons inner inset item items left line link links list panel post posts right row section slot text thread title unit wrap wrapper".split()) | LEFT_OUT_NAMES
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold one block of text, which a main element is not.
+BLOCKS = HEADINGS | frozenset("p li dt dd tr td th pre blockquote figure figcaption caption summary address".split())
 #: Elements that can be a box by their id, which on any other may be the slug of a title; in the article they alone count.
 BOXES = frozenset("div ul ol dl table center".split())
 MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?\s*main\b", re.I)
@@ -92,27 +105,72 @@ def _marks(name: str) -> bool:
     return first in LEFT_OUT_NAMES and all(w in BOX_NAMES or w.isdigit() for w in more)
 
 
-def _hash(path: str, text: str = "") -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+# ---------------------------------------------------------------- pages as tokens
 
+MASK = (1 << 62) - 1
 
-def parse(html: str | None) -> tuple[list[tuple[str, str, bool]], list[str]]:
-    """Text blocks in page order as (text, path, only links), what is left out by its
-    element aside, and the paths of all structural elements. An element of role main stands as ``main`` in a path."""
-    blocks, paths = [], []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, main
+
+@lru_cache(1 << 14)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") & MASK
+
+
+def _join(a: int, b: int) -> int:
+    """An even number of 62 bits that stands for the pair."""
+    h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & MASK
+    h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & MASK
+    return (h ^ (h >> 31)) & ~1
+
+
+def _label(tag: str, attrs: str) -> str:
+    """An element's tag and class names; names with a digit are taken for generated and do not count."""
+    if "class" not in attrs.lower():
+        return tag
+    names = sorted({n for name, *values in ATTR.findall(attrs) if name.lower() == "class" for n in "".join(values).split() if not any(c.isdigit() for c in n)})
+    return ".".join([tag, *names])
+
+
+class Page(NamedTuple):
+    """A page's tokens in order. An element begins with an even number and ends with the next odd one; ``words`` is 0 for
+    elements, the number of words of a text, and that number below 0 for a text that is only links. ``texts`` and ``tags`` (of
+    elements) stand at the same places; a text has its path of tags there."""
+
+    tokens: list[int]
+    words: list[int]
+    texts: list[str]
+    tags: list[str]
+
+
+def parse(html: str | None) -> Page:
+    """The page's tokens. What is left out by its element is one token. An element of role main has the tag ``main``."""
+    page = Page([], [], [], [])
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, left out, main, token
     path: list[str] = []
     words: list[str] = []
     plain = False
     links = 0
 
+    def add(token: int, size: int, text: str, tag: str) -> None:
+        page.tokens.append(token)
+        page.words.append(size)
+        page.texts.append(text)
+        page.tags.append(tag)
+
     def flush() -> None:
         nonlocal words, plain
-        text = " ".join("".join(words).split())
-        if text and not (stack and stack[-1][1]):
-            blocks.append((text, "/".join(path), not plain))
+        if words and not (stack and stack[-1][1]):
+            held = "".join(words).split()
+            if held:
+                text = " ".join(held)
+                add(_join(stack[-1][3] if stack else 0, _word_hash.__wrapped__(text)), len(held) if plain else -len(held), text, "/".join(path))
         words, plain = [], False
 
+    def close(at: int) -> None:
+        for i in range(len(stack) - 1, at - 1, -1):
+            if not (i and stack[i - 1][1]):
+                add(stack[i][3] | 1, 0, "", path[i])
+        del stack[at:], path[at:]
+
     for m in TOKEN.finditer(html or ""):
         text = m["text"]
         if text is not None:
@@ -136,98 +194,403 @@ def parse(html: str | None) -> tuple[list[tuple[str, str, bool]], list[str]]:
         if m["close"]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at >= 0:
-                del stack[at:], path[at:]
+                close(at)
             continue
         if tag in VOID:
             continue
         links = 0
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "div", "ul", "ol", "footer", "aside", "nav", "header", "main", "table", "form", "blockquote", "pre"):
+        if tag in ENDS:
             # A paragraph ends where a block begins; so does an item where the next one does.
-            ends = {"p"} if tag not in ("li", "dt", "dd", "tr", "td", "th") else {"p", tag, *(("td", "th") if tag in ("td", "th", "tr") else ())}
+            ends = ENDS[tag]
             while stack and stack[-1][0] in ends:
-                stack.pop(), path.pop()
-        out, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                close(len(stack) - 1)
+        _, out, main, parent = stack[-1] if stack else ("", False, False, 1)
         attrs = m["attrs"] or ""
         name = "main" if MAIN_ROLE.search(attrs) else tag
-        stack.append((tag, out or _left_out(tag, attrs, main), main or name in MAIN))
+        token = _join(parent, _word_hash(_label(name, attrs)))
+        if not out:
+            add(token, 0, "", name)
+        stack.append((tag, out or _left_out(tag, attrs, main), main or name in MAIN, token))
         path.append(name)
-        if tag not in ("p", "li", "tr", "td", "th"):
-            paths.append("/".join(path))
         if attrs.rstrip().endswith("/") and tag not in ("p", "div", "article", "section", "main", "body", "html", "li"):
-            stack.pop(), path.pop()
+            close(len(stack) - 1)
     flush()
-    return blocks, paths
+    close(0)
+    return page
+
+
+#: What a beginning element ends, if it stands innermost.
+ENDS = {t: {"p"} for t in "h1 h2 h3 h4 h5 h6 p article section div ul ol footer aside nav header main table form blockquote pre".split()}
+ENDS |= {t: {"p", t} for t in ("li", "dt", "dd")} | {t: {"p", t, "td", "th"} for t in ("tr", "td", "th")}
+
+
+# ---------------------------------------------------------------- classes
+
+
+def numbered(tokens: list[int], words: list[int], fixed: set[int]) -> list[int]:
+    """The tokens, those in ``fixed`` with their number of occurrence; an element ends with what it began with."""
+    out, begun, seen = [], [], {}
+    for t, w in zip(tokens, words, strict=True):
+        if w:
+            out.append(t)
+        elif t & 1:
+            out.append(begun.pop() | 1)
+        else:
+            if t in fixed:
+                seen[t] = seen.get(t, 0) + 1
+                t = _join(t, seen[t])
+            begun.append(t)
+            out.append(t)
+    return out
+
+
+class Class(NamedTuple):
+    word: tuple[int, ...]
+    once: bool
+    pages: int
+
+
+def nested(tokens: list[int], classes: list[Class]) -> tuple[list[int], set[int]]:
+    """For every place of a page the slot it stands in, as a number (0 outside any class), and the classes that
+    cross another. ``classes`` come by rank; of two that cross, the later one is dropped."""
+    of = {t: k for k, c in enumerate(classes) for t in c.word}
+    slots, crossed, stack = [], set(), []  # class, next token of its word, number of its slot
+    for t in tokens:
+        slots.append(stack[-1][2] if stack else 0)
+        k = of.get(t)
+        if k is None or k in crossed:
+            continue
+        word = classes[k].word
+        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == k), -1)
+        if at >= 0 and t == word[stack[at][1]]:
+            above = [s[0] for s in stack[at + 1 :]]
+            if above and min(above) < k:
+                crossed.add(k)
+                del stack[at]
+                continue
+            crossed.update(above)
+            del stack[at + 1 :]
+            n = stack[at][1] + 1
+            if n == len(word):
+                del stack[at]
+            else:
+                stack[at] = (k, n, _join(word[0], _join(word[-1], n)))
+        elif at < 0 and t == word[0] and len(word) > 1:
+            stack.append((k, 1, _join(word[0], _join(word[-1], 1))))
+        else:
+            crossed.add(k)
+            stack = [s for s in stack if s[0] != k]
+    return slots, crossed
+
+
+def spelled(tokens: list[int], members: list[frozenset[int]]) -> dict[int, tuple[int, ...]]:
+    """For each class on the page its word: its tokens in order, of one of its equal occurrences; () if they are not equal."""
+    of = {t: k for k, c in enumerate(members) for t in c}
+    found: dict[int, list[int]] = {}
+    for t in tokens:
+        k = of.get(t & ~1)
+        if k is not None:
+            found.setdefault(k, []).append(t)
+    out = {}
+    for k, seq in found.items():
+        f = seq.count(seq[0])
+        n = len(seq) // f
+        out[k] = tuple(seq[:n]) if seq == seq[:n] * f else ()
+    return out
+
+
+class Round(NamedTuple):
+    """What one round has deduced for a host."""
+
+    fixed: set[int]
+    classes: list[Class]
+
+
+def renamed(page_tokens: list[int], words: list[int], rounds: list[Round]) -> list[int]:
+    """A page's tokens as the round after ``rounds`` names them: by the slot of the last round's classes."""
+    tokens = page_tokens
+    for r in rounds:
+        ids = numbered(tokens, words, r.fixed)
+        slots, _ = nested(ids, r.classes)
+        begun, out = [], []
+        for t, w, slot in zip(ids, words, slots, strict=True):
+            if w:
+                out.append(_join(t, slot))
+            elif t & 1:
+                out.append(begun.pop() | 1)
+            else:
+                begun.append(_join(t, slot))
+                out.append(begun[-1])
+        tokens = out
+    return tokens
+
+
+# ---------------------------------------------------------------- Spark passes
+
+ROUND = "struct<fixed:array<long>,classes:array<struct<word:array<long>,once:boolean,pages:long>>>"
+
+
+def _rounds(held) -> list[Round]:
+    return [Round(set(r["fixed"]), [Class(tuple(c["word"]), c["once"], c["pages"]) for c in r["classes"]]) for r in held or ()]
+
+
+def _by_host(batch, column: int, made: dict, make):
+    """The templates of a batch's rows, each made once."""
+    for host, held in zip(batch.column("host").to_pylist(), batch.column(column), strict=True):
+        if host not in made:
+            if len(made) > 2000:
+                made.clear()
+            made[host] = make(held.as_py())
+        yield made[host]
+
+
+def _tokenized(batches):
+    for batch in parts(batches):
+        pages = [parse(h) for h in batch.column(2).to_pylist()]
+        columns = [pa.array([p.tokens for p in pages], pa.list_(pa.int64())), pa.array([p.words for p in pages], pa.list_(pa.int32())), pa.array([_boxes(p) for p in pages], pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "host", "tokens", "words", "boxes"])
 
 
-def _in_main(path: str) -> bool:
-    return not MAIN.isdisjoint(path.split("/"))
+def _boxes(page: Page) -> list[int]:
+    """For every token 1 if it begins an element that may be a main element, 2 if a heading, else 0."""
+    return [0 if w or t & 1 else 2 if tag in HEADINGS else int(tag not in BLOCKS) for t, w, tag in zip(page.tokens, page.words, page.tags, strict=True)]
 
 
-def page_tokens(html: str | None) -> tuple[Counter, set[int]]:
-    """How often each token occurs: structural elements, and texts outside the main element; and which of them are texts."""
-    blocks, paths = parse(html)
-    texts = [_hash(path, text) for text, path, _ in blocks if not _in_main(path)]
-    tokens = Counter(_hash(p) for p in paths)
-    tokens.update(texts)
-    return tokens, set(texts)
+class _Sums:
+    """Rows of a key and long sums, merged within a task."""
 
+    def __init__(self, keys: list[tuple[str, pa.DataType]], values: list[str]):
+        self.keys, self.values, self.held = keys, values, defaultdict(lambda: [0] * len(values))
 
-def slot_of(path: str, template: frozenset[int] | set[int]) -> str:
-    """The innermost element of the template on a path; '' if there is none."""
-    while path and _hash(path) not in template:
-        path = path.rpartition("/")[0]
-    return path
+    def rows(self):
+        keys, values = list(self.held), list(self.held.values())
+        self.held.clear()
+        columns = [pa.array([k[i] for k in keys], kind) for i, (_, kind) in enumerate(self.keys)] + [pa.array([v[i] for v in values], pa.int64()) for i in range(len(self.values))]
+        return pa.RecordBatch.from_arrays(columns, [*(n for n, _ in self.keys), *self.values])
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int]) -> str:
-    """The texts of the page's main slots, joined by line breaks; ``template`` holds the tokens of its host's template."""
-    blocks, _ = parse(html)
-    slots = {path: slot_of(path, template) for _, path, _ in blocks}
-    chosen = {path for path, slot in slots.items() if _in_main(slot)} or {path for path in slots if _in_main(path)}
-    if chosen:
-        return "\n".join(text for text, path, _ in blocks if path in chosen)
-    return "\n".join(text for text, path, only_links in blocks if not ((only_links and not LISTS.isdisjoint(path.split("/"))) or _hash(path, text) in template))
+def _vectors(batches, rounds: int):
+    """For each host and token the pages it occurs in, sums that stand for its occurrence vector and for one of ones, the
+    least and greatest count, and whether it is a text."""
+    sums, made = _Sums([("host", pa.string()), ("token", pa.int64())], ["pages", "vector", "ones", "count", "squares", "texts"]), {}
+    for batch in parts(batches):
+        rows = zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("words").to_pylist(), _by_host(batch, batch.num_columns - 1, made, _rounds) if rounds else [[]] * batch.num_rows, strict=True)
+        for row, host, tokens, words, held in rows:
+            tokens = renamed(tokens, words, held)
+            texts = {t for t, w in zip(tokens, words, strict=True) if w}
+            for token, n in [*Counter(t for t in tokens if not t & 1).items(), (PAGE_TOKEN, 1)]:
+                s = sums.held[host, token]
+                s[0] += 1
+                s[1] += _join(row, n) & 0x7FFFFFFF
+                s[2] += _join(row, 1) & 0x7FFFFFFF
+                s[3] += n
+                s[4] += n * n
+                s[5] += token in texts
+        if len(sums.held) > 200_000:
+            yield sums.rows()
+    if sums.held:
+        yield sums.rows()
+
+
+def _words(batches):
+    """For each host and class its words, and how many pages spell it so; a class that crosses another spells ()."""
+    sums, made = _Sums([("host", pa.string()), ("class", pa.int32()), ("word", pa.list_(pa.int64()))], ["seen"]), {}
+
+    def candidates(held):
+        members = [frozenset(_join(t["token"], k) if k else t["token"] for t in c["tokens"] for k in range(min(1, t["n"]), t["n"] + 1)) for c in held["classes"]]
+        return _rounds(held["rounds"]), set(held["fixed"]), members
 
+    for batch in parts(batches):
+        rows = zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("words").to_pylist(), _by_host(batch, batch.num_columns - 1, made, candidates), strict=True)
+        for host, tokens, words, (rounds_, fixed, members) in rows:
+            ids = numbered(renamed(tokens, words, rounds_), words, fixed)
+            found = spelled(ids, members)
+            shown = sorted(k for k, w in found.items() if w)
+            _, crossed = nested(ids, [Class(found[k], False, 0) for k in shown])
+            bad = {shown[i] for i in crossed}
+            for k, word in found.items():
+                sums.held[host, k, () if k in bad else word][0] += 1
+        if len(sums.held) > 50_000:
+            yield sums.rows()
+    if sums.held:
+        yield sums.rows()
+
+
+class Template(NamedTuple):
+    """A host's template: what names its tokens, elements that occur once a page, texts of its own, elements filled with
+    links, and the main elements from the outermost on."""
+
+    before: list[Round]
+    fixed: set[int]
+    once: set[int]
+    own: set[int]
+    links: set[int] = set()
+    mains: tuple[int, ...] = ()
+
+
+def _template(rounds: list[Round], links=(), mains=(), keep_own: bool = False) -> Template:
+    """The template of the last round's classes. Its own are texts of a class that holds an element and is on all pages."""
+    classes = [c for c in rounds[-1].classes if c.once]
+    top = max((c.pages for c in classes), default=0)
+    begun = {t for c in classes for t in c.word if t | 1 in c.word or t & 1}
+    own = set() if keep_own else {t for c in classes if c.pages >= ALIKE * top for t in c.word if t not in begun}
+    return Template(rounds[:-1], rounds[-1].fixed, begun, own, set(links), tuple(mains))
+
+
+def _named(tokens: list[int], words: list[int], template: Template) -> list[int]:
+    return numbered(renamed(tokens, words, template.before), words, template.fixed)
+
+
+def _fills(batches):
+    """For each host and template element that occurs once a page: words of running text, of links and of the template's own
+    texts in it, words of running and own text on its pages, its depth, its pages, and whether it is a box or a heading."""
+    sums, made = _Sums([("host", pa.string()), ("element", pa.int64())], ["running", "links", "own", "all_running", "all_own", "depth", "pages", "box"]), {}
+    for batch in parts(batches):
+        columns = [batch.column(c).to_pylist() for c in ("host", "tokens", "words", "boxes")]
+        for host, tokens, words, boxes, template in zip(*columns, _by_host(batch, batch.num_columns - 1, made, lambda held: _template(_rounds(held))), strict=True):
+            open_, here, whole = [], {}, [0, 0, 0]
+            for t, w, box in zip(_named(tokens, words, template), words, boxes, strict=True):
+                if w:
+                    at = 2 if t in template.own else 0 if w > 0 else 1
+                    whole[at] += abs(w)
+                    for e in open_:
+                        here[e][at] += abs(w)
+                elif t in template.once:
+                    if t & 1:
+                        open_.pop()
+                    else:
+                        open_.append(t)
+                        here[t] = [0, 0, 0, len(open_), box]
+            for e, (running, links, own, depth, box) in here.items():
+                held = sums.held[host, e]
+                for i, v in enumerate((running, links, own, whole[0], whole[2], depth, 1, box)):
+                    held[i] += v
+        if len(sums.held) > 100_000:
+            yield sums.rows()
+    if sums.held:
+        yield sums.rows()
+
+
+def _with_template(rows: DataFrame, templates: DataFrame, size: int) -> DataFrame:
+    """``rows`` with their host's template; hosts without one drop out. A table of ``size`` numbers is broadcast up to the bound."""
+    return rows.join(F.broadcast(templates) if size <= BROADCAST_TOKENS else templates.hint("shuffle_merge"), "host")
+
+
+def _deduced(pages: DataFrame, totals: DataFrame, rounds: DataFrame | None, size: int) -> tuple[DataFrame, int]:
+    """One round: ``(host, rounds)`` with what it adds, and how many numbers they hold. ``pages`` has row, host, tokens and words."""
+    n = 0 if rounds is None else 1
+    source = pages.select("row", "host", "tokens", "words")
+    if rounds is not None:
+        source = _with_template(source, rounds, size)
+    sums = ["pages", "vector", "ones", "count", "squares", "texts"]
+    found = source.mapInArrow(partial(_vectors, rounds=n), "host string, token long, " + ", ".join(f"{c} long" for c in sums))
+    tokens = found.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in sums)).where((F.col("pages") >= LEAST_PAGES) & (F.col("token") != PAGE_TOKEN))
+    dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    frequent = tokens.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"]).where(F.col("pages") >= SUPPORT * F.col("total"))
+    each = F.col("count") / F.col("pages")
+    is_fixed = (F.col("texts") == 0) & (F.col("squares") * F.col("pages") == F.col("count") * F.col("count")) & each.between(2, MOST_NUMBERED)
+    frequent = frequent.withColumn("n", F.when(is_fixed, each.cast("int")).otherwise(0)).withColumn("once", (F.col("n") > 0) | (F.col("count") == F.col("pages")))
+    # A class is its tokens of one vector. Classes without an element are no template.
+    classes = frequent.groupBy("host", "pages", "once", F.when(F.col("n") > 0, F.col("ones")).otherwise(F.col("vector")).alias("key")).agg(
+        F.array_sort(F.collect_list(F.struct("token", "n"))).alias("tokens"), F.min("texts").alias("least")
+    )
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("rank"), (-F.size("tokens")).alias("size"), "tokens", "once", "pages")))
+    hosts = classes.where("least = 0").groupBy("host").agg(ranked.alias("classes"))
+    fixed = F.transform(F.filter(F.flatten(F.transform("classes", lambda c: c["tokens"])), lambda t: t["n"] > 0), lambda t: t["token"])
+    held = "rounds" if rounds is not None else F.lit(None).cast(f"array<{ROUND}>").alias("rounds")
+    hosts = (hosts if rounds is None else hosts.join(rounds, "host")).select("host", held, fixed.alias("fixed"), F.transform("classes", lambda c: F.struct(c["tokens"].alias("tokens"), c["once"].alias("once"), c["pages"].alias("pages"))).alias("classes"))
+    hosts = materialize(hosts, "classes")
+    numbers = hosts.agg(F.sum(F.size("fixed") + 4 * F.aggregate("classes", F.lit(0), lambda a, c: a + F.size(c["tokens"])))).first()[0] or 0
+    size += numbers
+    spelt = _with_template(pages.select("host", "tokens", "words"), hosts.select("host", F.struct("rounds", "fixed", "classes").alias("candidates")), size).mapInArrow(_words, "host string, class int, word array<long>, seen long")
+    words = spelt.groupBy("host", "class", "word").agg(F.sum("seen").alias("seen")).groupBy("host", "class").agg(F.max_by("word", F.struct("seen", "word")).alias("word"), F.max("seen").alias("most"), F.sum("seen").alias("seen"))
+    valid = words.where((F.size("word") > 1) & (F.col("most") >= ALIKE * F.col("seen")))
+    valid = valid.join(hosts.select("host", F.posexplode("classes").alias("class", "c")), ["host", "class"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("class", "word", F.col("c.once").alias("once"), F.col("c.pages").alias("pages")))).alias("valid"))
+    new = F.struct(F.col("fixed"), F.transform("valid", lambda c: F.struct(c["word"].alias("word"), c["once"].alias("once"), c["pages"].alias("pages"))).alias("classes"))
+    done = hosts.join(valid, "host").select("host", F.concat(F.coalesce("rounds", F.array().cast(f"array<{ROUND}>")), F.array(new)).alias("rounds"))
+    return materialize(done, "rounds"), size
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """``(row, host, tokens, words, boxes)`` of every page, written once. ``pages`` has host and html."""
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "host", "html")
+    return materialize(rows.mapInArrow(_tokenized, "row long, host string, tokens array<long>, words array<int>, boxes array<byte>"), "page-tokens")
+
+
+def host_templates(pages: DataFrame, rounds: int = 2) -> tuple[DataFrame, int]:
+    """``(host, rounds, links, mains, keep_own)`` for every host that has a template, and how many numbers the table holds. ``pages`` is
+    what ``page_tokens`` gives."""
+    totals = pages.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= LEAST_PAGES)
+    deduced, size = None, 0
+    for _ in range(rounds):
+        deduced, size = _deduced(pages, totals, deduced, size)
+    sums = ["running", "links", "own", "all_running", "all_own", "depth", "pages", "box"]
+    fills = _with_template(pages.select("host", "tokens", "words", "boxes"), deduced, size).mapInArrow(_fills, "host string, element long, " + ", ".join(f"{c} long" for c in sums))
+    elements = fills.groupBy("host", "element").agg(*(F.sum(c).alias(c) for c in sums))
+    # Where all text is the template's own (one page over and over), it is what is read.
+    bare = F.col("all_running") == 0
+    has, of = F.when(bare, F.col("own")).otherwise(F.col("running")), F.when(bare, F.col("all_own")).otherwise(F.col("all_running"))
+    main = (F.col("box") == F.col("pages")) & (has > 0) & (has >= SHARE * of)
+    links = (F.col("box") == F.col("pages")) & (F.col("links") > F.col("running") + F.col("own"))
+    chosen = elements.groupBy("host").agg(
+        F.array_sort(F.collect_list(F.when(main, F.struct((F.col("depth") / F.col("pages")).alias("depth"), "element")))).alias("mains"), F.collect_list(F.when(links, F.col("element"))).alias("links"), F.min(bare).alias("keep_own")
+    )
+    chosen = chosen.select("host", "links", F.transform("mains", lambda m: m["element"]).alias("mains"), "keep_own").where(F.size("mains") > 0)
+    return materialize(deduced.join(chosen, "host"), "templates"), size
+
+
+# ---------------------------------------------------------------- reading the slots
 
-def _vectors(batches):
-    """Per task: for each host and token the pages it occurs in, and sums that stand for its occurrence vector."""
-    sums: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
 
-    def rows():
-        keys, values = list(sums), list(sums.values())
-        sums.clear()
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))]
-        return pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "vector", "texts"])
+def _in_main(path: str) -> bool:
+    return not MAIN.isdisjoint(path.split("/"))
 
-    for batch in parts(batches):
-        for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            tokens, texts = page_tokens(html)
-            for token, count in [*tokens.items(), (PAGE_TOKEN, 1)]:
-                held = sums[host, token]
-                held[0] += 1
-                held[1] += _hash(str(page), str(count)) & 0x7FFFFFFF
-                held[2] += token in texts
-        if len(sums) > 200_000:
-            yield rows()
-    if sums:
-        yield rows()
-
-
-def host_templates(pages: DataFrame) -> DataFrame:
-    """``(host, template)``: the tokens of the host's valid equivalence classes. ``pages`` has host, page_id and html."""
-    parts = pages.select("host", F.col("page_id").cast("string"), "html").mapInArrow(_vectors, "host string, token long, pages long, vector long, texts long")
-    tokens = parts.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "vector", "texts")))
-    total = F.max(F.when(F.col("token") == PAGE_TOKEN, F.col("pages"))).over(W.partitionBy("host"))
-    frequent = tokens.withColumn("total", total).where(((F.col("pages") >= LEAST_PAGES) | (F.col("texts") == 0)) & (F.col("pages") >= SUPPORT * F.col("total")) & (F.col("token") != PAGE_TOKEN))
-    # A class is its tokens of one vector; a lone token is a class of one. Classes without an element are no template.
-    classes = frequent.groupBy("host", "pages", "vector").agg(F.collect_list("token").alias("tokens"), F.min("texts").alias("least")).where("least = 0")
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+
+def _by_tags(page: Page) -> list[str]:
+    """The texts of the article or main element; without one all but the items of lists that are links."""
+    texts = [(text, path, w) for text, path, w in zip(page.texts, page.tags, page.words, strict=True) if w]
+    chosen = [text for text, path, _ in texts if _in_main(path)]
+    return chosen or [text for text, path, w in texts if w > 0 or LISTS.isdisjoint(path.split("/"))]
+
+
+def _by_template(page: Page, template: Template) -> list[str] | None:
+    """The texts of the main element's slots; None if the page lacks it."""
+    ids = _named(page.tokens, page.words, template)
+    here = {t: i for i, t in enumerate(ids) if t in template.once}
+    main = next((m for m in reversed(template.mains) if m in here), None)
+    if main is None:
+        return None
+    begin, end = here[main], here[main | 1]
+    around = {t for t, i in here.items() if not t & 1 and i <= begin and here[t | 1] >= end}
+    out, stack = [], []
+    for i, (t, w) in enumerate(zip(ids, page.words, strict=True)):
+        if not w:
+            if t in template.once:
+                stack.pop() if t & 1 else stack.append((t, page.tags[i]))
+            continue
+        if t in template.own or any(e in template.links for e, _ in stack if e not in around):
+            continue
+        title = i < begin and len(stack) > 1 and stack[-1][1] in ("h1", "h2") and stack[-2][0] in around
+        if title or begin < i < end:
+            out.append(page.texts[i])
+    return out
+
+
+def main_text(html: str | None, template: Template | None = None) -> str:
+    """The main text of a page, one line for each block, by its host's template or, without one, by its elements alone."""
+    page = parse(html)
+    found = _by_template(page, template) if template else None
+    return "\n".join(_by_tags(page) if found is None else found)
 
 
 def _extracted(batches):
+    made = {}
+
+    def template(held):
+        return held and _template(_rounds(held["rounds"]), held["links"], held["mains"], held["keep_own"])
+
     for batch in parts(batches):
-        htmls, templates = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [main_text(h, set(t or ())) for h, t in zip(htmls, templates, strict=True)]
+        texts = [main_text(h, t) for h, t in zip(batch.column("html").to_pylist(), _by_host(batch, batch.num_columns - 1, made, template), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -235,11 +598,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page, from its whole html.
 
     Null html is empty and gives the empty text; a null url belongs to the host ''. Repeated rows stay repeated and count
-    as often for the template. Within a block, white space (line breaks by ``br`` and no-break spaces too) becomes one blank."""
+    as often for the template. An empty table gives no row; other columns are not read. A very long page is one row of one task; a
+    host's template holds at most the tokens that half of its pages share, so twice those of a page on average. Within a
+    block, white space (line breaks by ``br`` and no-break spaces too) becomes one blank."""
     keyed = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), url_host(F.col("url")).alias("host"))
-    templates = host_templates(keyed)
-    templates = materialize(templates, "templates")
-    tokens = templates.agg(F.sum(F.size("template") + 4)).first()[0] or 0
-    joined = keyed.join(F.broadcast(templates) if tokens <= BROADCAST_TOKENS else templates.hint("shuffle_merge"), "host", "left").select("page_id", "url", "html", "template")
+    templates, size = host_templates(page_tokens(keyed))
+    templates = templates.select("host", F.struct("rounds", "links", "mains", "keep_own").alias("template"))
+    joined = keyed.join(F.broadcast(templates) if size <= BROADCAST_TOKENS else templates.hint("shuffle_merge"), "host", "left").select("page_id", "url", "html", "host", "template")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return joined.mapInArrow(_extracted, schema)

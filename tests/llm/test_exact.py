@@ -292,8 +292,8 @@ def test_templates_and_extraction(spark):
     got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Own text 3 © x" and got[9] == "Same line on all\nOwn text 9 © x"
     article = "<nav>N</nav><div class=ad>A</div><article><h1>T</h1><p><b>One<br><p>Two &am"
-    assert html_template.main_text(article, set()) == "T\nOne\nTwo &am"
-    assert html_template.main_text("<article><p>x</p><div class='comments'>c</div><aside>s</aside><footer>f</footer></article>", set()) == "x"
+    assert html_template.main_text(article) == "T\nOne\nTwo &am"
+    assert html_template.main_text("<article><p>x</p><div class='comments'>c</div><aside>s</aside><footer>f</footer></article>") == "x"
 
 
 def test_template_slots_decide(spark):
@@ -306,8 +306,6 @@ def test_template_slots_decide(spark):
     rows += [(10, "http://alone.example.com/", shared), (11, "http://alone.example.com/role", "<div role='main'><p>m</p></div><div><p>n</p></div>")]
     got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**dict.fromkeys([0, 1, 2, 3, 10], "T\nCopied text"), 7: "Kept\nAlso kept", 8: "Free text", 9: "Off the template", 11: "m"}
-    template = {html_template._hash("html/body/article")}
-    assert html_template.slot_of("html/body/article/section/p", template) == "html/body/article" and html_template.slot_of("html/body/div", template) == ""
 
 
 def test_language_and_toxicity_held_out(spark):
