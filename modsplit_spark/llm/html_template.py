@@ -30,6 +30,7 @@ from functools import lru_cache, partial
 from html import unescape
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 
 from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.llm.url_filter import url_host
+from modsplit_spark.llm.wordhash import BASES, mix
 from modsplit_spark.sources.workspace import materialize
 
 SUPPORT, ALIKE, SHARE = 0.5, 0.9, 0.75
@@ -347,7 +349,7 @@ def _by_host(batch, column: int, made: dict, make):
 def _tokenized(batches):
     for batch in parts(batches):
         pages = [parse(h) for h in batch.column(2).to_pylist()]
-        columns = [pa.array([p.tokens for p in pages], pa.list_(pa.int64())), pa.array([p.words for p in pages], pa.list_(pa.int32())), pa.array([_boxes(p) for p in pages], pa.list_(pa.int8()))]
+        columns = [_list_column([p.tokens for p in pages], np.int64), _list_column([p.words for p in pages], np.int32), _list_column([_boxes(p) for p in pages], np.int8)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "host", "tokens", "words", "boxes"])
 
 
@@ -369,27 +371,74 @@ class _Sums:
         return pa.RecordBatch.from_arrays(columns, [*(n for n, _ in self.keys), *self.values])
 
 
+def _lists(column) -> list[list[int]]:
+    """The lists of an Arrow column of lists of numbers without nulls."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [flat[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _sizes(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _list_column(lists: list[list[int]], kind) -> pa.Array:
+    """As ``pa.array``, by way of one flat array."""
+    flat = np.fromiter((x for held in lists for x in held), kind, int(_sizes(lists).sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(_sizes(lists))]), pa.int32()), pa.array(flat))
+
+
+def _spread(row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers of 31 bits that stand for the pairs."""
+    return (mix(row.astype(np.uint64) * np.uint64(BASES[0]) + n.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+
+
 def _vectors(batches, rounds: int):
-    """For each host and token the pages it occurs in, sums that stand for its occurrence vector and for one of ones, the
-    least and greatest count, and whether it is a text."""
-    sums, made = _Sums([("host", pa.string()), ("token", pa.int64())], ["pages", "vector", "ones", "count", "squares", "texts"]), {}
+    """For each host and token the pages it occurs in, sums that stand for its occurrence vector and for one of ones, sums of its counts
+    and their squares, and on how many pages it is a text."""
+    names, held, made, rows = ["pages", "vector", "ones", "count", "squares", "texts"], [], {}, 0
+
+    def merged():
+        host, token = (np.concatenate([h[i] for h in held]) for i in range(2))
+        sums = np.concatenate([h[2] for h in held])
+        held.clear()
+        hosts, code = np.unique(host, return_inverse=True)
+        order = np.lexsort((token, code))
+        code, token = code[order], token[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (token[1:] != token[:-1])]))
+        return hosts[code[first]], token[first], np.add.reduceat(sums[order], first)
+
+    def batch_of(host, token, sums):
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token), *(pa.array(sums[:, i]) for i in range(6))], ["host", "token", *names])
+
     for batch in parts(batches):
-        rows = zip(batch.column("row").to_pylist(), batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("words").to_pylist(), _by_host(batch, batch.num_columns - 1, made, _rounds) if rounds else [[]] * batch.num_rows, strict=True)
-        for row, host, tokens, words, held in rows:
-            tokens = renamed(tokens, words, held)
-            texts = {t for t, w in zip(tokens, words, strict=True) if w}
-            for token, n in [*Counter(t for t in tokens if not t & 1).items(), (PAGE_TOKEN, 1)]:
-                s = sums.held[host, token]
-                s[0] += 1
-                s[1] += _join(row, n) & 0x7FFFFFFF
-                s[2] += _join(row, 1) & 0x7FFFFFFF
-                s[3] += n
-                s[4] += n * n
-                s[5] += token in texts
-        if len(sums.held) > 200_000:
-            yield sums.rows()
-    if sums.held:
-        yield sums.rows()
+        words = batch.column("words")
+        if rounds:
+            lists = [renamed(t, w, r) for t, w, r in zip(_lists(batch.column("tokens")), _lists(words), _by_host(batch, batch.num_columns - 1, made, _rounds), strict=True)]
+            size, flat = _sizes(lists), np.fromiter((x for held_ in lists for x in held_), np.int64)
+        else:
+            size, flat = np.diff(words.offsets.to_numpy()), batch.column("tokens").flatten().to_numpy()
+        text = words.flatten().to_numpy() != 0
+        page = np.repeat(np.arange(batch.num_rows), size)
+        begins = (flat & 1) == 0
+        # A token of each page that counts the page.
+        page = np.concatenate([page[begins], np.arange(batch.num_rows)])
+        token, text = np.concatenate([flat[begins], np.full(batch.num_rows, PAGE_TOKEN)]), np.concatenate([text[begins], np.zeros(batch.num_rows, bool)])
+        order = np.lexsort((token, page))
+        page, token, text = page[order], token[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (token[1:] != token[:-1])])) if len(page) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(page)))
+        row = batch.column("row").to_numpy()[page[first]]
+        hosts = np.array(batch.column("host").to_pylist(), object)[page[first]]
+        held.append((hosts, token[first], np.stack([np.ones_like(n), _spread(row, n), _spread(row, np.ones_like(n)), n, n * n, text[first].astype(np.int64)], axis=1)))
+        rows += len(first)
+        if rows > 200_000:
+            held.append(merged())
+            rows = len(held[-1][0])
+            if rows > 100_000:
+                yield batch_of(*held.pop())
+                rows = 0
+    if held:
+        yield batch_of(*merged())
 
 
 def _words(batches):
@@ -401,7 +450,7 @@ def _words(batches):
         return _rounds(held["rounds"]), set(held["fixed"]), members
 
     for batch in parts(batches):
-        rows = zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("words").to_pylist(), _by_host(batch, batch.num_columns - 1, made, candidates), strict=True)
+        rows = zip(batch.column("host").to_pylist(), _lists(batch.column("tokens")), _lists(batch.column("words")), _by_host(batch, batch.num_columns - 1, made, candidates), strict=True)
         for host, tokens, words, (rounds_, fixed, members) in rows:
             ids = numbered(renamed(tokens, words, rounds_), words, fixed)
             found = spelled(ids, members)
@@ -446,7 +495,7 @@ def _fills(batches):
     texts in it, words of running and own text on its pages, its depth, its pages, and whether it is a box or a heading."""
     sums, made = _Sums([("host", pa.string()), ("element", pa.int64())], ["running", "links", "own", "all_running", "all_own", "depth", "pages", "box"]), {}
     for batch in parts(batches):
-        columns = [batch.column(c).to_pylist() for c in ("host", "tokens", "words", "boxes")]
+        columns = [batch.column("host").to_pylist(), *(_lists(batch.column(c)) for c in ("tokens", "words", "boxes"))]
         for host, tokens, words, boxes, template in zip(*columns, _by_host(batch, batch.num_columns - 1, made, lambda held: _template(_rounds(held))), strict=True):
             open_, here, whole = [], {}, [0, 0, 0]
             for t, w, box in zip(_named(tokens, words, template), words, boxes, strict=True):
