@@ -11,7 +11,9 @@ Which windows are worth embedding is settled first, without loss: an item of L w
 shares at least L - q + 1 - q d of its q-word shingles with the place it stands in, so only windows
 about so many shared shingles of one item are embedded, with lengths of such items.
 
-Items travel to the tasks in blocks of ``ITEMS_PER_BLOCK``; each block is one pass over the documents.
+Items are distinct texts of any length (those of under five words allow no edit); ids come back by a join at the end. They travel
+to the tasks in blocks of at most ``ITEMS_PER_BLOCK`` items and about ``BLOCK_BYTES`` of text. The driver holds one block at a time: each is one pass
+over the documents, whose findings are written before the next.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import types as T
 
 from modsplit_spark.llm.bytegrams import parts
 from modsplit_spark.llm.wordhash import mix, word_hashes
+from modsplit_spark.sources.workspace import materialize
 
 SIMILARITY = 0.8
-LEAST_WORDS = 5
-WALKS, SAMPLES, PLACES = 4, 8, 3
-ITEMS_PER_BLOCK = 20_000
+WALKS, SAMPLES, PLACES = 8, 8, 3
+ITEMS_PER_BLOCK, BLOCK_BYTES = 20_000, 16 << 20
+#: Rows of a benchmark up to which its ids are broadcast to the findings; a larger one is joined by shuffle.
+BROADCAST_ITEMS = 50_000
 HASHED_BYTES, CHUNK_BYTES = 1 << 20, 8 << 20
 SEED = 77
 #: ASCII marks count as blanks.
@@ -92,7 +96,7 @@ class Index:
         bounds = np.searchsorted(owner, np.arange(len(items) + 1))
         self.ids, self.words = [], []
         for (item, _), a, b in zip(items, bounds, bounds[1:], strict=False):
-            if b - a >= LEAST_WORDS:
+            if b > a:
                 self.ids.append(item)
                 self.words.append(words[a:b])
         self.length = np.array([len(w) for w in self.words], np.int64)
@@ -227,7 +231,7 @@ def leaks(texts: list[bytes], index: Index) -> list[tuple[int, object, int, int,
     return out
 
 
-def _found(batches, index: Index, item_type):
+def _found(batches, index: Index):
     for batch in parts(batches, 2048):
         texts, start = [_prepared(t) for t in batch.column(1).to_pylist()], 0
         while start < len(texts):
@@ -240,8 +244,8 @@ def _found(batches, index: Index, item_type):
                 text, item, at, n, distance, length = zip(*rows, strict=True)
                 similarity = [1 - d / k for d, k in zip(distance, length, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([start + t for t in text])), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (at, n, distance)), pa.array(similarity)],
-                    ["doc_id", "item_id", "start_word", "n_words", "edits", "similarity"],
+                    [batch.column(0).take(pa.array([start + t for t in text])), pa.array(item, pa.string()), *(pa.array(x, pa.int64()) for x in (at, n, distance)), pa.array(similarity)],
+                    ["doc_id", "item", "start_word", "n_words", "edits", "similarity"],
                 )
             start = end
 
@@ -250,20 +254,25 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     """``(doc_id, item_id, start_word, n_words, edits, similarity)``, one row for each stretch of a document that is a
     benchmark item with at most ``(1 - similarity) * words of the item`` words inserted, lost or replaced.
 
-    Words are lower-cased runs without white space and ASCII marks. Null and empty texts have none. Items of fewer
-    than ``LEAST_WORDS`` words are left out; repeated rows of either table count as often as they occur; an
-    empty table on either side gives no row. Stretches of one item do not overlap."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-items.count() // items_per_block))
-    schema = T.StructType(
-        [documents.schema["doc_id"], T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("similarity", T.DoubleType())]
-    )
+    Words are lower-cased runs without white space and ASCII marks. Null and empty texts, and items without a word, give no row;
+    items of under five words must stand there word by word. Repeated rows of either table count as often as they occur; an
+    empty table on either side gives no row. Stretches of one item do not overlap. Other columns are not read; doc_id may be of any type."""
+    ids = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").select("item_id", "text", F.md5(F.col("text").cast("binary")).alias("item"))
+    items = ids.groupBy("item").agg(F.first("text").alias("text"))
+    count, size = items.agg(F.count("*"), F.sum(F.length("text"))).first()
+    blocks = max(1, -(-count // items_per_block), -(-(size or 0) // BLOCK_BYTES))
+    if blocks > 1:
+        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).repartition("block"), "benchmark-blocks")
+    schema = T.StructType([documents.schema["doc_id"], *(T.StructField(n, k) for n, k in (("item", T.StringType()), ("start_word", T.LongType()), ("n_words", T.LongType()), ("edits", T.LongType()), ("similarity", T.DoubleType())))])
     found = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = Index([tuple(r) for r in own.collect()], similarity)
-        part = documents.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_found, index=index, item_type=to_arrow_type(schema["item_id"].dataType)), schema)
+        own = items.where(F.col("block") == block) if blocks > 1 else items
+        index = Index([tuple(r) for r in own.select("item", "text").collect()], similarity)
+        part = documents.select("doc_id", F.col("text").cast("string")).mapInArrow(partial(_found, index=index), schema)
+        if blocks > 1:
+            part = materialize(part, "leaks")
         found = part if found is None else found.unionByName(part)
-    return found
+    known = ids.select("item_id", "item")
+    if benchmark.count() <= BROADCAST_ITEMS:
+        known = F.broadcast(known)
+    return found.join(known, "item").select("doc_id", "item_id", "start_word", "n_words", "edits", "similarity")

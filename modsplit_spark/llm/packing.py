@@ -6,8 +6,8 @@ window leave almost nothing open. Those pieces are placed online: a level array
 fill level, and a piece of size s goes to the level h (0 for a new window) that makes the sum of
 squares of those counts least, which keeps the levels even and so finds mates for what comes.
 
-Documents are tokenized once, in tasks, and only piece lengths and checksums go on. Rests are
-packed in hashed groups of about ``GROUP`` pieces, so groups grow in number, not in size; each group
+Documents are tokenized once, in tasks, and only piece lengths and checksums go on, with a row number written beside them. Rests are
+packed in groups of about ``GROUP`` pieces, hashed from that number, so groups grow in number, not in size, whatever the doc_ids are; each group
 leaves only its last open windows padded.
 
 Token ids are those of the given tokenizer file. White space of one blank or line break always splits
@@ -161,26 +161,33 @@ def sum_of_squares(sizes: list[int], capacity: int = LENGTH) -> list[tuple[int,
     return placed
 
 
-def _pack_group(table: pa.Table) -> pa.Table:
-    order = np.lexsort((table["start"].to_numpy(), table["_place"].to_numpy()))
-    table = table.take(pa.array(order))
+def _pack_group(table: pa.Table, width: int) -> pa.Table:
+    table = table.take(pa.array(np.argsort(table["_place"].to_numpy(), kind="stable")))
     placed = sum_of_squares(table["length"].to_pylist())
     group = table["_group"].to_numpy().astype(np.int64)
     windows = np.array([w for w, _ in placed], np.int64)
+    if len(windows) and windows.max() >= width:
+        raise RuntimeError("a group has more windows than its width")
     out = table.drop_columns(["_group", "_place"])
-    return out.append_column("sequence_id", pa.array(2 * ((group << 20) + windows))).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+    return out.append_column("sequence_id", pa.array(2 * (group * width + windows))).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
 
 def pack(documents: DataFrame, files: tuple[str, str, str] | None = None, group: int = GROUP) -> DataFrame:
     """The digest of ``op6``: one row per piece with its sequence and offset.
 
     Even sequence ids are windows of rests, odd ones hold one whole piece. Null texts are empty and
-    have one id (the final 0). Repeated rows are packed as often as they occur. An empty table gives no row."""
-    pieces = materialize(tokenized_pieces(documents, files), "pieces")
-    rests = pieces.where(F.col("length") < LENGTH)
-    groups = max(1, -(-rests.count() // group))
-    place = F.xxhash64("doc_id", F.lit(3))
-    fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    packed = rests.withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(groups))).withColumn("_place", place).groupBy("_group").applyInArrow(_pack_group, T.StructType(fields))
-    whole = pieces.where(F.col("length") == LENGTH).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
+    have one id (the final 0). Null and repeated doc_ids are like any others: repeated rows are packed as often as they occur. An empty
+    table gives no row. Other columns are not read."""
+    pieces = materialize(tokenized_pieces(documents, files).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-pieces.where(F.col("length") < LENGTH).count() // group))
+    rests = pieces.where(F.col("length") < LENGTH).withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(4)), F.lit(groups))).withColumn("_place", F.xxhash64("_row", F.lit(3))).drop("_row")
+    # A group has at most as many windows as pieces.
+    width = rests.groupBy("_group").count().agg(F.max("count")).first()[0] or 1
+    fields = [*rests.drop("_group", "_place").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+
+    def in_windows(table: pa.Table) -> pa.Table:
+        return _pack_group(table, width)
+
+    packed = rests.groupBy("_group").applyInArrow(in_windows, T.StructType(fields))
+    whole = pieces.where(F.col("length") == LENGTH).withColumn("sequence_id", 2 * F.col("_row") + 1).withColumn("offset", F.lit(0).cast("long")).drop("_row")
     return packed.unionByName(whole)

@@ -190,11 +190,12 @@ def _shift(p: np.ndarray, y: np.ndarray) -> float:
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, per_label: int = 500) -> dict:
     """The model, from at most ``per_label`` texts of each label outside the held-out fold.
 
-    Rows whose doc_id, text or label is null are not learnt from; a doc_id that is labelled twice counts as toxic if once."""
+    Rows whose doc_id, text or label is null are not learnt from; a doc_id that is labelled twice counts as toxic if once, and of
+    several texts of one doc_id the least is learnt, so that the sample is bounded in rows."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     present = usable.join(documents.where("text is not null").select("doc_id"), "doc_id", "left_semi")
     ids = sample_ids(present, "_toxic", per_label)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("_toxic", "text", "doc_id").collect()
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([_prepared(r["text"]) for r in rows], np.array([int(r["_toxic"] == 1) for r in rows], np.int64))
 

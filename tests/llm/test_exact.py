@@ -3,8 +3,10 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from modsplit_spark.llm.wordhash import word_hashes
 
 def test_lpt_matches_plain_schedule_and_is_near_equal(spark):
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 9) for _ in range(rng.randrange(15, 60))) for _ in range(400)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])], "doc_id long, text string")
     got = sharding.shard_documents(rows, 4).collect()
     assert {len({r["shard"] for r in got if r["text_crc32"] == c}) for c in {r["text_crc32"] for r in got}} == {1}
@@ -24,6 +26,15 @@ def test_lpt_matches_plain_schedule_and_is_near_equal(spark):
     assert max(loads) - min(loads) <= max(r["size"] for r in got)
     for s in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    sizes = {}
+    for r in got:
+        sizes[r["text_crc32"]] = sizes.get(r["text_crc32"], 0) + r["size"]
+    # With items this large every group is its own, so the whole is plain LPT: by size, each to the least-loaded shard.
+    assert sharding.BUNDLES and min(sizes.values()) * 4 * sharding.GRAIN >= sum(sizes.values())
+    plain = [0] * 4
+    for size in sorted(sizes.values(), reverse=True):
+        plain[plain.index(min(plain))] += size
+    assert sorted(loads) == sorted(plain)
     assert sharding.longest_first([(5, "a"), (4, "b"), (3, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
@@ -125,7 +136,7 @@ def test_substring_dedup_against_every_window(spark):
 def test_leaks_against_alignment_with_every_item():
     rng = random.Random(9)
     words = [f"v{i}" for i in range(300)]
-    items = [(k, " ".join(rng.choices(words, k=rng.randrange(5, 50)))) for k in range(30)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(5, 50)))) for k in range(24)] + [(24 + k, " ".join(f"s{k}x{i}" for i in range(k + 1))) for k in range(5)] + [(29, " ".join(rng.choices(words, k=200)))]
     texts = []
     for k in range(150):
         w = items[k % 30][1].split()
@@ -147,6 +158,20 @@ def test_leaks_against_alignment_with_every_item():
     assert all(got[k] >= want[k] for k in got)
 
 
+def test_recall_at_exactly_the_allowed_edits():
+    rng = random.Random(31)
+    for length, copies in ((10, 60), (60, 60), (200, 40), (300, 20)):
+        items = [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(length))) for k in range(10)]
+        index, texts = D.Index(items), []
+        for k in range(copies):
+            w = items[k % 10][1].split()
+            for i in rng.sample(range(length), D.edits(length)):
+                w[i] = f"n{rng.randrange(10**6)}"
+            texts.append(D._prepared(" ".join(["before"] * 30 + w + ["after"] * 30)))
+        found = {(t, i) for t, i, *_ in D.leaks(texts, index)}
+        assert sum((t, t % 10) in found for t in range(copies)) >= 0.95 * copies, length
+
+
 def test_media_round_trip():
     rng = np.random.default_rng(1)
     for data in (b"\0" * 64, b"ab" * 32, bytes(range(256)), rng.integers(0, 256, 64 * 700, dtype=np.uint8).tobytes(), b"x" * (64 * 20_000) + b"y" * 64):
@@ -256,7 +281,7 @@ def test_tokens_and_windows():
     table = packing._table(None)
     rng = random.Random(3)
     for _ in range(300):
-        text = "".join(rng.choice(["the", "Wörter", " ", " ", "\n", "  ", "\t", "don't", "12", ".", "\u00a0", "<|endoftext|>", "漢字"]) for _ in range(rng.randrange(20)))
+        text = "".join(rng.choice(["the", "Wörter", " ", " ", "\n", "  ", "\t", "don't", "12", ".", "\u00a0", "<|endoftext|>", "漢字", "e\u0301", "\u0301", "\U0001f469\u200d\U0001f4bb", "\x85", "\u2028", "\x1c", "\x1f", "\r\n", "q" * 60]) for _ in range(rng.randrange(20)))
         assert table.encode(text) == table.whole(text), repr(text)
     sizes = [rng.randrange(1, 1025) for _ in range(500)]
     fill = {}
@@ -266,6 +291,49 @@ def test_tokens_and_windows():
     assert max(fill.values()) <= 1024
 
 
+def _plain_squares(sizes, capacity):
+    """The rule by trying every level: counts of partly filled windows at each fill, least sum of squares, fullest level of equals."""
+    open_, placed, opened = [], [], 0  # [window, fill], in the order in which they came to that fill
+    for s in sizes:
+        def total(level):
+            fills = Counter(f for _, f in open_)
+            if level:
+                fills[level] -= 1
+            if level + s < capacity:
+                fills[level + s] += 1
+            return sum(n * n for n in fills.values())
+
+        level = min([0, *{f for _, f in open_ if f + s <= capacity}], key=lambda h: (total(h), -h))
+        if level:
+            at = max(i for i, (_, f) in enumerate(open_) if f == level)
+            window = open_.pop(at)[0]
+        else:
+            window, opened = opened, opened + 1
+        placed.append((window, level))
+        if level + s < capacity:
+            open_.append([window, level + s])
+    return placed
+
+
+def test_sum_of_squares_against_every_level():
+    rng = random.Random(12)
+    for capacity, most in ((16, 16), (64, 20), (128, 128)):
+        sizes = [rng.randrange(1, most + 1) for _ in range(300)]
+        assert packing.sum_of_squares(sizes, capacity) == _plain_squares(sizes, capacity)
+
+
+def test_many_null_ids_share_no_window(spark):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("more "), (F.col("id") % 7).cast("int"))).alias("text"))
+    found = packing.pack(rows)
+    assert found.count() == 50_000
+    fills = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("pieces"))
+    # Gapless: what is in a sequence ends where its pieces add up to.
+    assert fills.where("n > 1024 or n != end").count() == 0 and fills.count() < 1.12 * found.agg(F.sum("length")).first()[0] / 1024
+    assert packing.pack(rows.limit(3000), group=100).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    with np.testing.assert_raises(RuntimeError):
+        packing._pack_group(pa.table({"length": [1000, 1000], "_group": [0, 0], "_place": [1, 2]}), 1)
+
+
 def test_packed_ids_read_back(spark):
     texts = ["word " * n for n in (0, 1, 130, 1023, 1024, 3000)] + [None, "a\n\nb"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -309,13 +377,13 @@ def test_template_slots_decide(spark):
 
 
 def test_language_and_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = L.identify_held_out(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
-    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.99
     code = L.codewords(4)
     assert code.shape == (4, 7) and min((a != b).sum() for a, b in itertools.combinations(code, 2)) == 4
     many = L.codewords(12)
     assert min((a != b).sum() for a, b in itertools.combinations(many, 2)) >= 6
     scored = toxicity.score_held_out(docs, labels).join(labels, "doc_id").where("held_out").collect()
     right = np.mean([np.mean([r["predicted"] == y for r in scored if r["toxic"] == y]) for y in (0, 1)])
-    assert right > 0.7
+    assert right >= 0.9

@@ -55,7 +55,9 @@ def test_leaks_of_odd_tables(spark, docs):
     got = decontamination.find_leaks(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(1, 1, 0)] * 2 + [(5, 1, 0)] * 4
     assert decontamination.find_leaks(docs, items.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), items).count() == 0
-    assert decontamination.find_leaks(docs, items, items_per_block=2).count() == 6
+    assert decontamination.find_leaks(docs, items, items_per_block=1).count() == 6
+    short = spark.createDataFrame([(1, "LEFT", 1), (2, "alone left", 1), (3, "b c.", 1), (3, " !? ", 1)], "item_id long, text string, item int")
+    assert sorted((str(r["doc_id"]), r["item_id"], r["start_word"]) for r in decontamination.find_leaks(docs, short).collect()) == [("1", 3, 1), ("5", 3, 1), ("5", 3, 1), ("None", 1, 0)]
 
 
 def test_stages_keep_columns_and_null_ids(spark, docs):
