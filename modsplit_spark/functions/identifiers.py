@@ -41,66 +41,91 @@ def bigramize(terms: Column, lookback: int = 1) -> Column:
     return F.flatten(pairs)
 
 
-def _measure(stem: str) -> int:
-    """Number of vowel-consonant sequences."""
-    kinds = "".join("v" if _vowel(stem, i) else "c" for i in range(len(stem)))
-    return sum(1 for a, b in zip(kinds, kinds[1:], strict=False) if a == "v" and b == "c")
-
+def _kinds(word: str) -> str:
+    """``v`` for a vowel, ``c`` for a consonant; y is a vowel after a consonant."""
+    out = ""
+    for i, letter in enumerate(word):
+        out += "v" if letter in "aeiou" or (letter == "y" and i > 0 and out[-1] == "c") else "c"
+    return out
 
-def _vowel(word: str, i: int) -> bool:
-    return word[i] in "aeiou" or (word[i] == "y" and i > 0 and not _vowel(word, i - 1))
 
-
-def _has_vowel(stem: str) -> bool:
-    return any(_vowel(stem, i) for i in range(len(stem)))
+def _measure(stem: str) -> int:
+    """Number of vowel-consonant sequences."""
+    return _kinds(stem).count("vc")
 
 
 def _double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and not _vowel(word, len(word) - 1)
+    return len(word) > 1 and word[-1] == word[-2] and _kinds(word)[-1] == "c"
 
 
 def _short(word: str) -> bool:
-    n = len(word)
-    return n > 2 and not _vowel(word, n - 3) and _vowel(word, n - 2) and not _vowel(word, n - 1) and word[-1] not in "wxy"
+    """Ends in consonant, vowel, consonant other than w, x, y; or is a vowel and a consonant."""
+    kinds = _kinds(word)
+    return kinds == "vc" or (kinds.endswith("cvc") and word[-1] not in "wxy")
 
 
-# Suffix tables of the 1980 paper, steps 2 to 4.
+# Suffix tables of the 1980 paper, steps 2 to 4, with the later endings bli, fulli and logi, and irregular words.
 STEP2 = dict(
-    ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
-    ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble",
+    ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", bli="ble", alli="al", entli="ent", eli="e", ousli="ous", ization="ize",
+    ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble", fulli="ful", logi="log",
 )
 STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+IRREGULAR = dict(
+    skies="sky", sky="sky", dying="die", lying="lie", tying="tie", news="news", innings="inning", inning="inning", outings="outing", outing="outing",
+    cannings="canning", canning="canning", howe="howe", proceed="proceed", exceed="exceed", succeed="succeed",
+)
 
 
-def porter(word: str) -> str:
-    """The stem of a lower-case word by the 1980 algorithm."""
-    w = word
-    if len(w) < 3:
-        return w
-    for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(suffix):
-            w = w[: len(w) - len(suffix)] + new
-            break
+def _longest(word: str, suffixes) -> str | None:
+    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+
+
+def _plural(w: str) -> str:
+    if w.endswith("ies"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("sses"):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+
+
+def _past(w: str) -> str:
+    if w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
     if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        cut = next((w[: -len(s)] for s in ("ed", "ing") if w.endswith(s) and _has_vowel(w[: -len(s)])), None)
-        if cut is not None:
-            w = cut
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif _double(w) and w[-1] not in "lsz":
-                w = w[:-1]
-            elif _measure(w) == 1 and _short(w):
-                w += "e"
-    if w.endswith("y") and _has_vowel(w[:-1]):
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    cut = next((w[: -len(s)] for s in ("ed", "ing") if w.endswith(s) and "v" in _kinds(w[: -len(s)])), None)
+    if cut is None:
+        return w
+    if cut.endswith(("at", "bl", "iz")):
+        return cut + "e"
+    if _double(cut):
+        return cut if cut[-1] in "lsz" else cut[:-1]
+    return cut + "e" if _measure(cut) == 1 and _short(cut) else cut
+
+
+def _derived(w: str) -> str:
+    """Step 2. What is left of ``-alli`` is looked at once more; of ``-logi`` the l counts for the stem."""
+    suffix = _longest(w, STEP2)
+    if suffix is None or _measure(w[: -len(suffix)] + ("l" if suffix == "logi" else "")) == 0:
+        return w
+    new = w[: -len(suffix)] + STEP2[suffix]
+    return _derived(new) if suffix == "alli" else new
+
+
+def porter(word: str) -> str:
+    """The stem of a lower-case word: the 1980 algorithm with the extensions in common use. Words of up to two letters stay; y becomes i
+    only after a consonant that is not the first letter; of four letters, ``-ies`` and ``-ied`` become ``-ie``; a few words are irregular."""
+    if len(word) < 3 or word in IRREGULAR:
+        return IRREGULAR.get(word, word)
+    w = _past(_plural(word))
+    if w.endswith("y") and len(w) > 2 and _kinds(w[:-1])[-1] == "c":
         w = w[:-1] + "i"
-    for table in (STEP2, STEP3):
-        suffix = max((s for s in table if w.endswith(s)), key=len, default=None)
-        if suffix and _measure(w[: -len(suffix)]) > 0:
-            w = w[: -len(suffix)] + table[suffix]
-    suffix = max((s for s in STEP4 if w.endswith(s)), key=len, default=None)
+    w = _derived(w)
+    suffix = _longest(w, STEP3)
+    if suffix and _measure(w[: -len(suffix)]) > 0:
+        w = w[: -len(suffix)] + STEP3[suffix]
+    suffix = _longest(w, STEP4)
     if suffix:
         stem = w[: -len(suffix)]
         if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
@@ -109,7 +134,7 @@ def porter(word: str) -> str:
         m = _measure(w[:-1])
         if m > 1 or (m == 1 and not _short(w[:-1])):
             w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
+    if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
     return w
 

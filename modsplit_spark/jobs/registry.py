@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,33 +48,42 @@ def oracle_sql() -> dict[str, str]:
 
 
 class Frames:
-    """The fixture frames that several queries need, each made when asked for."""
+    """The fixture frames that a query needs, each made when asked for and once. What costs several stages is written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         view = lambda name: fixture(spark, sf_dir, name)
         self.spark, self.entities, self.flat, self.deps = spark, view("fx_entities"), view("fx_flat_entities"), view("fx_deps")
 
+    @cached_property
     def internal(self) -> DataFrame:
-        return R.internal_deps(self.deps, self.flat)
+        return materialize(R.internal_deps(self.deps, self.flat), "internal")
 
+    @cached_property
     def units(self) -> DataFrame:
-        return self.internal().select(*UNIT).distinct()
+        return self.internal.select(*UNIT).distinct()
 
+    @cached_property
     def outside(self) -> DataFrame:
-        return R.outside_deps(self.deps, self.flat, R.root_closure(self.flat))
+        return materialize(R.outside_deps(self.deps, self.flat, R.root_closure(self.flat)).distinct(), "outside")
 
-    def nodes(self, with_clients: bool = True) -> DataFrame:
-        units = self.units()
-        if with_clients:
-            found = R.clients(self.outside(), self.flat)
-        else:
-            found = self.spark.createDataFrame([], "commit_key string, parent_id string, entity_id string, name string, kind string")
-        return G.index_nodes(R.label_clients(units, self.flat, found))
+    @cached_property
+    def children_nodes(self) -> DataFrame:
+        none = self.spark.createDataFrame([], "commit_key string, parent_id string, entity_id string, name string, kind string")
+        return materialize(G.index_nodes(R.label_clients(self.units, self.flat, none)), "nodes")
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return materialize(G.index_nodes(R.label_clients(self.units, self.flat, R.clients(self.outside, self.flat))), "nodes")
+
+    @cached_property
     def all_deps(self) -> DataFrame:
-        return self.internal().unionByName(R.client_deps(self.outside()))
+        return self.internal.unionByName(R.client_deps(self.outside))
+
+    @cached_property
+    def directed(self) -> DataFrame:
+        return G.directed_edges(self.all_deps, self.nodes)
 
-    def termed(self, stem: bool = False) -> DataFrame:
+    def termed(self, stem: bool = True) -> DataFrame:
         return I.termize(self.flat.where("parent_id is not null").select("parent_id", "entity_id", "name"), stem)
 
     def pairs(self) -> DataFrame:
@@ -82,14 +92,23 @@ class Frames:
     def sims(self) -> DataFrame:
         return M.doc_similarity(materialize(self.pairs(), "pairs"))
 
-    def similar(self, nodes: DataFrame) -> DataFrame:
-        return G.similarity_edges(nodes, self.termed(), materialize(M.entity_sim(self.sims()), "sims"))
+    def similar(self) -> DataFrame:
+        return G.similarity_edges(self.nodes, self.termed(), materialize(M.entity_sim(self.sims()), "sims"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(G.edge_weights(self.directed, self.similar()), "edges")
+
 
-    def edges(self) -> tuple[DataFrame, DataFrame]:
-        nodes = materialize(self.nodes(), "nodes")
-        return nodes, materialize(G.edge_weights(G.directed_edges(self.all_deps(), nodes), self.similar(nodes)), "edges")
+def over(make: Callable[[Frames], DataFrame]) -> Query:
+    """A query of one set of frames."""
+    return lambda spark, sf_dir: make(Frames(spark, sf_dir))
 
 
+#: The words of the fixture's names whose stem is another word, stemmed by hand.
+STEMS = {"large": "larg"}
+STEM_MAP = f"map({list(STEMS)}, {list(STEMS.values())})"
+
 CTE = {
     "d": (["fx_deps"], "SELECT coalesce(nullif(commit_id, ''), 'WORKDIR') AS commit_key, src_id, tgt_id, kind FROM fx_deps"),
     "kids": (["fx_flat_entities"], "SELECT parent_id, entity_id, name, kind, start_byte FROM fx_flat_entities WHERE parent_id IS NOT NULL"),
@@ -103,7 +122,8 @@ CTE = {
     "alldeps": (["internal", "outside"], "SELECT * FROM internal UNION ALL SELECT DISTINCT commit_key, parent_id, root_id, tgt_id, kind FROM outside"),
     "directed": (["alldeps", "nodes"], "SELECT DISTINCT d.commit_key, d.parent_id, a.ix AS a, b.ix AS b FROM alldeps d JOIN nodes a ON a.commit_key = d.commit_key AND a.parent_id = d.parent_id AND a.entity_id = d.src_id JOIN nodes b ON b.commit_key = d.commit_key AND b.parent_id = d.parent_id AND b.entity_id = d.tgt_id WHERE a.ix <> b.ix"),
     "termed": (["kids"], r"SELECT parent_id, entity_id, name, list_filter(flatten(list_transform(string_split_regex(name, '[ _]'), lambda p: CASE WHEN upper(p) = p AND lower(p) <> p THEN [lower(p)] ELSE string_split(lower(regexp_replace(p, '([A-Z0-9])', chr(1) || '\1', 'g')), chr(1)) END)), lambda t: len(t) > 0) AS terms FROM kids"),
-    "docs": (["termed"], "SELECT *, array_to_string(terms, '_') AS doc FROM termed"),
+    "stemmed": (["termed"], "SELECT parent_id, entity_id, name, list_transform(terms, lambda t: coalesce(map_extract_value(" + STEM_MAP + ", t), t)) AS terms FROM termed"),
+    "docs": (["stemmed"], "SELECT *, array_to_string(terms, '_') AS doc FROM stemmed"),
     "occ": (["docs"], "SELECT parent_id, doc, unnest(list_concat(terms, list_transform(range(2, len(terms) + 1), lambda i: terms[i - 1] || '-' || terms[i]))) AS term FROM docs"),
     "allpairs": (["occ"], "SELECT parent_id, term, doc, count(*) AS n FROM occ GROUP BY ALL"),
     "pairs": (["allpairs"], "SELECT parent_id, term, doc, n FROM (SELECT *, sum(n) OVER (PARTITION BY parent_id, term) AS t FROM allpairs) WHERE t > 1"),
@@ -175,8 +195,7 @@ reach AS (SELECT commit_key, parent_id, ix, ix AS other FROM kid UNION SELECT r.
 def unit_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per unit, the weak component of each child and how many of its dependencies stay inside."""
     f = Frames(spark, sf_dir)
-    internal = materialize(f.internal(), "internal")
-    nodes = materialize(f.nodes(with_clients=False), "nodes")
+    internal, nodes = f.internal, f.children_nodes
     wcc = G.weak_components(nodes, G.directed_edges(internal, nodes))
     counts = internal.groupBy(*UNIT, F.col("src_id").alias("entity_id")).agg(F.count("*").cast("double").alias("dependencies"))
     return nodes.join(wcc, [*UNIT, "ix"]).join(counts, [*UNIT, "entity_id"], "left").select(*UNIT, "entity_id", "ix", F.coalesce("dependencies", F.lit(0.0)).alias("dependencies"), "wcc")
@@ -203,15 +222,15 @@ LEFT JOIN (SELECT DISTINCT parent_id FROM fx_entities) g ON g.parent_id = CASE W
 register("root_closure", sql("SELECT entity_id, root_id FROM up WHERE done", "fx_entities", recursive=True, more="""
 up AS (SELECT entity_id, coalesce(parent_id, entity_id) AS root_id, parent_id IS NULL AS done FROM fx_entities
 UNION ALL SELECT u.entity_id, coalesce(e.parent_id, e.entity_id), e.parent_id IS NULL FROM up u JOIN fx_entities e ON e.entity_id = u.root_id WHERE NOT u.done)"""))(lambda s, d: R.root_closure(Frames(s, d).entities))
-register("internal_deps", sql("SELECT * FROM internal", "internal"))(lambda s, d: Frames(s, d).internal())
-register("clients", sql("SELECT * FROM clients", "clients"))(lambda s, d: R.clients(Frames(s, d).outside(), Frames(s, d).flat))
-register("client_deps", sql("SELECT DISTINCT commit_key, parent_id, root_id AS src_id, tgt_id, kind FROM outside", "outside"))(lambda s, d: R.client_deps(Frames(s, d).outside()))
+register("internal_deps", sql("SELECT * FROM internal", "internal"))(over(lambda f: R.internal_deps(f.deps, f.flat)))
+register("clients", sql("SELECT * FROM clients", "clients"))(over(lambda f: R.clients(f.outside, f.flat)))
+register("client_deps", sql("SELECT DISTINCT commit_key, parent_id, root_id AS src_id, tgt_id, kind FROM outside", "outside"))(over(lambda f: R.client_deps(R.outside_deps(f.deps, f.flat, R.root_closure(f.flat)))))
 
 
 @register("label_clients", sql("SELECT * FROM labelled", "labelled"))
 def label_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Frames(spark, sf_dir)
-    return R.label_clients(f.units(), f.flat, R.clients(f.outside(), f.flat))
+    return R.label_clients(f.units, f.flat, R.clients(f.outside, f.flat))
 
 
 # ---------------------------------------------------------------- identifiers
@@ -220,10 +239,16 @@ register("split_identifier", sql("SELECT entity_id, array_to_string(terms, '|')
 register("split_camel", sql("SELECT entity_id, array_to_string(list_filter(string_split(lower(regexp_replace(split_part(name, ' ', 1), '([A-Z0-9])', chr(1) || '\\1', 'g')), chr(1)), lambda t: len(t) > 0), '|') AS tokens FROM kids", "kids"))(
     lambda s, d: Frames(s, d).flat.where("parent_id is not null").select("entity_id", F.array_join(F.filter(I.split_camel(F.split_part("name", F.lit(" "), F.lit(1))), lambda t: F.length(t) > 0), "|").alias("tokens"))
 )
-register("join_singles")(lambda s, d: Frames(s, d).flat.where("parent_id is not null").select("entity_id", F.array_join(F.split(I.join_singles(F.regexp_replace("name", "(?<=.)(?=.)", I.CUT)), I.CUT), "|").alias("tokens")))
-register("termize")(lambda s, d: Frames(s, d).termed(stem=True).select("parent_id", "entity_id", F.array_join("terms", "|").alias("terms")))
+PIECES = """
+p AS (SELECT entity_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT entity_id, list_filter(string_split(regexp_replace(name, '([aeiou])', chr(1) || '\\1', 'g'), chr(1)), lambda t: len(t) > 0) AS ps FROM kids)),
+g AS (SELECT entity_id, piece, i, sum(CASE WHEN len(piece) = 1 AND before = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY entity_id ORDER BY i) AS g FROM (SELECT *, lag(len(piece)) OVER (PARTITION BY entity_id ORDER BY i) AS before FROM p)),
+t AS (SELECT entity_id, g, string_agg(piece, '' ORDER BY i) AS token FROM g GROUP BY entity_id, g)"""
+register("join_singles", sql("SELECT entity_id, string_agg(token, '|' ORDER BY g) AS tokens FROM t GROUP BY entity_id", "kids", more=PIECES))(
+    lambda s, d: Frames(s, d).flat.where("parent_id is not null").select("entity_id", F.array_join(F.split(I.join_singles(F.regexp_replace("name", "(?<=.)(?=[aeiou])", I.CUT)), I.CUT), "|").alias("tokens"))
+)
+register("termize", sql("SELECT parent_id, entity_id, array_to_string(terms, '|') AS terms FROM stemmed", "stemmed"))(lambda s, d: Frames(s, d).termed().select("parent_id", "entity_id", F.array_join("terms", "|").alias("terms")))
 register("normalize_name", sql("SELECT parent_id, entity_id, doc FROM docs", "docs"))(lambda s, d: Frames(s, d).termed().select("parent_id", "entity_id", "doc"))
-register("bigramize", sql("SELECT entity_id, array_to_string(list_transform(range(2, len(terms) + 1), lambda i: terms[i - 1] || '-' || terms[i]), '|') AS bigrams FROM termed", "termed"))(lambda s, d: Frames(s, d).termed().select("entity_id", F.array_join(I.bigramize(F.col("terms"), 1), "|").alias("bigrams")))
+register("bigramize", sql("SELECT entity_id, array_to_string(list_transform(range(2, len(terms) + 1), lambda i: terms[i - 1] || '-' || terms[i]), '|') AS bigrams FROM stemmed", "stemmed"))(lambda s, d: Frames(s, d).termed().select("entity_id", F.array_join(I.bigramize(F.col("terms"), 1), "|").alias("bigrams")))
 register("occurrences", sql("SELECT * FROM occ", "occ"))(lambda s, d: I.occurrences(Frames(s, d).termed()))
 
 # ---------------------------------------------------------------- similarity
@@ -270,21 +295,20 @@ register("entity_sim", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0
 
 # ---------------------------------------------------------------- graph
 
-register("index_nodes", sql("SELECT commit_key, parent_id, entity_id, name, ix FROM nodes", "nodes"))(lambda s, d: Frames(s, d).nodes().select(*UNIT, "entity_id", "name", "ix"))
-register("node_weights", sql("SELECT commit_key, parent_id, ix, weight FROM nodes", "nodes"))(lambda s, d: Frames(s, d).nodes().select(*UNIT, "ix", "weight"))
-register("directed_edges", sql("SELECT * FROM directed", "directed"))(lambda s, d: G.directed_edges(Frames(s, d).all_deps(), materialize(Frames(s, d).nodes(), "nodes")))
+register("index_nodes", sql("SELECT commit_key, parent_id, entity_id, name, ix FROM nodes", "nodes"))(over(lambda f: f.nodes.select(*UNIT, "entity_id", "name", "ix")))
+register("node_weights", sql("SELECT commit_key, parent_id, ix, weight FROM nodes", "nodes"))(over(lambda f: f.nodes.select(*UNIT, "ix", "weight")))
+register("directed_edges", sql("SELECT * FROM directed", "directed"))(over(lambda f: f.directed))
 
 
 @register("similarity_edges", sql("SELECT commit_key, parent_id, a, b, round(sim, 6) + 0.0 AS sim FROM simedges", "simedges"))
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
-    return rounded(f.similar(materialize(f.nodes(), "nodes")), "sim")
+    return rounded(Frames(spark, sf_dir).similar(), "sim")
 
 
-register("edge_weights", sql("SELECT commit_key, parent_id, a, b, round(w, 6) + 0.0 AS w, directed, undirected FROM edges", "edges"))(lambda s, d: rounded(Frames(s, d).edges()[1], "w"))
-register("transpose_edges", sql("SELECT commit_key, parent_id, b AS a, a AS b FROM directed", "directed"))(lambda s, d: G.transpose_edges(G.directed_edges(Frames(s, d).all_deps(), materialize(Frames(s, d).nodes(), "nodes"))))
+register("edge_weights", sql("SELECT commit_key, parent_id, a, b, round(w, 6) + 0.0 AS w, directed, undirected FROM edges", "edges"))(over(lambda f: rounded(f.edges, "w")))
+register("transpose_edges", sql("SELECT commit_key, parent_id, b AS a, a AS b FROM directed", "directed"))(over(lambda f: G.transpose_edges(f.directed)))
 register("adjacency", sql("SELECT commit_key, parent_id, a, string_agg(b, ',' ORDER BY b) AS neighbours FROM directed GROUP BY ALL", "directed"))(
-    lambda s, d: G.adjacency(G.directed_edges(Frames(s, d).all_deps(), materialize(Frames(s, d).nodes(), "nodes"))).withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ","))
+    over(lambda f: G.adjacency(f.directed).withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",")))
 )
 REACH = "reach AS (SELECT commit_key, parent_id, ix, ix AS other FROM nodes UNION SELECT r.commit_key, r.parent_id, r.ix, e.b FROM reach r JOIN {edges} e ON e.commit_key = r.commit_key AND e.parent_id = r.parent_id AND e.a = r.other)"
 
@@ -293,8 +317,7 @@ REACH = "reach AS (SELECT commit_key, parent_id, ix, ix AS other FROM nodes UNIO
     "nodes", "directed", recursive=True, more="u AS (SELECT * FROM directed UNION SELECT commit_key, parent_id, b, a FROM directed), " + REACH.format(edges="u")))
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Frames(spark, sf_dir)
-    nodes = materialize(f.nodes(), "nodes")
-    return G.weak_components(nodes, G.directed_edges(f.all_deps(), nodes))
+    return G.weak_components(f.nodes, f.directed)
 
 
 @register("strong_components", sql("SELECT x.commit_key, x.parent_id, x.ix, min(x.other) AS least FROM reach x JOIN reach y ON y.commit_key = x.commit_key AND y.parent_id = x.parent_id AND y.ix = x.other AND y.other = x.ix GROUP BY ALL", "nodes", "directed", recursive=True, more=REACH.format(edges="directed")))
@@ -303,13 +326,13 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     f = Frames(spark, sf_dir)
-    nodes = materialize(f.nodes(), "nodes")
-    found = G.strong_components(nodes, G.directed_edges(f.all_deps(), nodes))
+    found = G.strong_components(f.nodes, f.directed)
     return found.select(*UNIT, "ix", F.min("ix").over(W.partitionBy(*UNIT, "scc")).alias("least"))
 
 
 def _condensed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    nodes, edges = Frames(spark, sf_dir).edges()
+    f = Frames(spark, sf_dir)
+    nodes, edges = f.nodes, f.edges
     scc = materialize(G.strong_components(nodes, edges.where("directed")), "scc")
     return nodes, edges, G.condense_nodes(nodes, scc), G.condense_edges(edges, scc)
 
@@ -331,10 +354,23 @@ def condense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(*UNIT, F.col("_a").alias("a"), F.col("_b").alias("b"), "w", "directed", "undirected"), "w")
 
 
-@register("component_edges")
+WEAK = """u AS (SELECT * FROM directed UNION SELECT commit_key, parent_id, b, a FROM directed),
+both_ways AS (SELECT commit_key, parent_id, ix, ix AS other FROM nodes UNION SELECT r.commit_key, r.parent_id, r.ix, u.b FROM both_ways r JOIN u ON u.commit_key = r.commit_key AND u.parent_id = r.parent_id AND u.a = r.other),
+weak AS (SELECT commit_key, parent_id, ix, min(other) AS least FROM both_ways GROUP BY ALL)"""
+
+
+@register("component_edges", sql("""SELECT e.commit_key, e.parent_id, x.least AS a, y.least AS b, v.least AS component, round(max(e.w), 6) + 0.0 AS w, bool_or(e.directed) AS directed, bool_or(e.undirected) AS undirected
+FROM edges e JOIN scc x ON x.commit_key = e.commit_key AND x.parent_id = e.parent_id AND x.ix = e.a JOIN scc y ON y.commit_key = e.commit_key AND y.parent_id = e.parent_id AND y.ix = e.b
+JOIN weak v ON v.commit_key = e.commit_key AND v.parent_id = e.parent_id AND v.ix = e.a JOIN weak z ON z.commit_key = e.commit_key AND z.parent_id = e.parent_id AND z.ix = e.b AND z.least = v.least GROUP BY ALL""", "nodes", "edges", recursive=True, more=MUTUAL + ",\n" + WEAK))
 def component_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges within a weak component; strong and weak components are named by their least node."""
     _, _, comps, edges = _condensed(spark, sf_dir)
-    return rounded(G.component_edges(edges, G.weak_components(comps, edges.where("directed"), node="scc")), "w")
+    wcc = G.weak_components(comps, edges.where("directed"), node="scc")
+    names = comps.select(*UNIT, "scc", F.array_min("members").alias("least"))
+    least = wcc.join(names, [*UNIT, "scc"]).groupBy(*UNIT, "wcc").agg(F.min("least").alias("component"))
+    left, right = names.withColumnsRenamed({"scc": "a", "least": "_a"}), names.withColumnsRenamed({"scc": "b", "least": "_b"})
+    found = G.component_edges(edges, wcc).join(least, [*UNIT, "wcc"]).join(left, [*UNIT, "a"]).join(right, [*UNIT, "b"])
+    return rounded(found.select(*UNIT, F.col("_a").alias("a"), F.col("_b").alias("b"), "component", "w", "directed", "undirected"), "w")
 
 
 # ---------------------------------------------------------------- partition
@@ -382,30 +418,65 @@ register("balance_bound", sql("SELECT commit_key, parent_id, CAST(ceil(1.1::DOUB
 )
 
 
-@register("recursive_partition")
+#: Every level splits all open blocks; a row of ``r`` is a node at one level, and the last level of a node holds its path.
+SPLITS = """r AS (SELECT commit_key, parent_id, wcc, pos, cut, '' AS path, 0 AS depth, true AS open FROM curves
+UNION ALL SELECT commit_key, parent_id, wcc, pos, cut, CASE WHEN split IS NULL THEN path WHEN path = '' THEN CAST(CAST(pos > split AS INTEGER) AS VARCHAR) ELSE path || '$' || CAST(CAST(pos > split AS INTEGER) AS VARCHAR) END, depth + 1, split IS NOT NULL FROM (
+  SELECT *, arg_min(pos, rank) OVER (PARTITION BY commit_key, parent_id, wcc, path) AS split FROM (
+    SELECT *, CASE WHEN n >= 2 AND n - l >= 1 AND l <= ceil(1.1::DOUBLE * ceil(n / 2)) AND n - l <= ceil(1.1::DOUBLE * ceil(n / 2)) THEN CAST(cut AS HUGEINT) * 1000000000000 + abs(2 * l - n) * 1000000 + pos END AS rank FROM (
+      SELECT *, count(*) OVER (PARTITION BY commit_key, parent_id, wcc, path ORDER BY pos) AS l, count(*) OVER (PARTITION BY commit_key, parent_id, wcc, path) AS n FROM r WHERE open)))),
+labels AS (SELECT commit_key, parent_id, wcc, pos, arg_max(path, depth) AS path FROM r GROUP BY ALL)"""
+CURVES = DAG_POS + """,
+e AS (SELECT e.commit_key, e.parent_id, p.pos AS a, q.pos AS b FROM fx_dag_edges e JOIN pos p ON p.commit_key = e.commit_key AND p.parent_id = e.parent_id AND p.v = e.a JOIN pos q ON q.commit_key = e.commit_key AND q.parent_id = e.parent_id AND q.v = e.b),
+{weak},
+ends AS (SELECT commit_key, parent_id, a AS pos, 65536 AS u FROM e UNION ALL SELECT commit_key, parent_id, b, -65536 FROM e),
+curves AS (SELECT s.commit_key, s.parent_id, w.wcc, s.pos, sum(s.u) OVER (PARTITION BY s.commit_key, s.parent_id, w.wcc ORDER BY s.pos) AS cut FROM (SELECT commit_key, parent_id, pos, sum(u) AS u FROM ends GROUP BY ALL) s JOIN wcc w ON w.commit_key = s.commit_key AND w.parent_id = s.parent_id AND w.pos = s.pos)"""
+ONE_WCC = "wcc AS (SELECT commit_key, parent_id, pos, 0 AS wcc FROM pos)"
+DAG_WCC = """u AS (SELECT DISTINCT * FROM e UNION SELECT commit_key, parent_id, b, a FROM e),
+far AS (SELECT commit_key, parent_id, pos, pos AS other FROM pos UNION SELECT f.commit_key, f.parent_id, f.pos, u.b FROM far f JOIN u ON u.commit_key = f.commit_key AND u.parent_id = f.parent_id AND u.a = f.other),
+wcc AS (SELECT commit_key, parent_id, pos, dense_rank() OVER (PARTITION BY commit_key, parent_id ORDER BY m DESC) - 1 AS wcc FROM (SELECT commit_key, parent_id, pos, max(other) AS m FROM far GROUP BY ALL))"""
+DAG_PATHS = CURVES.format(weak=DAG_WCC) + ",\n" + SPLITS + """,
+paths AS (SELECT w.commit_key, w.parent_id, w.pos, CAST(w.wcc AS VARCHAR) || CASE WHEN coalesce(l.path, '') = '' THEN '' ELSE '$' || l.path END AS path FROM wcc w LEFT JOIN labels l ON l.commit_key = w.commit_key AND l.parent_id = w.parent_id AND l.wcc = w.wcc AND l.pos = w.pos)"""
+
+
+@register("recursive_partition", sql("SELECT commit_key, parent_id, pos, path FROM labels", "fx_dag_edges", recursive=True, more=CURVES.format(weak=ONE_WCC) + ",\n" + SPLITS))
 def recursive_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _dag(spark, sf_dir)
     return N.recursive_partition(nodes, edges).select(*UNIT, "pos", F.array_join(F.transform("path", lambda x: x.cast("string")), "$").alias("path"))
 
 
-def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Frames(spark, sf_dir)
-    nodes = materialize(f.nodes(), "nodes")
-    return materialize(N.cluster_units(nodes, G.directed_edges(f.all_deps(), nodes), f.similar(nodes)), "clusters")
-
-
 def _paths(df: DataFrame) -> DataFrame:
     return df.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "$"))
 
 
-@register("partition_dag")
+def _dag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(unit, scc, path)`` of the acyclic fixture, whose nodes are strong components in topological order as they are."""
+    nodes, edges = _dag(spark, sf_dir)
+    marked = materialize(edges.select(*UNIT, "a", "b", "w", F.lit(True).alias("directed")), "scc-edges")
+    return N.partition_dag(nodes.select(*UNIT, F.col("pos").alias("scc"), "weight"), marked)
+
+
+def _dag_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(unit, ix, name, path)``: the acyclic fixture's members, every seventh marked as a client, with their clusters."""
+    name = F.when(F.col("ix") % 7 == 3, F.concat(F.lit("(Client) m"), (F.col("ix") % 5).cast("string"))).otherwise(F.concat(F.lit("m"), (F.col("ix") % 5).cast("string")))
+    return materialize(_dag_paths(spark, sf_dir).withColumnRenamed("scc", "ix").withColumn("name", name), "assigned")
+
+
+ASSIGNED = DAG_PATHS + """,
+assigned AS (SELECT commit_key, parent_id, pos AS ix, path, CASE WHEN pos % 7 = 3 THEN '(Client) m' ELSE 'm' END || CAST(pos % 5 AS VARCHAR) AS name FROM paths)"""
+
+
+@register("partition_dag", sql("SELECT commit_key, parent_id, pos AS scc, path FROM paths", "fx_dag_edges", recursive=True, more=DAG_PATHS))
 def partition_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, comps, edges = _condensed(spark, sf_dir)
-    return _paths(N.partition_dag(comps, materialize(edges, "scc-edges")))
+    return _paths(_dag_paths(spark, sf_dir))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frames(spark, sf_dir)
+    return materialize(N.cluster_units(f.nodes, f.directed, f.similar()), "clusters")
 
 
 register("cluster_units")(lambda s, d: _paths(_clustered(s, d)))
-register("assignment_lines")(lambda s, d: tables.assignment_lines(_clustered(s, d)))
+register("assignment_lines", sql("SELECT commit_key, parent_id, ix, name || ' : [' || replace(path, '$', ', ') || ']' AS line FROM assigned", "fx_dag_edges", recursive=True, more=ASSIGNED))(lambda s, d: tables.assignment_lines(_dag_assigned(s, d)))
 
 # ---------------------------------------------------------------- clustering algebra
 
@@ -461,23 +532,30 @@ register("num_levels", sql("SELECT clustering_id, max(len(path)) AS num_levels F
 
 # ---------------------------------------------------------------- export
 
-register("unique_names", sql("SELECT commit_key, parent_id, ix, CASE WHEN r = 0 THEN name ELSE name || ' (' || r || ')' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY commit_key, parent_id, name ORDER BY ix) - 1 AS r FROM nodes)", "nodes"))(lambda s, d: D.unique_names(Frames(s, d).nodes()).select(*UNIT, "ix", "unique_name"))
-register("matrix_variables", sql("SELECT commit_key, parent_id, entity_id, name, row_number() OVER (PARTITION BY commit_key, parent_id ORDER BY name, ix) - 1 AS var_ix FROM nodes", "nodes"))(lambda s, d: D.matrix_variables(Frames(s, d).nodes()))
+register("unique_names", sql("SELECT commit_key, parent_id, ix, CASE WHEN r = 0 THEN name ELSE name || ' (' || r || ')' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY commit_key, parent_id, name ORDER BY ix) - 1 AS r FROM nodes)", "nodes"))(over(lambda f: D.unique_names(f.nodes).select(*UNIT, "ix", "unique_name")))
+register("matrix_variables", sql("SELECT commit_key, parent_id, entity_id, name, row_number() OVER (PARTITION BY commit_key, parent_id ORDER BY name, ix) - 1 AS var_ix FROM nodes", "nodes"))(over(lambda f: D.matrix_variables(f.nodes)))
 COUNTS = "v AS (SELECT *, row_number() OVER (PARTITION BY commit_key, parent_id ORDER BY name, ix) - 1 AS var_ix FROM nodes), n AS (SELECT d.commit_key, d.parent_id, a.var_ix AS src, b.var_ix AS dest, d.kind, CAST(count(*) AS DOUBLE) AS c FROM alldeps d JOIN v a ON a.commit_key = d.commit_key AND a.parent_id = d.parent_id AND a.entity_id = d.src_id JOIN v b ON b.commit_key = d.commit_key AND b.parent_id = d.parent_id AND b.entity_id = d.tgt_id GROUP BY ALL)"
-register("dependency_counts", sql("SELECT commit_key, parent_id, src, dest, kind, c AS count FROM n", "alldeps", "nodes", more=COUNTS))(lambda s, d: D.dependency_counts(Frames(s, d).all_deps(), materialize(Frames(s, d).nodes(), "nodes")))
+register("dependency_counts", sql("SELECT commit_key, parent_id, src, dest, kind, c AS count FROM n", "alldeps", "nodes", more=COUNTS))(over(lambda f: D.dependency_counts(f.all_deps, f.nodes)))
 register("matrix_cells", sql("SELECT commit_key, parent_id, src, dest, string_agg(kind || '=' || CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY kind) AS cell FROM n GROUP BY ALL", "alldeps", "nodes", more=COUNTS))(
-    lambda s, d: D.matrix_cells(D.dependency_counts(Frames(s, d).all_deps(), materialize(Frames(s, d).nodes(), "nodes"))).select(*UNIT, "src", "dest", F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string"))), ",").alias("cell"))
+    lambda s, d: D.matrix_cells(D.dependency_counts((f := Frames(s, d)).all_deps, f.nodes)).select(*UNIT, "src", "dest", F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string"))), ",").alias("cell"))
 )
 
 
-@register("dependency_json")
+@register("dependency_json", sql("""SELECT v.commit_key, v.parent_id, '{"@schemaVersion":"1.0","name":' || CAST(to_json(v.parent_id) AS VARCHAR) || ',"variables":' || CAST(to_json(v.names) AS VARCHAR) || ',"cells":[' || coalesce(c.cells, '') || ']}' AS json
+FROM (SELECT commit_key, parent_id, list(name ORDER BY var_ix) AS names FROM v GROUP BY ALL) v LEFT JOIN (
+  SELECT commit_key, parent_id, string_agg('{"src":' || src || ',"dest":' || dest || ',"values":{' || cell || '}}', ',' ORDER BY src, dest) AS cells FROM (
+    SELECT commit_key, parent_id, src, dest, string_agg(CAST(to_json(kind) AS VARCHAR) || ':' || CAST(c AS VARCHAR), ',' ORDER BY kind) AS cell FROM n GROUP BY ALL) GROUP BY ALL) c ON c.commit_key = v.commit_key AND c.parent_id = v.parent_id""", "alldeps", "nodes", more=COUNTS))
 def dependency_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Frames(spark, sf_dir)
-    nodes = materialize(f.nodes(), "nodes")
-    return D.dependency_json(nodes, D.dependency_counts(f.all_deps(), nodes))
+    return D.dependency_json(f.nodes, D.dependency_counts(f.all_deps, f.nodes))
 
 
-register("tree_groups")(lambda s, d: _paths(D.tree_groups(_clustered(s, d)).withColumnRenamed("node_path", "path")))
-register("tree_items")(lambda s, d: _paths(D.tree_items(_clustered(s, d)).withColumnRenamed("node_path", "path")))
-register("client_root_items", sql("SELECT commit_key, parent_id, name, ix FROM nodes WHERE name LIKE '(Client)%'", "nodes"))(lambda s, d: D.client_root_items(Frames(s, d).nodes()))
+register("tree_groups", sql("""SELECT commit_key, parent_id, array_to_string(prefix, '$') AS path, array_to_string(list_transform(prefix, lambda c, i: CASE WHEN i % 2 = 1 THEN 'L' ELSE 'M' END || c), '/') AS name, CAST(len(prefix) AS INTEGER) AS depth, min(ix) AS ord
+FROM (SELECT commit_key, parent_id, ix, string_split(path, '$')[1:i] AS prefix FROM (SELECT *, unnest(range(1, len(string_split(path, '$')) + 1)) AS i FROM assigned)) GROUP BY commit_key, parent_id, prefix""", "fx_dag_edges", recursive=True, more=ASSIGNED))(
+    lambda s, d: _paths(D.tree_groups(_dag_assigned(s, d)).withColumnRenamed("node_path", "path"))
+)
+register("tree_items", sql("SELECT commit_key, parent_id, path, CASE WHEN r = 0 THEN name ELSE name || ' (' || r || ')' END AS name, ix FROM (SELECT *, row_number() OVER (PARTITION BY commit_key, parent_id, name ORDER BY ix) - 1 AS r FROM assigned)", "fx_dag_edges", recursive=True, more=ASSIGNED))(
+    lambda s, d: _paths(D.tree_items(_dag_assigned(s, d)).withColumnRenamed("node_path", "path"))
+)
+register("client_root_items", sql("SELECT commit_key, parent_id, name, ix FROM nodes WHERE name LIKE '(Client)%'", "nodes"))(over(lambda f: D.client_root_items(f.nodes)))
 register("tree_json")(lambda s, d: D.tree_json(_clustered(s, d)))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modsplit_spark.sources.tables import commit_key
-from modsplit_spark.sources.workspace import materialize
+from modsplit_spark.sources.workspace import materialize_observed
 
 CLIENT = "(Client) "
 
@@ -67,16 +67,17 @@ def resolve_units(entities: DataFrame, requests: DataFrame) -> DataFrame:
 def root_closure(entities: DataFrame) -> DataFrame:
     """``(entity_id, root_id)`` by pointer jumping: every round doubles how far each pointer reaches, so a chain of
     depth n takes log2(n) joins. Roots map to themselves; chains that end at a missing parent or in a cycle have no row."""
-    now = materialize(entities.select("entity_id", F.coalesce("parent_id", "entity_id").alias("ptr"), F.col("parent_id").isNull().alias("done")), "roots")
-    left = now.where("not done").count()
+    still = F.count(F.when(~F.col("done"), 1)).alias("left")
+    first = entities.select("entity_id", F.coalesce("parent_id", "entity_id").alias("ptr"), F.col("parent_id").isNull().alias("done"))
+    now, seen = materialize_observed(first, "roots", still)
+    left = seen["left"]
     while left:
         ahead = now.select(F.col("entity_id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("done").alias("_done"))
         moving = now.where("not done").join(ahead, F.col("ptr") == F.col("_id")).select("entity_id", F.col("_ptr").alias("ptr"), F.col("_done").alias("done"))
-        now = materialize(now.where("done").unionByName(moving), "roots")
-        still = now.where("not done").count()
-        if still == left:
+        now, seen = materialize_observed(now.where("done").unionByName(moving), "roots", still)
+        if seen["left"] == left:
             break
-        left = still
+        left = seen["left"]
     return now.where("done").select("entity_id", F.col("ptr").alias("root_id"))
 
 

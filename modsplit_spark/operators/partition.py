@@ -3,21 +3,28 @@
 A valid split puts no directed edge from the second part to the first, so it is a prefix of a topological
 order. Component nodes are numbered in such an order; for each position the weight of the edges
 across it is a running sum, and of the positions that balance a block the one with the least cut
-splits it. Every open block of every unit is split in the same pass; a level is two window passes.
+splits it. Every open block of every unit is split in the same pass; a level is two window passes. Components of
+up to ``EXACT_NODES`` nodes can be split by trying all valid splits instead, which finds the least cut.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modsplit_spark.operators import graph
 from modsplit_spark.operators.graph import UNIT
-from modsplit_spark.sources.workspace import materialize
+from modsplit_spark.sources.workspace import materialize, materialize_observed
 
 EPS, PARTS, MIN_WEIGHT = 0.1, 2, 2
 SCALE = 65536
+#: Components up to which all splits are tried: 2^12 of them.
+EXACT_NODES = 12
 
 
 def balance_bound(weight: Column, k: int = PARTS, eps: float = EPS) -> Column:
@@ -60,27 +67,80 @@ def acyclic_bisect(blocks: DataFrame, eps: float = EPS, min_weight: int = MIN_WE
     return weighed.withColumn("_best", best).withColumn("label", F.when(F.col("_best").isNotNull(), (F.col("pos") > F.col("_best.pos")).cast("int"))).drop("_left", "_all", "_choice", "_best")
 
 
-def recursive_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT) -> DataFrame:
+def _exact_paths(rows: pd.DataFrame, eps: float, min_weight: int) -> pd.DataFrame:
+    """Paths of one small component. Each block takes the least cut of the whole component among splits without a directed
+    edge back that balance the block; ties: least imbalance, then the least set."""
+    nodes, edges = rows[rows["b"].isna()].sort_values("pos"), rows[rows["b"].notna()]
+    ix = {p: i for i, p in enumerate(nodes["pos"].tolist())}
+    weight, n = nodes["weight"].to_numpy(np.int64), len(ix)
+    side = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    cut, valid = np.zeros(1 << n, np.int64), np.ones(1 << n, bool)
+    for a, b, units, directed in zip(edges["pos"].map(ix), edges["b"].astype(np.int64).map(ix), edges["units"], edges["directed"], strict=True):
+        cut += int(units) * (side[:, a] != side[:, b])
+        if directed:
+            valid &= side[:, a] <= side[:, b]
+    paths: list[list[int]] = [[] for _ in range(n)]
+
+    def split(block: np.ndarray) -> None:
+        whole = int(weight[block].sum())
+        bound = math.ceil((1 + eps) * math.ceil(whole / PARTS))
+        right = side[:, block] @ weight[block]
+        left = whole - right
+        good = np.flatnonzero(valid & (left >= 1) & (right >= 1) & (left <= bound) & (right <= bound)) if whole >= min_weight else []
+        if not len(good):
+            return
+        best = good[np.lexsort((good, np.abs(left - right)[good], cut[good]))[0]]
+        for label in (0, 1):
+            part = block[side[best, block] == label]
+            for i in part:
+                paths[i].append(label)
+            split(part)
+
+    split(np.arange(n))
+    return pd.DataFrame({"commit_key": rows["commit_key"].iloc[0], "parent_id": rows["parent_id"].iloc[0], "wcc": int(rows["wcc"].iloc[0]), "pos": nodes["pos"].tolist(), "path": paths})
+
+
+def exact_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT) -> DataFrame:
+    """As ``recursive_partition``, by trying all splits. For components of few nodes; edges without a column ``directed`` all are."""
+    directed = F.col("directed") if "directed" in edges.columns else F.lit(True)
+    own = edges.where("a != b").select(*UNIT, "wcc", F.col("a").cast("long").alias("pos"), F.lit(0).cast("long").alias("weight"), F.col("b").cast("long").alias("b"), edge_units(F.col("w")).alias("units"), directed.alias("directed"))
+    rows = nodes.select(*UNIT, "wcc", F.col("pos").cast("long").alias("pos"), F.col("weight").cast("long").alias("weight"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("units"), F.lit(False).alias("directed")).unionByName(own)
+
+    def paths(held: pd.DataFrame) -> pd.DataFrame:
+        return _exact_paths(held, eps, min_weight)
+
+    return rows.groupBy(*UNIT, "wcc").applyInPandas(paths, "commit_key string, parent_id string, wcc int, pos int, path array<int>")
+
+
+def recursive_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT, exact_nodes: int = 0) -> DataFrame:
     """``(unit, wcc, pos, path array<int>)``: labels of every level for the nodes of ``nodes`` (unit, wcc, pos, weight) that have an edge.
 
-    A level splits all open blocks; it ends when none can be split. Blocks shrink to at most 55 % a level, so levels grow
-    with the logarithm of the largest component. Each level's result is written to the shared folder."""
-    now = cut_curve(nodes, edges).withColumn("path", F.array().cast("array<int>")).withColumn("open", F.lit(True))
-    now = materialize(now, "blocks")
-    while True:
+    Components of up to ``exact_nodes`` nodes get the least cut. Of the others a level splits all open blocks by the sweep; it ends when none can be split. Blocks shrink to at most 55 % a level, so levels grow
+    with the logarithm of the largest component. A level writes what it has split to the shared folder; only blocks that are still open go on."""
+    curve, exact = cut_curve(nodes, edges), None
+    if exact_nodes:
+        curve = materialize(curve, "curve")
+        small = curve.groupBy(*UNIT, "wcc").count().where(F.col("count") <= exact_nodes)
+        exact = exact_partition(curve.join(small, [*UNIT, "wcc"], "left_semi"), edges.join(small, [*UNIT, "wcc"], "left_semi"), eps, min_weight)
+        curve = curve.join(small, [*UNIT, "wcc"], "left_anti")
+    opened = F.count(F.when(F.col("open"), 1)).alias("open")
+    now, seen = materialize_observed(curve.withColumn("path", F.array().cast("array<int>")).withColumn("open", F.lit(True)), "blocks", opened)
+    done = now.where("not open")
+    while seen["open"]:
         split = acyclic_bisect(now.where("open"), eps, min_weight)
         grown = split.withColumn("path", F.when(F.col("label").isNotNull(), F.concat("path", F.array("label"))).otherwise(F.col("path"))).withColumn("open", F.col("label").isNotNull()).drop("label")
-        now = materialize(now.where("not open").unionByName(grown), "blocks")
-        if now.where("open").isEmpty():
-            return now.select(*UNIT, "wcc", "pos", "path")
+        now, seen = materialize_observed(grown, "blocks", opened)
+        done = done.unionByName(now.where("not open"))
+    done = done.select(*UNIT, F.col("wcc").cast("int").alias("wcc"), F.col("pos").cast("int").alias("pos"), "path")
+    return done if exact is None else done.unionByName(exact)
 
 
-def partition_dag(scc_nodes: DataFrame, scc_edges: DataFrame) -> DataFrame:
+def partition_dag(scc_nodes: DataFrame, scc_edges: DataFrame, exact_nodes: int = 0) -> DataFrame:
     """``(unit, scc, path)``: the weak component's number, then the labels. Nodes without edges have the number alone."""
     wcc = materialize(graph.weak_components(scc_nodes, scc_edges.where("directed"), node="scc"), "wcc")
     inner = graph.component_edges(scc_edges, wcc)
     nodes = scc_nodes.join(wcc, [*UNIT, "scc"]).select(*UNIT, "wcc", F.col("scc").alias("pos"), "weight")
-    labels = recursive_partition(nodes, inner).select(*UNIT, F.col("pos").alias("scc"), "path")
+    labels = recursive_partition(nodes, inner, exact_nodes=exact_nodes).select(*UNIT, F.col("pos").alias("scc"), "path")
     joined = wcc.join(labels, [*UNIT, "scc"], "left")
     return joined.select(*UNIT, "scc", F.concat(F.array("wcc"), F.coalesce("path", F.array().cast("array<int>"))).alias("path"))
 
@@ -90,11 +150,11 @@ def assign_clusters(nodes: DataFrame, scc: DataFrame, paths: DataFrame) -> DataF
     return nodes.join(scc, [*UNIT, "ix"]).join(paths, [*UNIT, "scc"]).select(*UNIT, "ix", "entity_id", "name", "path")
 
 
-def cluster_units(nodes: DataFrame, directed: DataFrame, similar: DataFrame) -> DataFrame:
+def cluster_units(nodes: DataFrame, directed: DataFrame, similar: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
     """Cluster paths of all nodes of all units, from indexed nodes, dependency edges and similarity edges.
 
     ``similar`` may come from any frame (unit, a, b, sim) with a < b."""
     edges = materialize(graph.edge_weights(directed, similar), "edges")
     scc = materialize(graph.strong_components(nodes, edges.where("directed")), "scc")
     scc_nodes, scc_edges = graph.condense_nodes(nodes, scc), graph.condense_edges(edges, scc)
-    return assign_clusters(nodes, scc, partition_dag(scc_nodes, materialize(scc_edges, "scc-edges")))
+    return assign_clusters(nodes, scc, partition_dag(scc_nodes, materialize(scc_edges, "scc-edges"), exact_nodes))

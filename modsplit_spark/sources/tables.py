@@ -30,11 +30,19 @@ def assignment_lines(assignments: DataFrame) -> DataFrame:
 
 
 def write_assignments(assignments: DataFrame, path: str) -> None:
-    """One text line a node, in a folder for each unit; fails if ``path`` exists."""
-    lines = assignment_lines(assignments).repartition("commit_key", "parent_id").sortWithinPartitions("commit_key", "parent_id", "ix")
-    lines.select("commit_key", "parent_id", "line").write.partitionBy("commit_key", "parent_id").mode("errorifexists").text(path)
+    """All units' lines as one Parquet table in order of unit and node, each unit in few files; fails if ``path`` exists."""
+    lines = assignment_lines(assignments).repartitionByRange("commit_key", "parent_id", "ix").sortWithinPartitions("commit_key", "parent_id", "ix")
+    lines.write.mode("errorifexists").parquet(path)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One JSON document a unit (column ``json``), in a folder for each unit; fails if ``path`` exists."""
-    documents.select("commit_key", "parent_id", "json").write.partitionBy("commit_key", "parent_id").mode("errorifexists").text(path)
+    """All units' JSON documents (column ``json``) as one Parquet table in order of unit; fails if ``path`` exists."""
+    kept = documents.select("commit_key", "parent_id", "json").repartitionByRange("commit_key", "parent_id").sortWithinPartitions("commit_key", "parent_id")
+    kept.write.mode("errorifexists").parquet(path)
+
+
+def export_unit(table: DataFrame, commit: str, parent_id: str, path: str) -> None:
+    """One unit of a written table as text: its lines in order, or its document. For the few units that someone reads; fails if ``path`` exists."""
+    unit = table.where((F.col("commit_key") == commit) & (F.col("parent_id") == parent_id))
+    text = unit.select("json") if "json" in table.columns else unit.orderBy("ix").select("line")
+    text.coalesce(1).write.mode("errorifexists").text(path)
