@@ -3,8 +3,10 @@
 ``decode`` reads a lossless WebP file: prefix codes (simple and normal, in groups chosen by an entropy
 image), back-references, the colour cache, and the predictor, cross-colour, subtract-green and
 palette transforms, and gives an array of height x width x (A, R, G, B). ``encode_samples`` stores
-8-bit samples as the green channel of such an image, one prefix code fitted to the samples.
-An image whose green code has only literals and whose other codes have one symbol is decoded
+8-bit samples as the green channel of such images, in the shortest of three forms: literals of one fitted prefix code; literals
+and back-references, where a passage of ``MATCH`` bytes and more repeats; or a palette, several samples to a pixel, where at most
+16 values occur. Samples of no grey image gain by predictors, cross-colour or a colour cache, so that these are only read.
+An image without cache and entropy image whose red, blue and alpha have one symbol is decoded
 by array passes; any other by the sequential reader.
 """
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modsplit_spark.llm.bytegrams import parts
+from modsplit_spark.llm.wordhash import BASES, range_hash, range_sums
 
 # Fixed values of the format.
 SIGNATURE = 0x2F
@@ -43,6 +46,10 @@ GREEN, DISTANCE = 256 + 24, 40
 BLOCK = 64
 STRIDE_BITS = 4
 PASS_BYTES = 1 << 14
+#: Bytes of a payload that one image holds; a longer payload is several images, one file after the other.
+IMAGE_BYTES = 1 << 24
+#: Bytes that a back-reference must repeat, and how far back it may reach (a fixed value of the format).
+MATCH, FARTHEST = 32, (1 << 20) - 120
 
 
 # ---------------------------------------------------------------- prefix codes
@@ -110,7 +117,10 @@ class Code:
                 raise ValueError("a prefix code is not complete")
             window = REVERSED[: 1 << self.bits] >> np.uint32(16 - self.bits)
             self.symbol, self.length = np.repeat(symbols.astype(np.int32), spans)[window], np.repeat(sizes.astype(np.int32), spans)[window]
-        self.literals_only = not len(symbols) or int(symbols.max()) < 256
+
+    @functools.cached_property
+    def literals_only(self) -> bool:
+        return int(self.symbol.max()) < 256
 
     @functools.cached_property
     def table(self) -> list[tuple[int, int]]:
@@ -249,6 +259,16 @@ def _extent(r: Reader, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + r.get(extra) + 1
 
 
+def _reference(r: Reader, symbol: int, distance: Code, width: int) -> tuple[int, int]:
+    """Length and distance in pixels of a back-reference whose length symbol has been read."""
+    n = _extent(r, symbol - 256)
+    d = _extent(r, r.symbol(distance))
+    if d > len(NEAR):
+        return n, d - len(NEAR)
+    x, y = NEAR[d - 1]
+    return n, max(1, x + y * width)
+
+
 def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """``height * width`` ARGB numbers. Only the image itself (``top``) may have an entropy image."""
     cache_bits = r.get(4) if r.get(1) else 0
@@ -264,9 +284,9 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     ]
     total = width * height
     green, red, blue, alpha, distance = groups[0]
-    if group_of is None and green.literals_only and not (red.bits or blue.bits or alpha.bits):
+    if group_of is None and not (cache_bits or red.bits or blue.bits or alpha.bits):
         base = (int(alpha.symbol[0]) << 24) | (int(red.symbol[0]) << 16) | int(blue.symbol[0])
-        return (read_literals(r, green, total).astype(np.uint32) << np.uint32(8)) | np.uint32(base)
+        return (read_samples(r, green, distance, width, total).astype(np.uint32) << np.uint32(8)) | np.uint32(base)
     out, i = [0] * total, 0
     cache = [0] * (1 << cache_bits) if cache_bits else []
     cached = 0
@@ -280,13 +300,7 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
             out[i] = (r.symbol(alpha) << 24) | (x << 16) | (s << 8) | b
             i += 1
         elif s < GREEN:
-            n = _extent(r, s - 256)
-            d = _extent(r, r.symbol(distance))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            n, d = _reference(r, s, distance, width)
             if d > i or i + n > total:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(n):
@@ -301,40 +315,86 @@ def read_pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def read_literals(r: Reader, code: Code, count: int) -> np.ndarray:
-    """``count`` symbols of one code, by array passes over ``PASS_BYTES`` at a time: the step from every bit
-    position, steps joined by doubling, one look-up for every 2^STRIDE_BITS symbols, and the places between filled in."""
+def _steps(words: np.ndarray, windows: np.ndarray, code: Code, distance: Code) -> np.ndarray:
+    """For every bit position how far the next symbol is, if one begins there: a literal, or a back-reference with all its parts."""
+    step = code.length[windows]
+    if code.literals_only:
+        return step
+    symbol = code.symbol[windows]
+    at = np.flatnonzero(symbol >= 256)
+    if len(at):
+        extra = lambda s: np.where(s < 4, 0, (s - 2) >> 1)
+        step[at] += extra(symbol[at] - 256)
+        there = np.minimum(at + step[at], 8 * len(words) - 1)
+        window = (words[there >> 3] >> (there & 7).astype(np.uint32)) & np.uint32((1 << distance.bits) - 1)
+        step[at] += distance.length[window] + extra(distance.symbol[window])
+    return step
+
+
+def read_samples(r: Reader, code: Code, distance: Code, width: int, count: int) -> np.ndarray:
+    """``count`` green samples, by array passes over ``PASS_BYTES`` at a time: the step from every bit
+    position, steps joined by doubling, one look-up for every 2^STRIDE_BITS symbols, and the places between filled in. Literals
+    are put in their places at once, then back-references copied in order."""
+    out = np.zeros(count, np.uint8)
+    if not code.bits and code.symbol[0] < 256:
+        out[:] = code.symbol[0]
+        return out
+    data, done = np.frombuffer(r.data + bytes(16), np.uint8), 0
     if not code.bits:
-        return np.full(count, code.symbol[0], np.uint8)
-    data, found = np.frombuffer(r.data + b"\0\0\0", np.uint8), []
-    while count:
+        raise ValueError("an image of back-references alone")
+    while done < count:
         first, at = r.at >> 3, r.at & 7
         size = min(PASS_BYTES, len(r.data) - first)
         if size <= 0:
             raise ValueError("the image ends early")
-        x = data[first : first + size + 2].astype(np.uint32)
+        x = data[first : first + size + 12].astype(np.uint32)
         words = x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))
-        windows = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.bits) - 1)).ravel()
+        windows = ((words[:size, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.bits) - 1)).ravel()
         stop = 8 * size
         step = np.empty(stop + 1, np.int32)
-        step[:stop], step[stop] = np.minimum(np.arange(stop, dtype=np.int32) + code.length[windows], stop), stop
+        step[:stop], step[stop] = np.minimum(np.arange(stop, dtype=np.int32) + _steps(words, windows, code, distance), stop), stop
         jumps = [step]
         for _ in range(STRIDE_BITS):
             jumps.append(jumps[-1][jumps[-1]])
-        far, places, most = memoryview(jumps[-1]), [], (count >> STRIDE_BITS) + 1
+        far, places, most = memoryview(jumps[-1]), [], ((count - done) >> STRIDE_BITS) + 1
         while at < stop and len(places) < most:
             places.append(at)
             at = far[at]
         here = np.array(places, np.int64)
         for k in range(STRIDE_BITS - 1, -1, -1):
             here = np.stack([here, jumps[k][here]], axis=1).ravel()
-        here = here[: min(count, int(np.searchsorted(here, stop)))]
-        found.append(code.symbol[windows[here]].astype(np.uint8))
-        count -= len(here)
-        r.at = 8 * first + int(here[-1]) + int(code.length[windows[here[-1]]])
+        here = here[: min(count - done, int(np.searchsorted(here, stop)))]
+        symbol = code.symbol[windows[here]]
+        if code.literals_only:
+            out[done : done + len(here)] = symbol
+            done += len(here)
+            r.at = 8 * first + int(here[-1]) + int(code.length[windows[here[-1]]])
+            continue
+        sizes, references, more = np.ones(len(here), np.int64), [], 0
+        for i in np.flatnonzero(symbol >= 256).tolist():
+            if done + i + more >= count:
+                break  # what follows the last sample is no symbol
+            r.at = 8 * first + int(here[i]) + int(code.length[windows[here[i]]])
+            sizes[i], d = _reference(r, int(symbol[i]), distance, width)
+            references.append((i, int(sizes[i]), d, r.at))
+            more += int(sizes[i]) - 1
+        ends = done + np.cumsum(sizes)
+        used = int(np.searchsorted(ends, count, "left")) + 1 if ends[-1] >= count else len(here)
+        begins = (ends - sizes)[:used]
+        literal = symbol[:used] < 256
+        out[begins[literal]] = symbol[:used][literal]
+        for i, n, d, _ in references:
+            if i < used:
+                start = int(begins[i])
+                if d > start or start + n > count:
+                    raise ValueError("a back-reference leaves the image")
+                out[start : start + n] = out[start - d : start - d + n] if d >= n else np.resize(out[start - d : start], n)
+        last = used - 1
+        r.at = next((end for i, _, _, end in references if i == last), 8 * first + int(here[last]) + int(code.length[windows[here[last]]]))
+        done = int(ends[last])
     if r.at > 8 * len(r.data):
         raise ValueError("the image ends early")
-    return np.concatenate(found)
+    return out
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -412,6 +472,11 @@ def undo_palette(argb: np.ndarray, palette: np.ndarray, width: int, packed: int)
 
 def decode(media: bytes) -> np.ndarray:
     """Pixels of a lossless WebP file as height x width x (A, R, G, B), 8 bits each."""
+    return _channels(decode_argb(media)).astype(np.uint8)
+
+
+def decode_argb(media: bytes) -> np.ndarray:
+    """Pixels of a lossless WebP file as height x width numbers of 32 bits."""
     if media[:4] != b"RIFF" or media[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     r = Reader(media[20 : 20 + int.from_bytes(media[16:20], "little")])
@@ -449,7 +514,7 @@ def decode(media: bytes) -> np.ndarray:
             argb = undo_subtract_green(argb)
         else:
             argb = undo_palette(argb, data[0], data[1], side)
-    return _channels(argb.reshape(height, full)).astype(np.uint8)
+    return argb.reshape(height, full)
 
 
 # ---------------------------------------------------------------- storing samples
@@ -470,40 +535,179 @@ def image_size(n: int) -> tuple[int, int]:
     """Width (a multiple of ``BLOCK``) and height for ``n`` samples: the least width whose height fits."""
     rows = n // BLOCK
     across = -(-rows // MAX_SIDE)
-    if across * BLOCK > MAX_SIDE:
-        raise ValueError("a payload over 256 MiB does not fit one image")
     return BLOCK * across, -(-rows // across)
 
 
-def encode_samples(payload: bytes) -> bytes:
-    """A grey image whose green samples are ``payload`` (a positive multiple of ``BLOCK``), then zeros to the last row's end."""
-    width, height = image_size(len(payload))
-    samples = np.frombuffer(payload + b"\0" * (width * height - len(payload)), np.uint8)
-    lengths = code_lengths(np.bincount(samples, minlength=256))
-    head = Writer()
-    head.put(0, 3)  # no transform, no colour cache, one group of codes
-    write_code(head, lengths)
-    for _ in range(4):
-        write_code(head, [1])
+def _bit_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol the bits of its code and which of them count."""
     symbols, sizes, codes = canonical(lengths)
-    if len(symbols) == 1:
-        return wrapped(width, height, head)
-    place = np.arange(sizes[-1], dtype=np.uint32)
-    bits, used = np.zeros((256, len(place)), np.uint8), np.zeros((256, len(place)), bool)
-    bits[symbols] = (codes[:, None] >> place) & np.uint32(1)
-    used[symbols] = place < sizes[:, None]
-    # The header has 40 bits before ``head``; its last, partly filled byte begins the coded samples.
+    place = np.arange(sizes[-1] if len(symbols) > 1 else 0, dtype=np.uint32)
+    bits, used = np.zeros((len(lengths), len(place)), np.uint8), np.zeros((len(lengths), len(place)), bool)
+    if len(symbols) > 1:
+        bits[symbols] = (codes[:, None] >> place) & np.uint32(1)
+        used[symbols] = place < sizes[:, None]
+    return bits, used
+
+
+def _grey_codes(head: Writer, green: list[int], distance: list[int]) -> None:
+    write_code(head, green)
+    for _ in range(3):
+        write_code(head, [1])
+    write_code(head, distance)
+
+
+def _file(width: int, height: int, head: Writer, chunks: list[np.ndarray]) -> bytes:
+    """The file of a header and the bits that follow it; its last, partly filled byte begins them."""
     lead = (40 + head.size) & 7
     first = np.array([(head.value >> (head.size - lead + k)) & 1 for k in range(lead)], np.uint8)
-    chunks = [first] + [bits[s][used[s]] for s in (samples[i : i + (1 << 18)] for i in range(0, len(samples), 1 << 18))]
     head.value &= (1 << (head.size - lead)) - 1
     head.size -= lead
-    return wrapped(width, height, head, np.packbits(np.concatenate(chunks), bitorder="little").tobytes())
+    return wrapped(width, height, head, np.packbits(np.concatenate([first, *chunks]), bitorder="little").tobytes())
+
+
+def _literal_bits(samples: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    bits, used = table
+    return [bits[s][used[s]] for s in (samples[i : i + (1 << 18)] for i in range(0, len(samples), 1 << 18))] if used.shape[1] else []
+
+
+def _literals(samples: np.ndarray, width: int, height: int, lengths: list[int]) -> bytes:
+    head = Writer()
+    head.put(0, 3)  # no transform, no colour cache, one group of codes
+    _grey_codes(head, lengths, [1])
+    return _file(width, height, head, _literal_bits(samples, _bit_table(lengths)))
+
+
+def _palette(samples: np.ndarray, width: int, height: int) -> bytes:
+    """At most 16 values as a palette; a pixel packs two, four or eight of them."""
+    values = np.unique(samples)
+    packed = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    index = np.searchsorted(values, samples).reshape(-1, 1 << packed)
+    pixels = (index << (np.arange(1 << packed) * (8 >> packed))).sum(axis=1).astype(np.uint8)
+    steps = np.diff(values.astype(np.int64), prepend=0).astype(np.uint8)
+    head = Writer()
+    for value, bits in ((1, 1), (3, 2), (len(values) - 1, 8), (0, 1)):
+        head.put(value, bits)
+    own = code_lengths(np.bincount(steps, minlength=256))
+    _grey_codes(head, own, [1])
+    table = _bit_table(own)
+    for bit in np.concatenate([*_literal_bits(steps, table), np.zeros(0, np.uint8)]).tolist():
+        head.put(bit, 1)
+    head.put(0, 3)
+    lengths = code_lengths(np.bincount(pixels, minlength=256))
+    _grey_codes(head, lengths, [1])
+    return _file(width, height, head, _literal_bits(pixels, _bit_table(lengths)))
+
+
+def repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of passages of ``MATCH`` bytes and more that begin with a word and stand earlier, from left to right."""
+    if len(samples) < 2 * MATCH:
+        return []
+    at = np.flatnonzero(np.concatenate([[True], samples[: -MATCH] <= 32]))
+    hashes = range_hash(range_sums(samples.astype(np.uint64) + np.uint64(1), BASES[0]), at, at + MATCH, BASES[0])
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    before = np.full(len(at), -1)
+    before[order[1:][same]] = at[order[:-1][same]]
+    found, end = [], 0
+    for i in np.flatnonzero((before >= 0) & (at - before <= FARTHEST)).tolist():
+        start, source = int(at[i]), int(before[i])
+        if start < end:
+            continue
+        n, piece = 0, 256
+        while start + n < len(samples):
+            a, b = samples[start + n : start + n + piece], samples[source + n : source + n + piece]
+            differs = a != b[: len(a)]
+            if differs.any():
+                n += int(differs.argmax())
+                break
+            n, piece = n + len(a), 4 * piece
+        if n >= MATCH:
+            found.append((start, n, start - source))
+            end = start + n
+    return found
+
+
+def _coded(value: int) -> tuple[int, int, int]:
+    """Symbol, extra bits and their number for a length or distance."""
+    x = value - 1
+    if x < 4:
+        return x, 0, 0
+    top = x.bit_length() - 1
+    return 2 * top + ((x >> (top - 1)) & 1), x & ((1 << (top - 1)) - 1), top - 1
+
+
+def _references(samples: np.ndarray, found: list[tuple[int, int, int]], width: int, height: int) -> bytes:
+    """Literals, and a back-reference of up to 4,096 samples at a time for each repeat."""
+    parts_, copies, at = [], [], 0
+    literal = np.ones(len(samples), bool)
+    for start, n, d in found:
+        literal[start : start + n] = False
+        pieces = [(_coded(min(4096, n - k)), _coded(d + len(NEAR))) for k in range(0, n, 4096)]
+        copies.append((at, start, pieces))
+        at = start + n
+    green = np.bincount(samples[literal], minlength=GREEN)
+    far = np.zeros(DISTANCE, np.int64)
+    for _, _, pieces in copies:
+        for (length, *_), (distance, *_) in pieces:
+            green[256 + length] += 1
+            far[distance] += 1
+    green, far = code_lengths(green), code_lengths(far)
+    head = Writer()
+    head.put(0, 3)
+    _grey_codes(head, green, far)
+    table = _bit_table(green)
+    of_green = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in canonical(green)), strict=True)}
+    of_far = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in canonical(far)), strict=True)}
+    if len(of_far) == 1:
+        of_far = {s: (0, 0) for s in of_far}
+    for before, start, pieces in copies:
+        parts_ += _literal_bits(samples[before:start], table)
+        w = Writer()
+        for (length, extra, bits), (distance, extra_far, bits_far) in pieces:
+            w.put(*of_green[256 + length])
+            w.put(extra, bits)
+            w.put(*of_far[distance])
+            w.put(extra_far, bits_far)
+        parts_.append(np.array([(w.value >> k) & 1 for k in range(w.size)], np.uint8))
+    parts_ += _literal_bits(samples[at:], table)
+    return _file(width, height, head, parts_)
+
+
+def encode_image(piece: bytes) -> tuple[bytes, str]:
+    """A grey image whose green samples are ``piece`` (a positive multiple of ``BLOCK``), then zeros to the last row's end, and its form, the
+    one that takes the fewest bits (by an estimate for back-references)."""
+    width, height = image_size(len(piece))
+    samples = np.frombuffer(piece + b"\0" * (width * height - len(piece)), np.uint8)
+    counts = np.bincount(samples, minlength=256)
+    lengths = code_lengths(counts)
+    if np.count_nonzero(counts) <= 16:
+        made = [(_literals(samples, width, height, lengths), "literals"), (_palette(samples, width, height), "palette")]
+        found = repeats(samples)
+        made += [(_references(samples, found, width, height), "references")] if found else []
+        return min(made, key=lambda m: len(m[0]))
+    found = repeats(samples)
+    # A back-reference has about 32 bits. Those that save less than a tenth are not worth a second code.
+    bits = int(np.dot(counts, lengths))
+    saved = sum(n for _, n, _ in found) * bits // len(samples) - 32 * len(found)
+    return (_references(samples, found, width, height), "references") if 10 * saved >= bits else (_literals(samples, width, height, lengths), "literals")
+
+
+def encode_samples(payload: bytes) -> tuple[bytes, str]:
+    """The images of a payload, ``IMAGE_BYTES`` in each, one file after the other, and their forms."""
+    made = [encode_image(payload[i : i + IMAGE_BYTES]) for i in range(0, len(payload), IMAGE_BYTES)]
+    return b"".join(m for m, _ in made), "+".join(dict.fromkeys(f for _, f in made))
 
 
 def decode_samples(media: bytes, n: int) -> bytes:
-    """The first ``n`` samples of a stored image."""
-    return decode(media)[..., 2].tobytes()[:n]
+    """The first ``n`` samples of stored images."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        green = (decode_argb(media[at : at + size]).ravel() >> np.uint32(8)).astype(np.uint8)
+        out.append(green[: min(IMAGE_BYTES, n)].tobytes())
+        n -= len(out[-1])
+        at += size
+    return b"".join(out)
 
 
 def features(samples: bytes) -> str:
@@ -523,38 +727,39 @@ def _stored(batches):
         out = []
         for text in batch.column(1).to_pylist():
             data, n = payload(text)
-            media = encode_samples(data)
+            media, form = encode_samples(data)
             back = decode_samples(media, len(data))
             if back != data:
                 raise RuntimeError("an image did not read back as stored")
-            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back)))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(back), form))
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         names = ["doc_id", *(f.name for f in DIGEST)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
 
 DIGEST = [
     T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
-    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("form", T.StringType()),
 ]
 
 
 def media_digest(documents: DataFrame) -> DataFrame:
     """The digest of ``op3``: each whole text stored as a lossless image, read back and described.
 
-    Null texts are empty (one block of zeros). Equal texts give equal values; repeated rows stay repeated."""
+    Null texts are empty (one block of zeros). Equal texts give equal values; repeated rows stay repeated. A text of any length is kept, as
+    several images if need be; ``form`` says how its samples are stored. Other columns are not read; an empty table gives no row."""
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(_stored, T.StructType([documents.schema["doc_id"], *DIGEST]))
 
 
 def _encoded(batches):
     for batch in parts(batches):
-        media = [encode_samples(payload(t)[0]) for t in batch.column(1).to_pylist()]
+        media = [encode_samples(payload(t)[0])[0] for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
 
 def with_media(documents: DataFrame) -> DataFrame:
-    """``(doc_id, media)``: the stored images themselves."""
+    """``(doc_id, media)``: the stored images themselves, of a long text several files in a row."""
     return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(_encoded, T.StructType([documents.schema["doc_id"], T.StructField("media", T.BinaryType())]))
 
 

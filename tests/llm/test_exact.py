@@ -174,12 +174,40 @@ def test_recall_at_exactly_the_allowed_edits():
 
 def test_media_round_trip():
     rng = np.random.default_rng(1)
-    for data in (b"\0" * 64, b"ab" * 32, bytes(range(256)), rng.integers(0, 256, 64 * 700, dtype=np.uint8).tobytes(), b"x" * (64 * 20_000) + b"y" * 64):
-        assert webp.decode_samples(webp.encode_samples(data), len(data)) == data
+    line = b"A line that stands here more than once, word by word. "
+    text = b" ".join(rng.choice([b"one", b"two", b"three", b"four", b"five"]) for _ in range(9000))
+    pad = lambda x: x + bytes(-len(x) % 64)
+    for data, form in (
+        (b"\0" * 64, "literals"), (b"ab" * 3200, "palette"), (b"abcd" * 640, "palette"), (rng.integers(0, 16, 6400, dtype=np.uint8).tobytes(), None), (bytes(range(256)), "literals"), (rng.integers(0, 256, 64 * 700, dtype=np.uint8).tobytes(), "literals"),
+        (pad(text + b" ".join(line + bytes(rng.integers(97, 123, 30, dtype=np.uint8)) for _ in range(60))), "references"), (pad(line * 4000), "references"), (pad(bytes(range(33, 127)) + b" " + line + bytes(200) + line), "references"),
+        (b"x" * (64 * 20_000) + b"y" * 64, None),
+    ):
+        media, found = webp.encode_samples(data)
+        assert webp.decode_samples(media, len(data)) == data and form in (found, None), (found, form)
+        assert (webp.decode(media)[..., 2].ravel()[: len(data)] == np.frombuffer(data, np.uint8)).all()
+    old = webp.IMAGE_BYTES
+    try:
+        webp.IMAGE_BYTES = 640
+        data = pad(text)
+        media, _ = webp.encode_samples(data)
+        assert webp.decode_samples(media, len(data)) == data and media.count(b"WEBPVP8L") == -(-len(data) // 640)
+    finally:
+        webp.IMAGE_BYTES = old
     data, n = webp.payload("é" * 32)
     assert n == 64 and data == ("é" * 32).encode()
 
 
+def test_a_file_worked_out_by_hand():
+    # 2 x 1 pixels, no transform, no cache, one group; green: two symbols 5 and 9 of one bit; red 0, blue 0, alpha 255, distance 0 alone.
+    bits = "0" + "0" + "0" + "1" + "1" + "1" + "10100000" + "10010000" + 2 * ("1" + "0" + "0" + "0") + "1" + "0" + "1" + "11111111" + "1" + "0" + "0" + "0" + "1" + "0"
+    head = f"{0x2F:08b}"[::-1] + f"{1:014b}"[::-1] + f"{0:014b}"[::-1] + "0" + "000"
+    stream = head + bits
+    stream += "0" * (-len(stream) % 16)
+    data = bytes(int(stream[i : i + 8][::-1], 2) for i in range(0, len(stream), 8))
+    media = b"RIFF" + (12 + len(data)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data
+    assert webp.decode(media).tolist() == [[[255, 0, 9, 0], [255, 0, 5, 0]]]
+
+
 def _eight(w, values):
     for v in values:
         w.put(int(format(int(v), "08b")[::-1], 2), 8)
