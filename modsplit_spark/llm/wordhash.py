@@ -8,7 +8,7 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -59,4 +59,4 @@ def word_hashes(texts: list[bytes], fold: bytes | None = None) -> tuple[np.ndarr
     start, end = edge[0::2], edge[1::2]
     first = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
     owner = np.searchsorted(first, start, "right") - 1
-    return range_hash(range_sums(_BYTE[a], BASES[0]), start, end, BASES[0]), owner, start, end, buffer
+    return range_hash(range_sums(BYTE[a], BASES[0]), start, end, BASES[0]), owner, start, end, buffer
