@@ -40,14 +40,18 @@ MIN_DOCUMENTS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Bytes of text of a block; a longer text is several blocks.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
+SLICE = 1 << 20
 #: Records with so many documents are dealt to SALTS places by block, so no term is gathered in one task.
 FREQUENT, SALTS = 64, 64
+#: So many salted terms go to all tasks at most; beyond that they are joined.
+FEW_TERMS = 200_000
 #: Rows of one batch that goes out, and sources of one comparison.
 ROWS, SIDE = 50_000, 256
 #: Letters A to Z become lower case, all other ASCII but a to z becomes a blank; bytes of longer characters stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _RECORD = "lang string, term string, source string, block long, docs long, n long"
+_RUN = "lang string, term string, source string, docs long, n long, split boolean, all_docs long, all_n long, one long"
 _PAIR = "lang string, a string, b string, x long"
 
 
@@ -58,18 +62,34 @@ def _gathered(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Arra
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(buffer[at]))
 
 
+def _words(texts: list[bytes]) -> list[np.ndarray]:
+    """Two hashes, text number, start and end of every term, over the texts one after another; hashed in small slices."""
+    found, at, base, i = [], 0, 0, 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < SLICE):
+            size += len(texts[j]) + 1
+            j += 1
+        h, owner, start, end, buffer = word_hashes(texts[i:j], _FOLD)
+        check = range_hash(range_sums(BYTE[np.frombuffer(buffer, np.uint8)], BASES[1]), start, end, BASES[1])
+        found.append((h, check, (owner + i).astype(np.int32), start + base, (end - start).astype(np.int32)))
+        base, i = base + len(buffer), j
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def _records(texts: list[bytes], groups: list[tuple], block: int, seen: set | None = None):
     """A block's runs: the terms of its texts sorted by (group, term, document) and counted. ``seen`` has the terms of earlier
     pieces where the block is a piece of one long document."""
-    h, owner, start, end, buffer = word_hashes(texts, _FOLD)
+    if not texts:
+        return
+    h, check, owner, start, length = _words(texts)
     if not len(h):
         return
-    a = np.frombuffer(buffer, np.uint8)
-    check = range_hash(range_sums(BYTE[a], BASES[1]), start, end, BASES[1])
     names = list(dict.fromkeys(groups))
     number = {g: i for i, g in enumerate(names)}
-    group = np.array([number[g] for g in groups], np.uint64)[owner]
-    key = mix(h + group * np.uint64(BASES[2]))
+    group = np.array([number[g] for g in groups], np.int32)[owner]
+    key = mix(h + group.astype(np.uint64) * np.uint64(BASES[2]))
+    del h
     bits = np.uint64(len(texts).bit_length())
     order = np.argsort(((key >> bits) << bits) | owner.astype(np.uint64))
     for again in (False, True):
@@ -81,16 +101,17 @@ def _records(texts: list[bytes], groups: list[tuple], block: int, seen: set | No
             break
         order = np.lexsort((owner, check, group, key))  # two terms share the upper bits
     first = np.flatnonzero(edge)
-    new = edge.copy()
-    new[1:] |= owner[order][1:] != owner[order][:-1]
-    docs, n = np.add.reduceat(new.astype(np.int64), first), np.diff(np.append(first, len(order)))
+    owner = owner[order]
+    edge[1:] |= owner[1:] != owner[:-1]
+    docs, n = np.add.reduceat(edge.astype(np.int64), first), np.diff(np.append(first, len(order)))
     at = order[first]
-    terms = _gathered(a, start[at], end[at])
+    buffer = np.frombuffer((b"\n".join(texts) + b"\n").translate(_FOLD), np.uint8)
+    terms = _gathered(buffer, start[at], start[at] + length[at])
     if seen is not None:
         fresh = terms.cast(pa.binary()).to_pylist()
         docs = np.array([t not in seen for t in fresh], np.int64)
         seen.update(fresh)
-    which = pa.array(group[at].astype(np.int64))
+    which = pa.array(group[at])
     lang, source = (pa.array([g[i] for g in names], pa.binary()).cast(pa.string()).take(which) for i in (0, 1))
     whole = pa.RecordBatch.from_arrays([lang, terms, source, pa.array(np.full(len(at), block)), pa.array(docs), pa.array(n)], ["lang", "term", "source", "block", "docs", "n"])
     for i in range(0, len(at), ROWS):
@@ -138,27 +159,41 @@ def _edges(batch: pa.RecordBatch, keys: int) -> np.ndarray:
     return out
 
 
+def _full(batches):
+    return (b for b in batches if b.num_rows)
+
+
+def _one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _scan_runs(batches):
-    """Sums of each run of equal (lang, term, source); the last run of a batch waits for the next."""
-    open_run: tuple | None = None
-    names = ["lang", "term", "source", "docs", "n"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        first = np.flatnonzero(_edges(batch, 3))
-        keys = [c.take(pa.array(first)) for c in batch.columns[:3]]
-        sums = [np.add.reduceat(batch.column(i).to_numpy(), first) for i in (3, 4)]
-        head = tuple(k[0].as_py() for k in keys)
-        if open_run and open_run[:3] == head:
-            for s, more in zip(sums, open_run[3:], strict=True):
-                s[0] += more
-        elif open_run:
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in open_run[:3]), *(pa.array([x], pa.int64()) for x in open_run[3:])], names)
-        open_run = (*(k[-1].as_py() for k in keys), *(int(s[-1]) for s in sums))
-        if len(first) > 1:
-            yield pa.RecordBatch.from_arrays([*(k[:-1] for k in keys), *(pa.array(s[:-1]) for s in sums)], names)
-    if open_run:
-        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in open_run[:3]), *(pa.array([x], pa.int64()) for x in open_run[3:])], names)
+    """Sums of each run of equal (lang, term, source), and of the (lang, term) it belongs to; the last term of a batch waits for the next."""
+    rest: pa.RecordBatch | None = None
+    for batch in _full(batches):
+        rows = batch if rest is None else _one_batch([rest, batch])
+        last = int(np.flatnonzero(_edges(rows, 2))[-1])
+        if last:
+            yield _summed(rows[:last])
+        rest = _sources(rows[last:])
+    if rest is not None:
+        yield _summed(rest)
+
+
+def _sources(rows: pa.RecordBatch) -> pa.RecordBatch:
+    first = np.flatnonzero(_edges(rows, 3))
+    salt, docs, n = (rows.column(i).to_numpy() for i in (3, 4, 5))
+    sums = [np.maximum.reduceat(salt, first), np.add.reduceat(docs, first), np.add.reduceat(n, first)]
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in rows.columns[:3]), *map(pa.array, sums)], rows.schema.names)
+
+
+def _summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    rows = _sources(rows)
+    edge = _edges(rows, 2)
+    first, of = np.flatnonzero(edge), np.cumsum(edge) - 1
+    salt, docs, n = (rows.column(i).to_numpy() for i in (3, 4, 5))
+    of_term = [np.maximum.reduceat(salt, first)[of] > 0, np.add.reduceat(docs, first)[of], np.add.reduceat(n, first)[of], edge.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([*rows.columns[:3], *rows.columns[4:], *map(pa.array, of_term)], ["lang", "term", "source", "docs", "n", "split", "all_docs", "all_n", "one"])
 
 
 def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -218,10 +253,8 @@ def _scan_pairs(batches, side: int):
             for a, b, x in _compare(number[s:e], source[s:e], p[s:e], z[s:e], side):
                 found[lang, a, b] += x
 
-    for batch in batches:
-        rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        if not rows.num_rows:
-            continue
+    for batch in _full(batches):
+        rows = batch if rest is None else _one_batch([rest, batch])
         starts = np.flatnonzero(_edges(rows, 2))
         last = int(starts[-1])
         if last:
@@ -234,17 +267,27 @@ def _scan_pairs(batches, side: int):
     yield from out()
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """``(lang, term, source, docs, n)``: how many documents of a (lang, source) hold a term, and how often in all."""
+def term_counts(documents: DataFrame, min_documents: int) -> DataFrame:
+    """``(lang, term, source, n, all_n, one)`` of the kept terms: how often a (lang, source) has a term, how often its lang,
+    and 1 in one row of each (lang, term), else 0."""
     text = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     order = ["lang", "term", "source"]
-    records = text.mapInArrow(_scan_documents, _RECORD).withColumns({
-        "salt": F.when(F.col("docs") >= FREQUENT, F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(0),
-        "hash": F.xxhash64(*order),  # one number decides most comparisons of the sort
-    })
-    dealt = records.repartition(*order, "salt").sortWithinPartitions("hash", *order, "block")
-    runs = dealt.select(*order, "docs", "n").mapInArrow(_scan_runs, "lang string, term string, source string, docs long, n long")
-    return runs.groupBy(*order).agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    # A record of many documents goes to one of several places by its block.
+    salt = F.when(F.col("docs") >= FREQUENT, 1 + F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    records = text.mapInArrow(_scan_documents, _RECORD).withColumns({"hash": F.xxhash64("lang", "term"), "salt": salt})
+    # The hash decides most comparisons of the sort. Rows are dealt by term, so that one scan sees all its sources.
+    dealt = records.repartition("hash", "salt").sortWithinPartitions("hash", *order, "block")
+    runs = materialize(dealt.select(*order, "salt", "docs", "n").mapInArrow(_scan_runs, _RUN), "runs")
+    # Terms with a salted record may stand in several partitions; all others are whole.
+    split = runs.where("split").select("lang", "term").distinct()
+    split = materialize(split.withColumn("spread", F.lit(True)), "split")
+    split = F.broadcast(split) if split.count() <= FEW_TERMS else split
+    runs = runs.join(split, ["lang", "term"], "left")
+    whole = runs.where(F.col("spread").isNull() & (F.col("all_docs") >= min_documents)).select(*order, "n", "all_n", "one")
+    rows = runs.where("spread")
+    totals = rows.groupBy("lang", "term").agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("all_n"), F.min("source").alias("first")).where(F.col("all_docs") >= min_documents)
+    spread = rows.groupBy(*order).agg(F.sum("n").alias("n")).join(totals, ["lang", "term"])
+    return whole.unionByName(spread.select(*order, "n", "all_n", (F.col("source") == F.col("first")).cast("long").alias("one")))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -270,11 +313,8 @@ def audit(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = T
     documents keep no term gives pairs of value 0. An empty table gives no row. Other columns are not read.
     """
     of_group = W.partitionBy("lang", "source")
-    counted = materialize(term_counts(documents), "counts")
-    of_lang = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= min_documents)
-    of_lang = materialize(of_lang.drop("docs"), "vocabulary")
-    kept = counted.drop("docs").join(of_lang, ["lang", "term"])
-    langs = of_lang.groupBy("lang").agg(F.sum("all_n").alias("lang_n"), F.count("*").alias("terms"))
+    kept = materialize(term_counts(documents, min_documents), "terms")
+    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum("one").alias("terms"))
     every = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = every.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count("*").alias("own")), ["lang", "source"], "left").join(langs, "lang", "left")
     zero = F.lit(0).cast("long")
@@ -287,7 +327,7 @@ def audit(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = T
     by_value = of_group.orderBy(F.desc("value"), "item")
     listed = listed.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
 
-    ordered = shares.select("lang", "term", "source", "p", "z").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
+    ordered = shares.select("lang", "term", "source", "p", "z").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
     shared = ordered.mapInArrow(partial(_scan_pairs, side=side), _PAIR).groupBy("lang", "a", "b").agg(F.sum("x").alias("x"))
     shared = shared.unionByName(shared.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "x"))
     # What a source's own terms give against each share that an absent term can have in its language.
