@@ -274,9 +274,9 @@ def term_counts(documents: DataFrame, min_documents: int) -> DataFrame:
     order = ["lang", "term", "source"]
     # A record of many documents goes to one of several places by its block.
     salt = F.when(F.col("docs") >= FREQUENT, 1 + F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    records = text.mapInArrow(_scan_documents, _RECORD).withColumns({"hash": F.xxhash64("lang", "term"), "salt": salt})
-    # The hash decides most comparisons of the sort. Rows are dealt by term, so that one scan sees all its sources.
-    dealt = records.repartition("hash", "salt").sortWithinPartitions("hash", *order, "block")
+    records = text.mapInArrow(_scan_documents, _RECORD).withColumn("salt", salt)
+    # Rows are dealt by term, so that one scan sees all its sources. The hash decides most comparisons of the sort; it is made on either side.
+    dealt = records.repartition("lang", "term", "salt").sortWithinPartitions(F.xxhash64("lang", "term"), *order, "block")
     runs = materialize(dealt.select(*order, "salt", "docs", "n").mapInArrow(_scan_runs, _RUN), "runs")
     # Terms with a salted record may stand in several partitions; all others are whole.
     split = runs.where("split").select("lang", "term").distinct()
