@@ -13,8 +13,9 @@ holds a fixed number of times by their number too, so that a ``div`` of one slot
 
 The slots are then read. Words of running text are summed, over all pages of the host, for each template element that occurs once a
 page: the deepest that holds ``SHARE`` of the running text of the pages it is on is the main element, with the template's heading that
-leads up to it. In it, texts that the template repeats on all its pages, and elements that the host fills with links, are left out. All
-else that fills its slots is the page's main text.
+leads up to it. All that fills it is the page's main text: headings, cells, sentences and lists of links too that the host's pages
+share. Only where no element but the body holds the running text do texts that the template repeats on all its pages, and elements
+that the host fills with links, go, if they stand before its first or after its last running paragraph.
 
 Hosts of fewer than ``LEAST_PAGES`` pages, and pages that lack their host's main element, have no template: there the article or main element,
 or else all but lists of links, is the text. Scripts, menus, headers, footers, side bars, forms and the like are left out by element, role, class
@@ -51,6 +52,8 @@ BROADCAST_TOKENS = 50_000
 SALTS = 16
 PAGE_TOKEN = 0
 MAIN = frozenset(("article", "main"))
+#: A main element that is the page itself holds the template's boxes too.
+WHOLE = frozenset(("html", "body"))
 LISTS = frozenset(("li", "ul", "ol", "dl"))
 
 TOKEN = re.compile(
@@ -387,15 +390,20 @@ def _list_column(lists: list[list[int]], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(_sizes(lists))]), pa.int32()), pa.array(flat))
 
 
-def _spread(row: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Numbers of 31 bits that stand for the pairs."""
-    return (mix(row.astype(np.uint64) * np.uint64(BASES[0]) + n.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+def _spread(row: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two numbers of 31 bits that stand for each pair."""
+    h = mix(row.astype(np.uint64) * np.uint64(BASES[0]) + n.astype(np.uint64))
+    return [(h >> np.uint64(33)).astype(np.int64), (h & np.uint64((1 << 31) - 1)).astype(np.int64)]
+
+
+#: What is summed for a host and token. Two sums of 31-bit numbers stand for a vector.
+SUMS = ["pages", "vector1", "vector2", "ones1", "ones2", "count", "squares", "texts"]
 
 
 def _vectors(batches, rounds: int):
     """For each host and token the pages it occurs in, sums that stand for its occurrence vector and for one of ones, sums of its counts
     and their squares, and on how many pages it is a text."""
-    names, held, made, rows = ["pages", "vector", "ones", "count", "squares", "texts"], [], {}, 0
+    held, made, rows = [], {}, 0
 
     def merged():
         host, token = (np.concatenate([h[i] for h in held]) for i in range(2))
@@ -408,7 +416,7 @@ def _vectors(batches, rounds: int):
         return hosts[code[first]], token[first], np.add.reduceat(sums[order], first)
 
     def batch_of(host, token, sums):
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token), *(pa.array(sums[:, i]) for i in range(6))], ["host", "token", *names])
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token), *(pa.array(sums[:, i]) for i in range(len(SUMS)))], ["host", "token", *SUMS])
 
     for batch in parts(batches):
         words = batch.column("words")
@@ -429,7 +437,7 @@ def _vectors(batches, rounds: int):
         n = np.diff(np.append(first, len(page)))
         row = batch.column("row").to_numpy()[page[first]]
         hosts = np.array(batch.column("host").to_pylist(), object)[page[first]]
-        held.append((hosts, token[first], np.stack([np.ones_like(n), _spread(row, n), _spread(row, np.ones_like(n)), n, n * n, text[first].astype(np.int64)], axis=1)))
+        held.append((hosts, token[first], np.stack([np.ones_like(n), *_spread(row, n), *_spread(row, np.ones_like(n)), n, n * n, text[first].astype(np.int64)], axis=1)))
         rows += len(first)
         if rows > 200_000:
             held.append(merged())
@@ -531,16 +539,15 @@ def _deduced(pages: DataFrame, totals: DataFrame, rounds: DataFrame | None, size
     source = pages.select("row", "host", "tokens", "words")
     if rounds is not None:
         source = _with_template(source, rounds, size)
-    sums = ["pages", "vector", "ones", "count", "squares", "texts"]
-    found = source.mapInArrow(partial(_vectors, rounds=n), "host string, token long, " + ", ".join(f"{c} long" for c in sums))
-    tokens = found.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in sums)).where((F.col("pages") >= LEAST_PAGES) & (F.col("token") != PAGE_TOKEN))
+    found = source.mapInArrow(partial(_vectors, rounds=n), "host string, token long, " + ", ".join(f"{c} long" for c in SUMS))
+    tokens = found.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in SUMS)).where((F.col("pages") >= LEAST_PAGES) & (F.col("token") != PAGE_TOKEN))
     dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     frequent = tokens.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "salt"]).where(F.col("pages") >= SUPPORT * F.col("total"))
     each = F.col("count") / F.col("pages")
     is_fixed = (F.col("texts") == 0) & (F.col("squares") * F.col("pages") == F.col("count") * F.col("count")) & each.between(2, MOST_NUMBERED)
     frequent = frequent.withColumn("n", F.when(is_fixed, each.cast("int")).otherwise(0)).withColumn("once", (F.col("n") > 0) | (F.col("count") == F.col("pages")))
     # A class is its tokens of one vector. Classes without an element are no template.
-    classes = frequent.groupBy("host", "pages", "once", F.when(F.col("n") > 0, F.col("ones")).otherwise(F.col("vector")).alias("key")).agg(
+    classes = frequent.groupBy("host", "pages", "once", *(F.when(F.col("n") > 0, F.col(f"ones{i}")).otherwise(F.col(f"vector{i}")).alias(f"key{i}") for i in (1, 2))).agg(
         F.array_sort(F.collect_list(F.struct("token", "n"))).alias("tokens"), F.min("texts").alias("least")
     )
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("rank"), (-F.size("tokens")).alias("size"), "tokens", "once", "pages")))
@@ -611,18 +618,22 @@ def _by_template(page: Page, template: Template) -> list[str] | None:
         return None
     begin, end = here[main], here[main | 1]
     around = {t for t, i in here.items() if not t & 1 and i <= begin and here[t | 1] >= end}
-    out, stack = [], []
+    out, inside, stack = [], [], []
     for i, (t, w) in enumerate(zip(ids, page.words, strict=True)):
         if not w:
             if t in template.once:
                 stack.pop() if t & 1 else stack.append((t, page.tags[i]))
             continue
-        if t in template.own or any(e in template.links for e, _ in stack if e not in around):
-            continue
-        title = i < begin and len(stack) > 1 and stack[-1][1] in ("h1", "h2") and stack[-2][0] in around
-        if title or begin < i < end:
+        weak = t in template.own or any(e in template.links for e, _ in stack if e not in around)
+        if begin < i < end:
+            inside.append((page.texts[i], weak, page.tags[i].rpartition("/")[2] in HEADINGS))
+        elif i < begin and not weak and len(stack) > 1 and stack[-1][1] in ("h1", "h2") and stack[-2][0] in around:
             out.append(page.texts[i])
-    return out
+    first, last = 0, len(inside)
+    if page.tags[begin] in WHOLE:
+        running = [k for k, (_, weak, heading) in enumerate(inside) if not weak and not heading]
+        first, last = (running[0], running[-1]) if running else (last, last)
+    return out + [text for k, (text, weak, _) in enumerate(inside) if not weak or first <= k <= last]
 
 
 def main_text(html: str | None, template: Template | None = None) -> str:

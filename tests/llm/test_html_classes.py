@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from modsplit_spark.llm import html_template as H
 
 
@@ -44,6 +46,36 @@ def test_neutral_hosts_are_read_by_their_template(spark):
     assert all(H.main_text(p[2]) != p[3] for p in pages)
 
 
+REST = {
+    "heading": ("<h2>Methods</h2><p>How it was done {i}</p>", "Methods\nHow it was done {i}"),
+    "cell": ("<table><tr><th>Year</th><td>{i}</td></tr></table>", "Year\n{i}"),
+    "sentence": ("<p>All measurements were taken in May.</p>", "All measurements were taken in May."),
+    "references": ("<ul><li><a href='/a'>Stone and others</a></li><li><a href='/{i}'>River {i}</a></li></ul>", "Stone and others\nRiver {i}"),
+    "appendix": ("<div><p><a href='/x'>See the appendix</a></p></div>", "See the appendix"),
+}
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div class='c3'"])
+def test_the_article_is_read_whole(spark, outer):
+    """What the articles of a host share is theirs: a heading, a cell, a sentence, references, one linked line; first, last or between."""
+    tag, rows, want = outer.split()[0], [], {}
+    for h, (name, (html, text)) in enumerate([*REST.items(), ("all", ("".join(x for x, _ in REST.values()), "\n".join(t for _, t in REST.values())))]):
+        for i in range(6):
+            for k, order in enumerate(("T{r}", "{r}T", "T{r}T")):
+                running = f"<p>Own text of {name} {i} with some words of running text {i * i} to read {i}</p>"
+                inner = order.replace("T", running).replace("{r}", html.replace("{i}", str(i)))
+                lines = order.replace("T", f"\nOwn text of {name} {i} with some words of running text {i * i} to read {i}\n").replace("{r}", "\n" + text.replace("{i}", str(i)) + "\n")
+                n = h * 100 + i * 3 + k
+                rows.append((n, f"http://h{h}-{k}.net/{i}", f"<html><body><nav>Menu</nav><div><a href='/'>Home</a></div><{outer}><h1>Title {i}</h1><p>Every article begins so.</p>{inner}</{tag}><footer>f</footer></body></html>"))
+                want[n] = "\n".join([f"Title {i}", "Every article begins so.", *filter(None, lines.split("\n"))])
+    assert _texts(spark, rows) == want
+
+
+def test_only_edges_of_a_bare_body_go(spark):
+    page = lambda i: f"<html><body><h1>T{i}</h1><ul><li><a href='/'>Home</a></li><li><a href='/{i}'>Next {i}</a></li></ul><p>Own {i}</p><h2>Same head</h2><p>Same line</p><p>Later {i}</p><p>All rights kept</p></body></html>"
+    assert _texts(spark, [(i, "http://h.net/", page(i)) for i in range(5)]) == {i: f"T{i}\nOwn {i}\nSame head\nSame line\nLater {i}" for i in range(5)}
+
+
 def _plain_classes(pages, support=H.SUPPORT):
     """Classes of a host's pages by whole occurrence vectors: sets of tokens (element begins and texts) and their words."""
     counts = [Counter(t for t in p if not t & 1) for p in pages]
