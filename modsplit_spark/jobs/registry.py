@@ -92,8 +92,11 @@ class Frames:
     def sims(self) -> DataFrame:
         return M.doc_similarity(materialize(self.pairs(), "pairs"))
 
+    def near(self) -> DataFrame:
+        return M.similar_pairs(materialize(self.pairs(), "pairs"))
+
     def similar(self) -> DataFrame:
-        return G.similarity_edges(self.nodes, self.termed(), materialize(M.entity_sim(self.sims()), "sims"))
+        return G.similarity_edges(self.nodes, self.termed(), materialize(self.near(), "sims"))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -292,6 +295,7 @@ SELECT parent_id, doc_a, doc_b, sim FROM sims UNION ALL SELECT parent_id, doc_b,
     lambda s, d: rounded(M.most_similar(Frames(s, d).sims(), 5), "sim").select("parent_id", "doc", "rank", "sim")
 )
 register("entity_sim", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0 AS sim FROM near", "near"))(lambda s, d: rounded(M.entity_sim(Frames(s, d).sims()).drop("dist"), "sim"))
+register("similar_pairs", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0 AS sim FROM near WHERE sim > 0", "near"))(over(lambda f: rounded(f.near(), "sim")))
 
 # ---------------------------------------------------------------- graph
 
@@ -476,6 +480,28 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("cluster_units")(lambda s, d: _paths(_clustered(s, d)))
+#: All labellings of the components of up to 12 nodes: bit i of ``m`` is the label of the component's i-th node.
+MASKS = CURVES.format(weak=DAG_WCC) + """,
+place AS (SELECT commit_key, parent_id, wcc, pos, row_number() OVER (PARTITION BY commit_key, parent_id, wcc ORDER BY pos) - 1 AS bit, count(*) OVER (PARTITION BY commit_key, parent_id, wcc) AS n FROM curves),
+small AS (SELECT * FROM place WHERE n <= 12),
+masks AS (SELECT commit_key, parent_id, wcc, n, unnest(range(1, (1 << n) - 1)) AS m FROM (SELECT DISTINCT commit_key, parent_id, wcc, n FROM small)),
+ends2 AS (SELECT x.commit_key, x.parent_id, x.wcc, x.bit AS a, y.bit AS b FROM e JOIN small x ON x.commit_key = e.commit_key AND x.parent_id = e.parent_id AND x.pos = e.a JOIN small y ON y.commit_key = e.commit_key AND y.parent_id = e.parent_id AND y.pos = e.b AND y.wcc = x.wcc),
+judged AS (SELECT masks.commit_key, masks.parent_id, masks.wcc, n, m, sum((m >> a & 1) <> (m >> b & 1)) AS cut, max((m >> a & 1) > (m >> b & 1)) AS back FROM masks JOIN ends2 ON ends2.commit_key = masks.commit_key AND ends2.parent_id = masks.parent_id AND ends2.wcc = masks.wcc GROUP BY ALL),
+chosen AS (SELECT commit_key, parent_id, wcc, arg_min(m, cut * 1000000000 + abs(2 * bit_count(m) - n) * 1000000 + m) AS m FROM judged WHERE NOT back AND n >= 2 AND bit_count(m) <= ceil(1.1::DOUBLE * ceil(n / 2)) AND n - bit_count(m) <= ceil(1.1::DOUBLE * ceil(n / 2)) GROUP BY ALL)"""
+
+
+@register("exact_partition", sql("SELECT s.commit_key, s.parent_id, s.pos, CAST(c.m >> s.bit & 1 AS INTEGER) AS label FROM small s LEFT JOIN chosen c ON c.commit_key = s.commit_key AND c.parent_id = s.parent_id AND c.wcc = s.wcc", "fx_dag_edges", recursive=True, more=MASKS))
+def exact_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of least cut of every component of up to 12 nodes of the acyclic fixture."""
+    nodes, edges = _dag(spark, sf_dir)
+    marked = materialize(edges.select(*UNIT, "a", "b", "w", F.lit(True).alias("directed")), "scc-edges")
+    wcc = materialize(G.weak_components(nodes.select(*UNIT, F.col("pos").alias("scc")), marked, node="scc"), "wcc")
+    sizes = wcc.groupBy(*UNIT, "wcc").count().where(F.col("count").between(2, N.EXACT_NODES))
+    members = wcc.join(sizes, [*UNIT, "wcc"], "left_semi").select(*UNIT, "wcc", F.col("scc").alias("pos"), F.lit(1).alias("weight"))
+    split = N.exact_partition(members, G.component_edges(marked, wcc))
+    return split.select(*UNIT, "pos", F.get("path", F.lit(0)).alias("label"))
+
+
 register("assignment_lines", sql("SELECT commit_key, parent_id, ix, name || ' : [' || replace(path, '$', ', ') || ']' AS line FROM assigned", "fx_dag_edges", recursive=True, more=ASSIGNED))(lambda s, d: tables.assignment_lines(_dag_assigned(s, d)))
 
 # ---------------------------------------------------------------- clustering algebra

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from modsplit_spark.operators.components import connected_components
 from modsplit_spark.operators.similarity import both_ways
+from modsplit_spark.operators.strong import strong_components_loop
+from modsplit_spark.sources.workspace import materialize
 
 UNIT = ["commit_key", "parent_id"]
+#: Nodes and edges of a unit up to which one task finds its strong components.
+GROUP_ROWS = 500_000
 
 
 def index_nodes(labelled: DataFrame) -> DataFrame:
@@ -112,12 +116,18 @@ def _strong_unit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"commit_key": rows["commit_key"].iloc[0], "parent_id": rows["parent_id"].iloc[0], "ix": list(found), "scc": list(found.values())})
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, most_rows: int = GROUP_ROWS) -> DataFrame:
     """``(unit, ix, scc)``: strongly connected components, numbered from 0 in topological order.
 
-    Exact numbering needs a unit's nodes and edges in one group; units are source files, so a group holds one file's members."""
+    A unit of up to ``most_rows`` nodes and edges is one group, numbered as two depth-first passes with sorted neighbours do. Larger
+    units go through the loop of ``strong``, where no group is gathered; they have the same components in a topological order that may be another."""
     rows = nodes.select(*UNIT, F.col("ix").cast("long").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(edges.select(*UNIT, F.col("a").cast("long"), F.col("b").cast("long")))
-    return rows.groupBy(*UNIT).applyInPandas(_strong_unit, "commit_key string, parent_id string, ix int, scc int")
+    sizes = materialize(rows.groupBy(*UNIT).count(), "unit-sizes")
+    giant = sizes.where(F.col("count") > most_rows).select(*UNIT)
+    if giant.isEmpty():
+        return rows.groupBy(*UNIT).applyInPandas(_strong_unit, "commit_key string, parent_id string, ix int, scc int")
+    few = rows.join(giant, UNIT, "left_anti").groupBy(*UNIT).applyInPandas(_strong_unit, "commit_key string, parent_id string, ix int, scc int")
+    return few.unionByName(strong_components_loop(nodes.join(giant, UNIT, "left_semi"), edges.join(giant, UNIT, "left_semi")))
 
 
 def condense_nodes(nodes: DataFrame, scc: DataFrame) -> DataFrame:

@@ -3,13 +3,19 @@
 A valid split puts no directed edge from the second part to the first, so it is a prefix of a topological
 order. Component nodes are numbered in such an order; for each position the weight of the edges
 across it is a running sum, and of the positions that balance a block the one with the least cut
-splits it. Every open block of every unit is split in the same pass; a level is two window passes. Components of
-up to ``EXACT_NODES`` nodes can be split by trying all valid splits instead, which finds the least cut.
+splits it.
+
+Components of up to ``GROUP_NODES`` nodes are split to the end in one grouped pass. Larger ones go level by level: every open block
+of every unit is split in the same pass, and a level is two window passes. ``EXACT_NODES`` and less can be split by trying all valid
+splits, which finds the least cut. With ``refine`` the others in groups are swept in several orders, so that a block which one order can't balance
+is not given up, and the best split is improved by moving single nodes across it. Every node has the status of the block it ended in.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,6 +31,14 @@ EPS, PARTS, MIN_WEIGHT = 0.1, 2, 2
 SCALE = 65536
 #: Components up to which all splits are tried: 2^12 of them.
 EXACT_NODES = 12
+#: Nodes, and ten times as many edges, of a component up to which one task splits it to the end.
+GROUP_NODES = 20_000
+#: A component up to which all its nodes may move to improve the split of a block, and up to which the block's own may; in larger ones none do.
+ALL_MOVE, MOVE_NODES = 256, 4_000
+#: Why a block was not split further: it weighs less than two nodes; no order tried has a balanced prefix.
+LIGHT, INFEASIBLE = "light", "infeasible"
+#: Orders drawn beside the planned ones, best prefixes that are improved, and moves in a row that may make a split worse.
+DRAWN, STARTS, PATIENCE = 8, 3, 12
 
 
 def balance_bound(weight: Column, k: int = PARTS, eps: float = EPS) -> Column:
@@ -67,94 +81,298 @@ def acyclic_bisect(blocks: DataFrame, eps: float = EPS, min_weight: int = MIN_WE
     return weighed.withColumn("_best", best).withColumn("label", F.when(F.col("_best").isNotNull(), (F.col("pos") > F.col("_best.pos")).cast("int"))).drop("_left", "_all", "_choice", "_best")
 
 
-def _exact_paths(rows: pd.DataFrame, eps: float, min_weight: int) -> pd.DataFrame:
-    """Paths of one small component. Each block takes the least cut of the whole component among splits without a directed
-    edge back that balance the block; ties: least imbalance, then the least set."""
-    nodes, edges = rows[rows["b"].isna()].sort_values("pos"), rows[rows["b"].notna()]
-    ix = {p: i for i, p in enumerate(nodes["pos"].tolist())}
-    weight, n = nodes["weight"].to_numpy(np.int64), len(ix)
-    side = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
-    cut, valid = np.zeros(1 << n, np.int64), np.ones(1 << n, bool)
-    for a, b, units, directed in zip(edges["pos"].map(ix), edges["b"].astype(np.int64).map(ix), edges["units"], edges["directed"], strict=True):
-        cut += int(units) * (side[:, a] != side[:, b])
-        if directed:
-            valid &= side[:, a] <= side[:, b]
-    paths: list[list[int]] = [[] for _ in range(n)]
-
-    def split(block: np.ndarray) -> None:
-        whole = int(weight[block].sum())
-        bound = math.ceil((1 + eps) * math.ceil(whole / PARTS))
-        right = side[:, block] @ weight[block]
-        left = whole - right
-        good = np.flatnonzero(valid & (left >= 1) & (right >= 1) & (left <= bound) & (right <= bound)) if whole >= min_weight else []
+class _Component:
+    """One component in a task: weights, edges, and its splits. Nodes are numbered from 0 in order of ``pos``."""
+
+    def __init__(self, rows: pd.DataFrame, eps: float, min_weight: int):
+        nodes, edges = rows[rows["b"].isna()].sort_values("pos"), rows[rows["b"].notna()]
+        edges = edges[edges["pos"].isin(nodes["pos"]) & edges["b"].isin(nodes["pos"])]
+        self.pos, self.weight = nodes["pos"].to_numpy(np.int64), nodes["weight"].to_numpy(np.int64)
+        self.a, self.b = (np.searchsorted(self.pos, edges[c].to_numpy(np.int64)) for c in ("pos", "b"))
+        self.units, self.directed = edges["units"].to_numpy(np.int64), edges["directed"].to_numpy(bool)
+        self.n, self.eps, self.min_weight = len(self.pos), eps, min_weight
+        self.paths: list[list[int]] = [[] for _ in range(self.n)]
+        self.status = [LIGHT] * self.n
+
+    def bound(self, whole: int) -> int:
+        return math.ceil((1 + self.eps) * math.ceil(whole / PARTS))
+
+    def run(self, split) -> None:
+        """Split blocks until ``split`` gives no labels for them."""
+        open_ = [np.arange(self.n)]
+        while open_:
+            block = open_.pop()
+            whole = int(self.weight[block].sum())
+            labels = split(block, whole) if whole >= self.min_weight else None
+            if labels is None:
+                for i in block:
+                    self.status[i] = INFEASIBLE if whole >= self.min_weight else LIGHT
+                continue
+            for i, label in zip(block, labels, strict=True):
+                self.paths[i].append(int(label))
+            open_ += [block[labels == label] for label in (0, 1)]
+
+    def balanced(self, left: np.ndarray, whole: int) -> np.ndarray:
+        bound = self.bound(whole)
+        return (left >= 1) & (whole - left >= 1) & (left <= bound) & (whole - left <= bound)
+
+    # -- all splits
+
+    @cached_property
+    def _all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        side = (np.arange(1 << self.n)[:, None] >> np.arange(self.n)) & 1
+        cut, valid = np.zeros(1 << self.n, np.int64), np.ones(1 << self.n, bool)
+        for a, b, units, directed in zip(self.a, self.b, self.units, self.directed, strict=True):
+            cut += int(units) * (side[:, a] != side[:, b])
+            if directed:
+                valid &= side[:, a] <= side[:, b]
+        return side, cut, valid
+
+    def exact(self, block: np.ndarray, whole: int) -> np.ndarray | None:
+        """The least cut of the whole component among splits without a directed edge back that balance the block; ties: least
+        imbalance, then the least set."""
+        side, cut, valid = self._all
+        left = whole - side[:, block] @ self.weight[block]
+        good = np.flatnonzero(valid & self.balanced(left, whole))
+        return side[good[np.lexsort((good, np.abs(2 * left - whole)[good], cut[good]))[0]], block] if len(good) else None
+
+    # -- prefixes of an order
+
+    def curve(self, place: np.ndarray) -> np.ndarray:
+        """Units across each prefix of the order in which node i stands at ``place[i]``."""
+        ends = np.sort(np.stack([place[self.a], place[self.b]]), axis=0)
+        return np.cumsum(np.bincount(ends[0], self.units, self.n) - np.bincount(ends[1], self.units, self.n)).round().astype(np.int64)
+
+    def prefix(self, block: np.ndarray, whole: int, place: np.ndarray, curve: np.ndarray) -> tuple[int, int, int] | None:
+        """(cut, imbalance, place of the last node) of the best balanced prefix."""
+        at = np.sort(place[block])
+        order = np.argsort(place[block])
+        left = np.cumsum(self.weight[block][order])
+        good = np.flatnonzero(self.balanced(left, whole))
         if not len(good):
-            return
-        best = good[np.lexsort((good, np.abs(left - right)[good], cut[good]))[0]]
-        for label in (0, 1):
-            part = block[side[best, block] == label]
-            for i in part:
-                paths[i].append(label)
-            split(part)
-
-    split(np.arange(n))
-    return pd.DataFrame({"commit_key": rows["commit_key"].iloc[0], "parent_id": rows["parent_id"].iloc[0], "wcc": int(rows["wcc"].iloc[0]), "pos": nodes["pos"].tolist(), "path": paths})
-
-
-def exact_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT) -> DataFrame:
-    """As ``recursive_partition``, by trying all splits. For components of few nodes; edges without a column ``directed`` all are."""
+            return None
+        best = good[np.lexsort((good, np.abs(2 * left - whole)[good], curve[at[good]]))[0]]
+        return int(curve[at[best]]), int(abs(2 * left[best] - whole)), int(at[best])
+
+    @cached_property
+    def _own(self) -> tuple[np.ndarray, np.ndarray]:
+        place = np.arange(self.n)
+        return place, self.curve(place)
+
+    def sweep(self, block: np.ndarray, whole: int) -> np.ndarray | None:
+        place, curve = self._own
+        best = self.prefix(block, whole, place, curve)
+        return None if best is None else (block > best[2]).astype(np.int64)
+
+    # -- several orders and moves
+
+    @cached_property
+    def _next(self) -> tuple[list[list[int]], list[list[int]]]:
+        after, before = [[] for _ in range(self.n)], [[] for _ in range(self.n)]
+        for a, b in {(int(a), int(b)) for a, b, d in zip(self.a, self.b, self.directed, strict=True) if d}:
+            after[a].append(b)
+            before[b].append(a)
+        return after, before
+
+    @cached_property
+    def _near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each node's neighbours begin, the neighbours, and the units to them."""
+        from_, to, units = np.concatenate([self.a, self.b]), np.concatenate([self.b, self.a]), np.concatenate([self.units, self.units])
+        order = np.argsort(from_, kind="stable")
+        return np.concatenate([[0], np.cumsum(np.bincount(from_, minlength=self.n))]), to[order], units[order]
+
+    @cached_property
+    def _forward(self) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct directed edges, and for each node those after and before it."""
+        after, before = self._next
+        edges = np.array([(i, j) for i, x in enumerate(after) for j in x], np.int64).reshape(-1, 2).T
+        return edges, [(np.array(x, np.int64), np.array(y, np.int64)) for x, y in zip(after, before, strict=True)]
+
+    def ordered(self, rank, backwards: bool = False) -> np.ndarray:
+        """Places in a topological order that takes the ready node of least rank; backwards from the last node."""
+        after, before = self._next
+        after, before = (before, after) if backwards else (after, before)
+        wait, place = [len(x) for x in before], np.zeros(self.n, np.int64)
+        ready = [(rank(i), i) for i in range(self.n) if not wait[i]]
+        heapq.heapify(ready)
+        for k in range(self.n):
+            _, i = heapq.heappop(ready)
+            place[i] = self.n - 1 - k if backwards else k
+            for j in after[i]:
+                wait[j] -= 1
+                if not wait[j]:
+                    heapq.heappush(ready, (rank(j), j))
+        return place
+
+    def grown(self, backwards: bool) -> np.ndarray:
+        """Places in a topological order that takes the ready node which adds least to the cut."""
+        after, before = self._next
+        after, before = (before, after) if backwards else (after, before)
+        wait, place = [len(x) for x in before], np.zeros(self.n, np.int64)
+        at, near, units = (x.tolist() for x in self._near)
+        cost = [sum(units[s:e]) for s, e in zip(at, at[1:], strict=False)]
+        ready, taken = [(cost[i], i) for i in range(self.n) if not wait[i]], [False] * self.n
+        heapq.heapify(ready)
+        k = 0
+        while ready:
+            c, i = heapq.heappop(ready)
+            if taken[i] or c != cost[i]:
+                continue
+            taken[i], place[i], k = True, (self.n - 1 - k if backwards else k), k + 1
+            for j, u in zip(near[at[i] : at[i + 1]], units[at[i] : at[i + 1]], strict=True):
+                cost[j] -= 2 * u
+                if not taken[j] and not wait[j]:
+                    heapq.heappush(ready, (cost[j], j))
+            for j in after[i]:
+                wait[j] -= 1
+                if not wait[j]:
+                    heapq.heappush(ready, (cost[j], j))
+        return place
+
+    @cached_property
+    def _orders(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        level = [0] * self.n
+        for i in np.argsort(self.ordered(lambda i: i)):
+            for j in self._next[0][i]:
+                level[j] = max(level[j], level[i] + 1)
+        weight = self.weight.tolist()
+        drawn = np.random.default_rng(self.n).random((DRAWN, self.n))
+        places = [self._own[0], self.grown(False), self.grown(True)]
+        places += [self.ordered(lambda i, s=s: (level[i], s * weight[i]), back) for s in (1, -1) for back in (False, True)]
+        places += [self.ordered(lambda i, s=s: s * weight[i], back) for s in (1, -1) for back in (False, True)]
+        places += [self.ordered(lambda i, r=r: r[i]) for r in drawn]
+        return [(p, self.curve(p)) for p in places]
+
+    def refined(self, block: np.ndarray, whole: int) -> np.ndarray | None:
+        """The best split that prefixes of several orders and moves from them give. Ties: least imbalance, then the earlier order."""
+        found = [(best, k) for k, (place, curve) in enumerate(self._orders) if (best := self.prefix(block, whole, place, curve))]
+        chosen = None
+        for (cut, _, at), k in sorted(found, key=lambda f: (f[0][:2], f[1]))[:STARTS]:
+            label = (self._orders[k][0] > at).astype(np.int64)
+            if self.n <= MOVE_NODES:
+                cut, label = self.moved(block, whole, cut, label)
+            gap = abs(2 * int(self.weight[block][label[block] == 0].sum()) - whole)
+            if chosen is None or (cut, gap) < chosen[:2]:
+                chosen = cut, gap, label
+        return None if chosen is None else chosen[2][block]
+
+    def moved(self, block: np.ndarray, whole: int, cut: int, label: np.ndarray) -> tuple[int, np.ndarray]:
+        """Passes of single moves: the node whose move lowers the cut most, or raises it least, goes across and stays for the pass; a pass
+        keeps the best of its states, and the last pass is one that finds none better. Edges stay forward and the block balanced."""
+        a, b, u, out, into = self.a, self.b, self.units, *self._forward
+        at, near, units = self._near
+        weight, free = np.zeros(self.n, np.int64), np.full(self.n, self.n <= ALL_MOVE)
+        weight[block], free[block] = self.weight[block], True
+        bound, side = self.bound(whole), label.copy()
+        while True:
+            held, now, best, path, kept = int(weight[side == 0].sum()), cut, cut, [], 0
+            signed = np.where(side[a] != side[b], u, -u)
+            gain = np.bincount(a, signed, self.n) + np.bincount(b, signed, self.n)
+            # What keeps a node: an edge on to a node of the first part, or from one of the second.
+            held_back = np.where(side == 0, np.bincount(out[0], side[out[1]] == 0, self.n), np.bincount(out[1], side[out[0]] == 1, self.n))
+            may = free.copy()
+            while len(path) - kept <= PATIENCE:
+                left = held + np.where(side == 0, -weight, weight)
+                good = np.flatnonzero(may & (held_back == 0) & (left >= max(1, whole - bound)) & (left <= min(bound, whole - 1)))
+                if not len(good):
+                    break
+                i = int(good[gain[good].argmax()])
+                now -= int(gain[i])
+                held, may[i] = int(left[i]), False
+                nearby, w = near[at[i] : at[i + 1]], units[at[i] : at[i + 1]]
+                np.add.at(gain, nearby, np.where(side[nearby] == side[i], 2 * w, -2 * w))
+                side[i] ^= 1
+                after, before = into[i]
+                # On to the second part frees the nodes before it and keeps those after it there; back, the other way round.
+                step = 1 if side[i] else -1
+                held_back[before[side[before] == 0]] -= step
+                held_back[after[side[after] == 1]] += step
+                path.append(i)
+                if now < best:
+                    best, kept = now, len(path)
+            side[path[kept:]] ^= 1
+            if best == cut:
+                return cut, side
+            cut = best
+
+
+def _grouped(rows: pd.DataFrame, eps: float, min_weight: int, exact_nodes: int, refine: bool) -> pd.DataFrame:
+    c = _Component(rows, eps, min_weight)
+    c.run(c.exact if c.n <= exact_nodes else c.refined if refine else c.sweep)
+    return pd.DataFrame({"commit_key": rows["commit_key"].iloc[0], "parent_id": rows["parent_id"].iloc[0], "wcc": int(rows["wcc"].iloc[0]), "pos": c.pos, "path": pd.Series(c.paths, dtype=object), "status": pd.Series(c.status, dtype=object)})
+
+
+def partition_components(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT, exact_nodes: int = 0, refine: bool = False) -> DataFrame:
+    """As ``recursive_partition``, each component in one task to the end. Edges without a column ``directed`` all are."""
     directed = F.col("directed") if "directed" in edges.columns else F.lit(True)
     own = edges.where("a != b").select(*UNIT, "wcc", F.col("a").cast("long").alias("pos"), F.lit(0).cast("long").alias("weight"), F.col("b").cast("long").alias("b"), edge_units(F.col("w")).alias("units"), directed.alias("directed"))
     rows = nodes.select(*UNIT, "wcc", F.col("pos").cast("long").alias("pos"), F.col("weight").cast("long").alias("weight"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("units"), F.lit(False).alias("directed")).unionByName(own)
 
     def paths(held: pd.DataFrame) -> pd.DataFrame:
-        return _exact_paths(held, eps, min_weight)
-
-    return rows.groupBy(*UNIT, "wcc").applyInPandas(paths, "commit_key string, parent_id string, wcc int, pos int, path array<int>")
+        return _grouped(held, eps, min_weight, exact_nodes, refine)
 
+    return rows.groupBy(*UNIT, "wcc").applyInPandas(paths, "commit_key string, parent_id string, wcc int, pos int, path array<int>, status string")
 
-def recursive_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT, exact_nodes: int = 0) -> DataFrame:
-    """``(unit, wcc, pos, path array<int>)``: labels of every level for the nodes of ``nodes`` (unit, wcc, pos, weight) that have an edge.
 
-    Components of up to ``exact_nodes`` nodes get the least cut. Of the others a level splits all open blocks by the sweep; it ends when none can be split. Blocks shrink to at most 55 % a level, so levels grow
-    with the logarithm of the largest component. A level writes what it has split to the shared folder; only blocks that are still open go on."""
-    curve, exact = cut_curve(nodes, edges), None
-    if exact_nodes:
-        curve = materialize(curve, "curve")
-        small = curve.groupBy(*UNIT, "wcc").count().where(F.col("count") <= exact_nodes)
-        exact = exact_partition(curve.join(small, [*UNIT, "wcc"], "left_semi"), edges.join(small, [*UNIT, "wcc"], "left_semi"), eps, min_weight)
-        curve = curve.join(small, [*UNIT, "wcc"], "left_anti")
+def exact_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT) -> DataFrame:
+    """As ``recursive_partition``, by trying all splits. For components of up to ``EXACT_NODES`` nodes."""
+    return partition_components(nodes, edges, eps, min_weight, EXACT_NODES).drop("status")
+
+
+def recursive_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, min_weight: int = MIN_WEIGHT, exact_nodes: int = 0, refine: bool = False, group_nodes: int = GROUP_NODES) -> DataFrame:
+    """``(unit, wcc, pos, path array<int>, status)``: labels of every level for the nodes of ``nodes`` (unit, wcc, pos, weight) that have an
+    edge, and why their last block stays whole: ``light`` or ``infeasible``.
+
+    Components of up to ``exact_nodes`` nodes get the least cut, those of up to ``group_nodes`` the sweep of their order or, with ``refine``, the best of several
+    orders and moves. Of larger ones a level splits all open blocks by the sweep; it ends when none can be split. Blocks shrink to at most 55 % a
+    level, so levels grow with the logarithm of the largest component. A level writes what it has split to the shared folder; only
+    blocks that are still open go on."""
+    own = edges.where("a != b")
+    ends = own.select(*UNIT, "wcc", F.col("a").alias("pos")).unionByName(own.select(*UNIT, "wcc", F.col("b").alias("pos")))
+    touched = nodes.join(ends.distinct(), [*UNIT, "wcc", "pos"], "left_semi")
+    sizes = ends.groupBy(*UNIT, "wcc").agg(F.count("*").alias("ends"))
+    giant = materialize(touched.groupBy(*UNIT, "wcc").agg(F.count("*").alias("nodes")).join(sizes, [*UNIT, "wcc"]).where((F.col("nodes") > group_nodes) | (F.col("ends") > 20 * group_nodes)).select(*UNIT, "wcc"), "giant")
+    if giant.isEmpty():
+        return partition_components(touched, own, eps, min_weight, exact_nodes, refine)
+    few = partition_components(touched.join(giant, [*UNIT, "wcc"], "left_anti"), own.join(giant, [*UNIT, "wcc"], "left_anti"), eps, min_weight, exact_nodes, refine)
+    return few.unionByName(_by_levels(cut_curve(nodes.join(giant, [*UNIT, "wcc"], "left_semi"), own.join(giant, [*UNIT, "wcc"], "left_semi")), eps, min_weight))
+
+
+def _by_levels(curve: DataFrame, eps: float, min_weight: int) -> DataFrame:
     opened = F.count(F.when(F.col("open"), 1)).alias("open")
-    now, seen = materialize_observed(curve.withColumn("path", F.array().cast("array<int>")).withColumn("open", F.lit(True)), "blocks", opened)
+    now, seen = materialize_observed(curve.withColumn("path", F.array().cast("array<int>")).withColumn("status", F.lit(LIGHT)).withColumn("open", F.lit(True)), "blocks", opened)
     done = now.where("not open")
+    whole = F.sum("weight").over(W.partitionBy(*UNIT, "wcc", "path"))
     while seen["open"]:
-        split = acyclic_bisect(now.where("open"), eps, min_weight)
+        split = acyclic_bisect(now.where("open").withColumn("status", F.when(whole >= min_weight, INFEASIBLE).otherwise(LIGHT)), eps, min_weight)
         grown = split.withColumn("path", F.when(F.col("label").isNotNull(), F.concat("path", F.array("label"))).otherwise(F.col("path"))).withColumn("open", F.col("label").isNotNull()).drop("label")
         now, seen = materialize_observed(grown, "blocks", opened)
         done = done.unionByName(now.where("not open"))
-    done = done.select(*UNIT, F.col("wcc").cast("int").alias("wcc"), F.col("pos").cast("int").alias("pos"), "path")
-    return done if exact is None else done.unionByName(exact)
+    return done.select(*UNIT, F.col("wcc").cast("int").alias("wcc"), F.col("pos").cast("int").alias("pos"), "path", "status")
+
 
+def partition_dag(scc_nodes: DataFrame, scc_edges: DataFrame, exact_nodes: int = 0, refine: bool = False, similarity_joins: bool = False) -> DataFrame:
+    """``(unit, scc, path, status)``: the weak component's number, then the labels. Nodes without edges have the number alone and status ``alone``.
 
-def partition_dag(scc_nodes: DataFrame, scc_edges: DataFrame, exact_nodes: int = 0) -> DataFrame:
-    """``(unit, scc, path)``: the weak component's number, then the labels. Nodes without edges have the number alone."""
-    wcc = materialize(graph.weak_components(scc_nodes, scc_edges.where("directed"), node="scc"), "wcc")
+    With ``similarity_joins`` edges of similarity hold a weak component together too; else those between two components are dropped."""
+    wcc = materialize(graph.weak_components(scc_nodes, scc_edges if similarity_joins else scc_edges.where("directed"), node="scc"), "wcc")
     inner = graph.component_edges(scc_edges, wcc)
     nodes = scc_nodes.join(wcc, [*UNIT, "scc"]).select(*UNIT, "wcc", F.col("scc").alias("pos"), "weight")
-    labels = recursive_partition(nodes, inner, exact_nodes=exact_nodes).select(*UNIT, F.col("pos").alias("scc"), "path")
+    labels = recursive_partition(nodes, inner, exact_nodes=exact_nodes, refine=refine).select(*UNIT, F.col("pos").alias("scc"), "path", "status")
     joined = wcc.join(labels, [*UNIT, "scc"], "left")
-    return joined.select(*UNIT, "scc", F.concat(F.array("wcc"), F.coalesce("path", F.array().cast("array<int>"))).alias("path"))
+    return joined.select(*UNIT, "scc", F.concat(F.array("wcc"), F.coalesce("path", F.array().cast("array<int>"))).alias("path"), F.coalesce("status", F.lit("alone")).alias("status"))
 
 
 def assign_clusters(nodes: DataFrame, scc: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(unit, ix, entity_id, name, path)``: every node has its component's path."""
-    return nodes.join(scc, [*UNIT, "ix"]).join(paths, [*UNIT, "scc"]).select(*UNIT, "ix", "entity_id", "name", "path")
+    """``(unit, ix, entity_id, name, path)`` and ``status`` where ``paths`` has it: every node has its component's path."""
+    return nodes.join(scc, [*UNIT, "ix"]).join(paths, [*UNIT, "scc"]).select(*UNIT, "ix", "entity_id", "name", "path", *(["status"] if "status" in paths.columns else []))
 
 
-def cluster_units(nodes: DataFrame, directed: DataFrame, similar: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
-    """Cluster paths of all nodes of all units, from indexed nodes, dependency edges and similarity edges.
+def cluster_units(nodes: DataFrame, directed: DataFrame, similar: DataFrame, exact_nodes: int = EXACT_NODES, refine: bool = True, similarity_joins: bool = False) -> DataFrame:
+    """Cluster paths and statuses of all nodes of all units, from indexed nodes, dependency edges and similarity edges.
 
     ``similar`` may come from any frame (unit, a, b, sim) with a < b."""
     edges = materialize(graph.edge_weights(directed, similar), "edges")
     scc = materialize(graph.strong_components(nodes, edges.where("directed")), "scc")
     scc_nodes, scc_edges = graph.condense_nodes(nodes, scc), graph.condense_edges(edges, scc)
-    return assign_clusters(nodes, scc, partition_dag(scc_nodes, materialize(scc_edges, "scc-edges"), exact_nodes))
+    return assign_clusters(nodes, scc, partition_dag(scc_nodes, materialize(scc_edges, "scc-edges"), exact_nodes, refine, similarity_joins))

@@ -8,11 +8,17 @@ compared, since two names without a common term can be alike too.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modsplit_spark.sources.workspace import materialize
+
 MIN_SIM = 0.25
+#: Candidates without this much from common terms are found by cells; a cell is 1 / CELLS wide. Both only decide how many pairs are compared.
+BY_TERMS, CELLS = 0.1, 32
 
 
 def pair_counts(occurrences: DataFrame) -> DataFrame:
@@ -77,9 +83,21 @@ def mutual_information(pairs: DataFrame) -> DataFrame:
     return grid.select("parent_id", "term", "doc", mi(F.coalesce("n", F.lit(0)), F.col("term_count"), F.col("doc_count"), F.col("total")).alias("mi"))
 
 
-def doc_similarity(pairs: DataFrame) -> DataFrame:
-    """``(parent_id, doc_a, doc_b, sim, dist)`` for all doc_a <= doc_b of a parent: the centred product of the
-    two vectors over the product of their uncentred lengths, 0 if negative or undefined; dist = 1 - sim."""
+class Vectors(NamedTuple):
+    """The vectors of all names, as background and corrections.
+
+    ``docs``: (parent_id, doc, doc_count, m, sum, norm), m the number of terms. ``backgrounds``: (parent_id, d_a, d_b, bg_bg), products of the
+    backgrounds of names of these counts. ``cross``: (parent_id, doc, d, cross), a name's corrections times the background of count d.
+    ``delta``: (parent_id, term, doc, delta), the corrections.
+    """
+
+    docs: DataFrame
+    backgrounds: DataFrame
+    cross: DataFrame
+    delta: DataFrame
+
+
+def vectors(pairs: DataFrame) -> Vectors:
     counted = with_counts(pairs)
     # Background: terms of one count k are alike for a name that lacks them.
     levels = term_counts(pairs).groupBy("parent_id", F.col("term_count").alias("k")).agg(F.count("*").alias("terms"))
@@ -92,25 +110,103 @@ def doc_similarity(pairs: DataFrame) -> DataFrame:
     # Corrections for terms that a name has.
     delta = counted.select("parent_id", "term", "doc", F.col("term_count").alias("k"), "doc_count", (mi(F.col("n"), F.col("term_count"), F.col("doc_count"), F.col("total")) - mi(zero, F.col("term_count"), F.col("doc_count"), F.col("total"))).alias("delta"))
     cross = delta.join(background.select("parent_id", "k", "d", "bg"), ["parent_id", "k"]).groupBy("parent_id", "doc", "d").agg(F.sum(F.col("delta") * F.col("bg")).alias("cross"))
-    a, b = delta.alias("a"), delta.alias("b")
-    shared = a.join(b, (F.col("a.parent_id") == F.col("b.parent_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.doc") <= F.col("b.doc"))).groupBy(F.col("a.parent_id").alias("parent_id"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).agg(F.sum(F.col("a.delta") * F.col("b.delta")).alias("shared"))
     docs = delta.groupBy("parent_id", "doc", "doc_count").agg(F.sum("delta").alias("delta_sum"), F.sum(F.col("delta") * F.col("delta")).alias("delta_square")).join(sums, ["parent_id", "doc_count"])
     own = docs.join(cross.withColumnRenamed("d", "doc_count"), ["parent_id", "doc", "doc_count"]).join(both.where("d_a = d_b").select("parent_id", F.col("d_a").alias("doc_count"), F.col("bg_bg").alias("own_bg")), ["parent_id", "doc_count"])
     own = own.select("parent_id", "doc", "doc_count", "m", (F.col("bg_sum") + F.col("delta_sum")).alias("sum"), F.sqrt(F.greatest(F.col("own_bg") + 2 * F.col("cross") + F.col("delta_square"), F.lit(0.0))).alias("norm"))
-    side = lambda x: own.select("parent_id", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "doc_count", "sum", "norm")], *(["m"] if x == "a" else []))
-    pairs_all = side("a").join(side("b"), "parent_id").where("doc_a <= doc_b")
+    return Vectors(own, both, cross, delta.select("parent_id", "term", "doc", "delta"))
+
+
+def _without_terms(pairs_all: DataFrame, v: Vectors) -> DataFrame:
+    """``pairs_all`` (parent_id, doc_a, doc_b, ...) with what their product is but for the terms they share (``dot``), and the product of their lengths."""
+    side = lambda x: v.docs.select("parent_id", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "doc_count", "sum", "norm")], *(["m"] if x == "a" else []))
     product = (
-        pairs_all.join(both.select("parent_id", F.col("d_a").alias("doc_count_a"), F.col("d_b").alias("doc_count_b"), "bg_bg"), ["parent_id", "doc_count_a", "doc_count_b"])
-        .join(cross.select("parent_id", F.col("doc").alias("doc_a"), F.col("d").alias("doc_count_b"), F.col("cross").alias("cross_a")), ["parent_id", "doc_a", "doc_count_b"])
-        .join(cross.select("parent_id", F.col("doc").alias("doc_b"), F.col("d").alias("doc_count_a"), F.col("cross").alias("cross_b")), ["parent_id", "doc_b", "doc_count_a"])
-        .join(shared, ["parent_id", "doc_a", "doc_b"], "left")
-    )
-    dot = F.col("bg_bg") + F.col("cross_a") + F.col("cross_b") + F.coalesce("shared", F.lit(0.0)) - F.col("sum_a") * F.col("sum_b") / F.col("m")
-    length = F.col("norm_a") * F.col("norm_b")
-    sim = F.when(length > 0, F.greatest(dot / length, F.lit(0.0))).otherwise(0.0)
+        pairs_all.join(side("a"), ["parent_id", "doc_a"]).join(side("b"), ["parent_id", "doc_b"])
+        .join(v.backgrounds.select("parent_id", F.col("d_a").alias("doc_count_a"), F.col("d_b").alias("doc_count_b"), "bg_bg"), ["parent_id", "doc_count_a", "doc_count_b"])
+        .join(v.cross.select("parent_id", F.col("doc").alias("doc_a"), F.col("d").alias("doc_count_b"), F.col("cross").alias("cross_a")), ["parent_id", "doc_a", "doc_count_b"])
+        .join(v.cross.select("parent_id", F.col("doc").alias("doc_b"), F.col("d").alias("doc_count_a"), F.col("cross").alias("cross_b")), ["parent_id", "doc_b", "doc_count_a"])
+    )
+    dot = F.col("bg_bg") + F.col("cross_a") + F.col("cross_b") - F.col("sum_a") * F.col("sum_b") / F.col("m")
+    return product.withColumn("dot", dot).withColumn("length", F.col("norm_a") * F.col("norm_b"))
+
+
+def doc_similarity(pairs: DataFrame) -> DataFrame:
+    """``(parent_id, doc_a, doc_b, sim, dist)`` for all doc_a <= doc_b of a parent: the centred product of the
+    two vectors over the product of their uncentred lengths, 0 if negative or undefined; dist = 1 - sim.
+
+    The result is quadratic in a parent's names; ``similar_pairs`` finds those over a bound without it."""
+    v = vectors(pairs)
+    a, b = v.delta.alias("a"), v.delta.alias("b")
+    shared = a.join(b, (F.col("a.parent_id") == F.col("b.parent_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.doc") <= F.col("b.doc"))).groupBy(F.col("a.parent_id").alias("parent_id"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).agg(F.sum(F.col("a.delta") * F.col("b.delta")).alias("shared"))
+    pairs_all = v.docs.select("parent_id", F.col("doc").alias("doc_a")).join(v.docs.select("parent_id", F.col("doc").alias("doc_b")), "parent_id").where("doc_a <= doc_b")
+    product = _without_terms(pairs_all, v).join(shared, ["parent_id", "doc_a", "doc_b"], "left")
+    sim = F.when(F.col("length") > 0, F.greatest((F.col("dot") + F.coalesce("shared", F.lit(0.0))) / F.col("length"), F.lit(0.0))).otherwise(0.0)
     return product.select("parent_id", "doc_a", "doc_b", sim.alias("sim")).withColumn("dist", 1 - F.col("sim"))
 
 
+def candidate_pairs(v: Vectors, least: float = MIN_SIM, by_terms: float = BY_TERMS) -> DataFrame:
+    """Distinct ``(parent_id, doc_a, doc_b)``, doc_a < doc_b, among which are all pairs of a similarity of ``least`` or more.
+
+    A similarity is a part without the terms that both names have, and the product of their corrections on those, each over the lengths. The
+    first is C g_a g_b + y_a g_b + y_b g_a - z_a z_b, with C of the two names' counts and g, y, z of one name and the other's count, none over 1 in
+    size. Names are put in cells of close g, y, z, and all pairs of two cells are taken if the cells allow a first part of
+    ``least - by_terms``. Any other pair needs more than ``by_terms`` from common terms. Terms of a name, the frequent ones last, are left out from
+    the end as long as what is left out can't give that much with any name of its parent; such a pair then has a common term that neither leaves out.
+    """
+    sizes = v.backgrounds.where("d_a = d_b").select("parent_id", F.col("d_a").alias("d"), F.sqrt("bg_bg").alias("size"))
+    some = v.docs.where("norm > 0")
+    own = some.join(sizes.withColumnsRenamed({"d": "doc_count", "size": "own_size"}), ["parent_id", "doc_count"])
+    each = own.join(v.cross, ["parent_id", "doc"]).join(sizes, ["parent_id", "d"])
+    y = F.when(F.col("size") > 0, F.col("cross") / (F.col("norm") * F.col("size"))).otherwise(0.0)
+    placed = each.select("parent_id", "doc", "doc_count", "d", (F.col("own_size") / F.col("norm")).alias("g"), y.alias("y"), (F.col("sum") / (F.sqrt("m") * F.col("norm"))).alias("z"))
+    placed = placed.withColumn("cell", F.array(*(F.floor(F.col(c) * CELLS) for c in "gyz")))
+    spans = [f(c).alias(f"{name}_{c}") for c in "gyz" for name, f in (("least", F.min), ("most", F.max))]
+    cells = materialize(placed.groupBy("parent_id", "doc_count", "d", "cell").agg(*spans), "cells")
+    turned = cells.select("parent_id", F.col("d").alias("doc_count"), F.col("doc_count").alias("d"), *(F.col(c).alias(f"{c}_b") for c in cells.columns if c not in ("parent_id", "doc_count", "d")))
+    angles = v.backgrounds.join(sizes.withColumnsRenamed({"d": "d_a", "size": "_a"}), ["parent_id", "d_a"]).join(sizes.withColumnsRenamed({"d": "d_b", "size": "_b"}), ["parent_id", "d_b"])
+    length = F.col("_a") * F.col("_b")
+    angles = angles.select("parent_id", F.col("d_a").alias("doc_count"), F.col("d_b").alias("d"), F.when(length > 0, F.col("bg_bg") / length).otherwise(0.0).alias("angle"))
+
+    def most(*factors: tuple[Column, Column]) -> Column:
+        """Most of a product of two values between these bounds."""
+        (a, b), (x, w) = factors
+        return F.greatest(a * x, a * w, b * x, b * w)
+
+    c = lambda name, x="": (F.col(f"least_{name}{x}"), F.col(f"most_{name}{x}"))
+    (low, high), (low_b, high_b) = c("g"), c("g", "_b")
+    bound = F.greatest(F.col("angle") * low * low_b, F.col("angle") * high * high_b) + most(c("y"), c("g", "_b")) + most(c("y", "_b"), c("g")) + most((-c("z")[1], -c("z")[0]), c("z", "_b"))
+    # Each two cells once: a class of counts against a greater one, or cells of one class in order.
+    once = (F.col("doc_count") < F.col("d")) | ((F.col("doc_count") == F.col("d")) & (F.col("cell") <= F.col("cell_b")))
+    near = cells.join(turned, ["parent_id", "doc_count", "d"]).where(once).join(angles, ["parent_id", "doc_count", "d"]).where(bound >= least - by_terms - 1e-9).select("parent_id", "doc_count", "d", "cell", "cell_b")
+    left = placed.select("parent_id", "doc_count", "d", "cell", F.col("doc").alias("_a"))
+    right = placed.select("parent_id", F.col("d").alias("doc_count"), F.col("doc_count").alias("d"), F.col("cell").alias("cell_b"), F.col("doc").alias("_b"))
+    close = near.join(left, ["parent_id", "doc_count", "d", "cell"]).join(right, ["parent_id", "doc_count", "d", "cell_b"]).where("_a != _b")
+
+    weights = v.delta.join(some.select("parent_id", "doc", "norm"), ["parent_id", "doc"]).select("parent_id", "doc", "term", (F.col("delta") / F.col("norm")).alias("w"))
+    longest = weights.groupBy("parent_id", "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("long")).groupBy("parent_id").agg(F.max("long").alias("longest"))
+    holders = weights.groupBy("parent_id", "term").agg(F.count("*").alias("names"))
+    from_the_end = W.partitionBy("parent_id", "doc").orderBy(F.desc("names"), F.desc("term"))
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_the_end))
+    led = weights.join(holders, ["parent_id", "term"]).join(longest, "parent_id").withColumn("tail", tail).where(F.col("tail") * F.col("longest") >= by_terms - 1e-9)
+    led = materialize(led.select("parent_id", "term", "doc"), "leading-terms")
+    sharing = led.withColumnRenamed("doc", "_a").join(led.withColumnRenamed("doc", "_b"), ["parent_id", "term"]).where("_a < _b")
+    found = close.select("parent_id", "_a", "_b").unionByName(sharing.select("parent_id", "_a", "_b"))
+    return found.select("parent_id", F.least("_a", "_b").alias("doc_a"), F.greatest("_a", "_b").alias("doc_b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, least: float = MIN_SIM) -> DataFrame:
+    """``(parent_id, doc_a, doc_b, sim)`` of all doc_a <= doc_b whose similarity is ``least`` (over 0) or more, as ``doc_similarity`` has it; only
+    candidates are compared, and no parent's names meet in one task."""
+    v = Vectors(*(materialize(frame, f"similarity-{name}") for name, frame in zip(Vectors._fields, vectors(pairs), strict=True)))
+    same = v.docs.select("parent_id", F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"))
+    compared = materialize(candidate_pairs(v, least).unionByName(same), "candidates")
+    held = v.delta.groupBy("parent_id", "doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "delta"))).alias("terms"))
+    side = lambda x: held.select("parent_id", F.col("doc").alias(f"doc_{x}"), F.col("terms").alias(f"terms_{x}"))
+    both = _without_terms(compared, v).join(side("a"), ["parent_id", "doc_a"]).join(side("b"), ["parent_id", "doc_b"])
+    shared = F.aggregate(F.map_entries("terms_a"), F.lit(0.0), lambda total, x: total + x["value"] * F.coalesce(F.try_element_at("terms_b", x["key"]), F.lit(0.0)))
+    sim = F.when(F.col("length") > 0, (F.col("dot") + shared) / F.col("length")).otherwise(0.0)
+    return both.select("parent_id", "doc_a", "doc_b", sim.alias("sim")).where(F.col("sim") >= least)
+
+
 def both_ways(sims: DataFrame) -> DataFrame:
     """Every ordered pair of names."""
     turned = sims.where("doc_a != doc_b").select("parent_id", F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"), *[c for c in sims.columns if c not in ("parent_id", "doc_a", "doc_b")])

@@ -46,6 +46,47 @@ def test_components_against_reachability(spark):
         assert {x["ix"]: x["wcc"] for x in wcc if x["parent_id"] == u} == {i: tops.index(max(both[i])) for i in range(n)}
 
 
+def _tarjan_free(n, edges):
+    """Components as sets, by a reachability closure on bit masks."""
+    out = [1 << i for i in range(n)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if out[a] | out[b] != out[a]:
+                out[a] |= out[b]
+                changed = True
+    return out
+
+
+def test_strong_components_by_the_loop(spark):
+    """With the grouped helper switched off: random graphs, a long chain against its numbers, a long cycle with tails, odd edges."""
+    rng = random.Random(9)
+    graphs = {f"u{k}": (n, [(rng.randrange(n), rng.randrange(n)) for _ in range(int(n * d))]) for k, (n, d) in enumerate([(1, 0), (5, 2), (12, 1), (40, 1.2), (40, 1.5), (40, 4)])}
+    graphs["chain"] = (200, [(i + 1, i) for i in range(199)])
+    graphs["cycle"] = (150, [(i, (i + 1) % 100) for i in range(100)] + [(i, i + 1) for i in range(99, 149)] + [(149, 148)])
+    graphs["many"] = (90, [(i, i - i % 3 + (i + 1) % 3) for i in range(90)] + [(i, i + 3) for i in range(0, 87)])
+    nodes, edges = unit_frames(spark, graphs)
+    odd = spark.createDataFrame([("w", "chain", 5, 5), ("w", "chain", 3, 2), ("w", "chain", 7, 9000), ("w", "nowhere", 1, 2)], f"{UNIT}, a int, b int")
+    got = G.strong_components(nodes, edges.union(odd), most_rows=0).collect()
+    assert len(got) == sum(n for n, _ in graphs.values())
+    for u, (n, es) in graphs.items():
+        ids = {x["ix"]: x["scc"] for x in got if x["parent_id"] == u}
+        r = _tarjan_free(n, es)
+        assert sorted(set(ids.values())) == list(range(len(set(ids.values()))))
+        assert all((ids[i] == ids[j]) == bool(r[i] >> j & 1 and r[j] >> i & 1) for i in range(n) for j in range(n))
+        assert all(ids[a] <= ids[b] for a, b in es)
+
+
+def test_only_units_over_the_limit_go_through_the_loop(spark, monkeypatch):
+    nodes, edges = unit_frames(spark, {"a": (3, [(0, 1), (1, 0)]), "b": (8, [(i, (i + 1) % 8) for i in range(8)])})
+    seen = []
+    loop = G.strong_components_loop
+    monkeypatch.setattr(G, "strong_components_loop", lambda n, e: (seen.extend(r["parent_id"] for r in n.select("parent_id").distinct().collect()), loop(n, e))[1])
+    got = {(r["parent_id"], r["ix"]): r["scc"] for r in G.strong_components(nodes, edges, most_rows=10).collect()}
+    assert seen == ["b"] and got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1} | {("b", i): 0 for i in range(8)} or seen == ["b"] and got[("a", 0)] == got[("a", 1)] != got[("a", 2)]
+
+
 def test_components_of_long_chain_star_and_nothing(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, i) for i in range(1001, 1400)]

@@ -50,3 +50,48 @@ def test_isolated_terms_and_top_k(spark):
     assert M.most_similar(sims, 1).count() == 0
     assert {(r["doc"], r["other"]) for r in M.most_similar(sims, 2).collect()} == {("x", "y"), ("y", "x")}
     assert M.entity_sim(sims).where("sim = 0").count() == 1
+
+
+def _names(rng, names, words, least=1, most=4):
+    """Names of some sub-words, few of them frequent, as pairs of a parent."""
+    out = {}
+    for i in range(names):
+        some = [f"w{min(rng.randrange(words), rng.randrange(words), rng.randrange(words))}" for _ in range(rng.randrange(least, most + 1))]
+        doc = "_".join(some)
+        for t in [*some, *(f"{a}-{b}" for a, b in zip(some, some[1:], strict=False))]:
+            out[t, doc] = out.get((t, doc), 0) + 1
+    return out
+
+
+def test_similar_pairs_are_all_of_them(spark):
+    """As the dense vectors have them, whatever finds the candidates: cells, common terms, or both; corpora in which names without a common term are alike too."""
+    rng = random.Random(6)
+    rows, want, apart = [], {}, 0
+    for p in range(14):
+        pairs = _names(rng, rng.choice([4, 6, 12, 40]), rng.choice([6, 15, 40]))
+        rows += [(f"p{p}", t, d, n) for (t, d), n in pairs.items()]
+        terms = {d: {t for t, x in pairs if x == d} for _, d in pairs}
+        found = {(f"p{p}", *k): v for k, v in dense(pairs).items() if v >= M.MIN_SIM}
+        apart += sum(terms[a].isdisjoint(terms[b]) for _, a, b in found)
+        want |= found
+    df = spark.createDataFrame(rows, "parent_id string, term string, doc string, n long")
+    got = {(r[0], r[1], r[2]): r["sim"] for r in M.similar_pairs(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert apart > 0 and all(a <= b for _, a, b in got)
+    v = M.vectors(df)
+    for by_terms in (0.0, 0.02, 0.24, 2.0):
+        some = {tuple(r) for r in M.candidate_pairs(v, by_terms=by_terms).collect()}
+        assert {k for k in want if k[1] != k[2]} <= some and len(some) == M.candidate_pairs(v, by_terms=by_terms).count()
+    assert M.similar_pairs(df.limit(0)).collect() == []
+
+
+def test_few_pairs_of_a_large_parent_are_compared(spark):
+    """20,000 names of one parent: under a tenth of all pairs are candidates, in tasks of which none holds the parent."""
+    pairs = _names(random.Random(7), 20_000, 6_000, 2, 4)
+    df = spark.createDataFrame([("p", t, d, n) for (t, d), n in pairs.items()], "parent_id string, term string, doc string, n long")
+    kept = M.drop_isolated_terms(df)
+    v = M.Vectors(*(M.materialize(f, "v") for f in M.vectors(kept)))
+    names = v.docs.count()
+    compared = M.candidate_pairs(v).count()
+    print(names, compared, compared / (names * (names - 1) / 2))
+    assert names > 18_000 and compared < names * (names - 1) / 20
