@@ -158,3 +158,9 @@ def termize(names: DataFrame, stem: bool = True) -> DataFrame:
 def occurrences(termed: DataFrame, lookback: int = 1) -> DataFrame:
     """``(parent_id, doc, term)``: one row for each term and bigram occurrence of each name; repeats stay."""
     return termed.select("parent_id", "doc", F.explode(F.concat("terms", bigramize(F.col("terms"), lookback))).alias("term"))
+
+
+def placed_occurrences(termed: DataFrame, lookback: int = 1) -> DataFrame:
+    """``(parent_id, doc, term, at)``: as ``occurrences``, with a place that orders a parent's: by its names' start_byte and id, then along the name."""
+    each = F.posexplode(F.concat("terms", bigramize(F.col("terms"), lookback))).alias("i", "term")
+    return termed.select("parent_id", "doc", "start_byte", "entity_id", each).select("parent_id", "doc", "term", F.struct("start_byte", "entity_id", "i").alias("at"))

@@ -17,7 +17,7 @@ from modsplit_spark.operators import graph as G
 from modsplit_spark.operators import partition as N
 from modsplit_spark.operators import similarity as M
 from modsplit_spark.sources import tables
-from modsplit_spark.sources.fixtures import clusterings, fixture, with_views
+from modsplit_spark.sources.fixtures import GIVEN, clusterings, fixture, with_views
 from modsplit_spark.sources.workspace import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ class Frames:
     def termed(self, stem: bool = True) -> DataFrame:
         return I.termize(self.flat.where("parent_id is not null").select("parent_id", "entity_id", "name"), stem)
 
+    @cached_property
+    def vocabulary(self) -> tuple[DataFrame, DataFrame]:
+        starts = self.flat.select("entity_id", "start_byte")
+        return M.vocabulary(I.placed_occurrences(self.termed().join(starts, "entity_id")))
+
     def pairs(self) -> DataFrame:
         return M.drop_isolated_terms(M.pair_counts(I.occurrences(self.termed())))
 
@@ -204,6 +209,38 @@ def unit_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(wcc, [*UNIT, "ix"]).join(counts, [*UNIT, "entity_id"], "left").select(*UNIT, "entity_id", "ix", F.coalesce("dependencies", F.lit(0.0)).alias("dependencies"), "wcc")
 
 
+#: A store as another tool leaves it: binary ids, every file twice, a row without an id for each nation, and kinds that are not known.
+STORE = """
+store AS (SELECT entity_id AS id, parent_id, name, kind, start_byte FROM fx_entities UNION ALL SELECT entity_id, parent_id, name, kind, start_byte + 5 FROM fx_entities WHERE parent_id IS NULL UNION ALL SELECT NULL, NULL, n_name, 'File', n_nationkey FROM nation),
+hexed AS (SELECT lower(hex(id)) AS entity_id, lower(hex(parent_id)) AS parent_id, name, kind, CAST(start_byte AS BIGINT) AS start_byte FROM store)"""
+KINDS = ("File", "Class")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    body = f"WITH {with_views('fx_entities')},{STORE.partition('hexed AS')[0].rstrip().rstrip(',')} SELECT CAST(id AS BINARY) AS id, CAST(parent_id AS BINARY) AS parent_id, name, kind, start_byte FROM store"
+    return tables.read_entities(spark.sql(GIVEN.sub(rf"\1 parquet.`{sf_dir}/\2.parquet`", body)), KINDS)
+
+
+register("read_entities", sql("SELECT entity_id, parent_id, name, kind, min(start_byte) AS start_byte FROM hexed WHERE entity_id IS NOT NULL AND kind IN ('File', 'Class') GROUP BY ALL", "fx_entities", more=STORE))(lambda s, d: _store(s, d)[0])
+register("rejected_entities", sql("""SELECT entity_id, parent_id, name, kind, start_byte, CASE WHEN entity_id IS NULL THEN 'null_id' WHEN kind NOT IN ('File', 'Class') THEN 'unknown_kind' ELSE 'repeated_id' END AS reason
+FROM hexed WHERE entity_id IS NULL OR kind NOT IN ('File', 'Class') OR (parent_id IS NULL AND start_byte = 5)""", "fx_entities", more=STORE))(lambda s, d: _store(s, d)[1])
+register("read_deps", sql("SELECT lower(hex(src_id)) AS src_id, lower(hex(tgt_id)) AS tgt_id, kind, nullif(commit_id, '') AS commit_id FROM fx_deps WHERE commit_id = 'c1'", "fx_deps"))(
+    lambda s, d: tables.read_deps(fixture(s, d, "fx_deps").select(F.col("src_id").cast("binary").alias("src"), F.col("tgt_id").cast("binary").alias("tgt"), "kind", "commit_id"), "c1")[0]
+)
+#: The hierarchy with every seventh file's parent missing, and every eleventh file's parent one of its own classes, which closes a cycle.
+BROKEN = """
+files AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) AS r FROM fx_entities WHERE parent_id IS NULL),
+ring AS (SELECT parent_id AS file, min(entity_id) AS class FROM fx_entities WHERE kind = 'Class' GROUP BY parent_id),
+broken AS (SELECT e.entity_id, CASE WHEN f.r % 7 = 1 THEN 'gone ' || e.entity_id WHEN f.r % 11 = 2 THEN ring.class ELSE e.parent_id END AS parent_id FROM fx_entities e LEFT JOIN files f ON f.entity_id = e.entity_id LEFT JOIN ring ON ring.file = e.entity_id),
+up AS (SELECT entity_id AS below, parent_id, 1 AS depth FROM broken UNION ALL SELECT u.below, b.parent_id, depth + 1 FROM up u JOIN broken b ON b.entity_id = u.parent_id WHERE depth < 12),
+top AS (SELECT u.below, coalesce(b.entity_id, u.below) AS entity_id FROM (SELECT below, max(depth) AS depth FROM up WHERE parent_id IS NULL GROUP BY below) t JOIN up u ON u.below = t.below AND u.depth = t.depth LEFT JOIN (SELECT below, parent_id AS entity_id, depth FROM up) b ON b.below = t.below AND b.depth = t.depth - 1),
+far AS (SELECT below AS entity_id, CASE WHEN max(depth) < 12 THEN 'dangling' ELSE 'cycle' END AS kind, CASE WHEN max(depth) < 12 THEN max(CASE WHEN parent_id LIKE 'gone %' THEN parent_id END) ELSE min(CASE WHEN depth > 4 THEN parent_id END) END AS witness FROM up GROUP BY below HAVING bool_and(parent_id IS NOT NULL))"""
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(GIVEN.sub(rf"\1 parquet.`{sf_dir}/\2.parquet`", f"WITH {with_views('fx_entities')},{BROKEN.partition('up AS')[0].rstrip().rstrip(',')} SELECT * FROM broken"))
+
+
 register("list_commits", sql("SELECT DISTINCT commit_key FROM d", "d"))(lambda s, d: R.list_commits(Frames(s, d).deps))
 register("resolve_commit", sql("SELECT r.commit_key, CASE WHEN k.commit_key IS NULL THEN 'unknown_commit' ELSE 'ok' END AS status FROM (SELECT DISTINCT commit_key FROM d UNION SELECT n_name FROM nation) r LEFT JOIN (SELECT DISTINCT commit_key FROM d) k ON k.commit_key = r.commit_key", "d"))(
     lambda s, d: R.resolve_commit(Frames(s, d).deps, R.list_commits(Frames(s, d).deps).union(s.read.parquet(f"{d}/nation.parquet").select("n_name")))
@@ -225,6 +262,8 @@ LEFT JOIN (SELECT DISTINCT parent_id FROM fx_entities) g ON g.parent_id = CASE W
 register("root_closure", sql("SELECT entity_id, root_id FROM up WHERE done", "fx_entities", recursive=True, more="""
 up AS (SELECT entity_id, coalesce(parent_id, entity_id) AS root_id, parent_id IS NULL AS done FROM fx_entities
 UNION ALL SELECT u.entity_id, coalesce(e.parent_id, e.entity_id), e.parent_id IS NULL FROM up u JOIN fx_entities e ON e.entity_id = u.root_id WHERE NOT u.done)"""))(lambda s, d: R.root_closure(Frames(s, d).entities))
+register("root_report", sql("""SELECT e.entity_id, CASE WHEN g.kind IS NULL THEN r.entity_id END AS root_id, coalesce(g.kind, 'ok') AS status, g.witness FROM broken e
+LEFT JOIN far g ON g.entity_id = e.entity_id LEFT JOIN top r ON r.below = e.entity_id""", "fx_entities", recursive=True, more=BROKEN))(lambda s, d: R.root_report(_broken(s, d)))
 register("internal_deps", sql("SELECT * FROM internal", "internal"))(over(lambda f: R.internal_deps(f.deps, f.flat)))
 register("clients", sql("SELECT * FROM clients", "clients"))(over(lambda f: R.clients(f.outside, f.flat)))
 register("client_deps", sql("SELECT DISTINCT commit_key, parent_id, root_id AS src_id, tgt_id, kind FROM outside", "outside"))(over(lambda f: R.client_deps(R.outside_deps(f.deps, f.flat, R.root_closure(f.flat)))))
@@ -266,13 +305,21 @@ round(n/s,9) AS p_ij_11, round((t-n)/s,9) AS p_ij_10, round((d-n)/s,9) AS p_ij_0
     lambda s, d: rounded(M.marginal_joint_probs(Frames(s, d).pairs()), *(f"p_{x}" for x in ("i_1", "i_0", "j_1", "j_0", "ij_11", "ij_10", "ij_01", "ij_00")), digits=9)
 )
 register("mutual_information", sql("SELECT parent_id, term, doc, round(mi, 6) + 0.0 AS mi FROM mi", "mi"))(lambda s, d: rounded(M.mutual_information(Frames(s, d).pairs()), "mi"))
-register("vocabulary", sql("SELECT parent_id, doc, row_number() OVER (PARTITION BY parent_id ORDER BY doc) - 1 AS doc_ix FROM dc", "dc"))(lambda s, d: M.vocabulary(Frames(s, d).pairs())[1])
-register("vocabulary_terms", sql("SELECT parent_id, term, row_number() OVER (PARTITION BY parent_id ORDER BY term) - 1 AS term_ix FROM tc", "tc"))(lambda s, d: M.vocabulary(Frames(s, d).pairs())[0])
+VOCABULARY = """
+occat AS (SELECT s.parent_id, k.start_byte, s.entity_id, array_to_string(s.terms, '_') AS doc, unnest(list_concat(s.terms, list_transform(range(2, len(s.terms) + 1), lambda i: s.terms[i - 1] || '-' || s.terms[i]))) AS term,
+  unnest(range(2 * len(s.terms))) AS i FROM stemmed s JOIN kids k ON k.entity_id = s.entity_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY start_byte, entity_id, i) AS seat, count(*) OVER (PARTITION BY parent_id, term) AS t FROM occat WHERE term IS NOT NULL),
+vd AS (SELECT parent_id, doc, row_number() OVER (PARTITION BY parent_id ORDER BY min(seat)) - 1 AS doc_ix FROM ranked WHERE t > 1 GROUP BY parent_id, doc),
+vt AS (SELECT parent_id, term, row_number() OVER (PARTITION BY parent_id ORDER BY min(seat)) - 1 AS term_ix FROM ranked WHERE t > 1 GROUP BY parent_id, term)"""
+
+
+register("vocabulary", sql("SELECT parent_id, doc, CAST(doc_ix AS INTEGER) AS doc_ix FROM vd", "stemmed", more=VOCABULARY))(over(lambda f: f.vocabulary[1]))
+register("vocabulary_terms", sql("SELECT parent_id, term, CAST(term_ix AS INTEGER) AS term_ix FROM vt", "stemmed", more=VOCABULARY))(over(lambda f: f.vocabulary[0]))
 register("doc_similarity", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0 AS sim FROM sims", "sims"))(lambda s, d: rounded(Frames(s, d).sims().drop("dist"), "sim"))
 register("doc_distance", sql("SELECT parent_id, doc_a, doc_b, round(1 - sim, 6) + 0.0 AS dist FROM sims", "sims"))(lambda s, d: rounded(Frames(s, d).sims().drop("sim"), "dist"))
 register("has_doc", sql("SELECT k.parent_id, k.entity_id, k.doc FROM docs k WHERE EXISTS (SELECT 1 FROM dc WHERE dc.parent_id = k.parent_id AND dc.doc = k.doc)", "docs", "dc"))(lambda s, d: M.has_doc(Frames(s, d).termed(), Frames(s, d).pairs()).select("parent_id", "entity_id", "doc"))
-register("doc_index", sql("SELECT k.parent_id, k.entity_id, v.doc_ix FROM docs k LEFT JOIN (SELECT parent_id, doc, row_number() OVER (PARTITION BY parent_id ORDER BY doc) - 1 AS doc_ix FROM dc) v ON v.parent_id = k.parent_id AND v.doc = k.doc", "docs", "dc"))(
-    lambda s, d: M.doc_index(Frames(s, d).termed(), Frames(s, d).pairs()).select("parent_id", "entity_id", "doc_ix")
+register("doc_index", sql("SELECT k.parent_id, k.entity_id, CAST(v.doc_ix AS INTEGER) AS doc_ix FROM docs k LEFT JOIN vd v ON v.parent_id = k.parent_id AND v.doc = k.doc", "docs", more=VOCABULARY))(
+    over(lambda f: M.doc_index(f.termed(), f.vocabulary[1]).select("parent_id", "entity_id", "doc_ix"))
 )
 
 
@@ -290,9 +337,9 @@ def name_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("most_similar", sql("""SELECT parent_id, doc, rank, round(sim, 6) + 0.0 AS sim FROM (
-SELECT parent_id, doc_a AS doc, sim, row_number() OVER (PARTITION BY parent_id, doc_a ORDER BY sim DESC, doc_b DESC) - 1 AS rank FROM (
-SELECT parent_id, doc_a, doc_b, sim FROM sims UNION ALL SELECT parent_id, doc_b, doc_a, sim FROM sims WHERE doc_a <> doc_b)) WHERE rank BETWEEN 1 AND 4""", "sims"))(
-    lambda s, d: rounded(M.most_similar(Frames(s, d).sims(), 5), "sim").select("parent_id", "doc", "rank", "sim")
+SELECT x.parent_id, doc_a AS doc, sim, row_number() OVER (PARTITION BY x.parent_id, doc_a ORDER BY sim DESC, doc_ix DESC) - 1 AS rank FROM (
+SELECT parent_id, doc_a, doc_b, sim FROM sims UNION ALL SELECT parent_id, doc_b, doc_a, sim FROM sims WHERE doc_a <> doc_b) x JOIN vd ON vd.parent_id = x.parent_id AND vd.doc = doc_b) WHERE rank BETWEEN 1 AND 4""", "sims", more=VOCABULARY))(
+    over(lambda f: rounded(M.most_similar(f.sims(), 5, f.vocabulary[1]), "sim").select("parent_id", "doc", "rank", "sim"))
 )
 register("entity_sim", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0 AS sim FROM near", "near"))(lambda s, d: rounded(M.entity_sim(Frames(s, d).sims()).drop("dist"), "sim"))
 register("similar_pairs", sql("SELECT parent_id, doc_a, doc_b, round(sim, 6) + 0.0 AS sim FROM near WHERE sim > 0", "near"))(over(lambda f: rounded(f.near(), "sim")))
@@ -553,6 +600,13 @@ register("clusters", sql("SELECT DISTINCT clustering_id, array_to_string(path, '
 register("singleton_clusters", sql("SELECT clustering_id, array_to_string(path, '$') AS path, min(entity) AS entity FROM cl GROUP BY clustering_id, path HAVING count(*) = 1", "cl"))(lambda s, d: named(C.singleton_clusters(cl(s, d))))
 register("singleton_entities", sql("SELECT clustering_id, entity, array_to_string(min(path), '$') AS path FROM cl GROUP BY clustering_id, entity HAVING count(*) = 1", "cl"))(lambda s, d: named(C.singleton_entities(cl(s, d))))
 register("entities_for", sql("SELECT clustering_id, array_to_string(path, '$') AS path, string_agg(entity, ',' ORDER BY entity) AS entities FROM cl GROUP BY clustering_id, path", "cl"))(lambda s, d: named(C.entities_for(cl(s, d))).withColumn("entities", F.array_join("entities", ",")))
+BLOCKED = "SELECT clustering_id, {key}, CAST(b AS INTEGER) AS block, string_agg(member, ',' ORDER BY member) AS members FROM (SELECT clustering_id, key, member, (row_number() OVER (PARTITION BY clustering_id, key ORDER BY member) - 1) // 7 AS b FROM ({pairs})) GROUP BY clustering_id, key, b"
+register("entities_blocks", sql(BLOCKED.format(key="key AS path", pairs="SELECT DISTINCT clustering_id, array_to_string(path, '$') AS key, entity AS member FROM cl"), "cl"))(
+    lambda s, d: named(C.entities_blocks(clusterings(s, d), 7)).withColumn("members", F.array_join("members", ","))
+)
+register("clusters_blocks", sql(BLOCKED.format(key="key AS entity", pairs="SELECT DISTINCT clustering_id, entity AS key, array_to_string(path, '$') AS member FROM wide"), "wide"))(
+    lambda s, d: C.clusters_blocks(C.expand(clusterings(s, d)), 7).withColumn("members", F.array_join(F.transform("members", P.path_name), ","))
+)
 register("clusters_for", sql("SELECT clustering_id, entity, string_agg(array_to_string(path, '$'), ',' ORDER BY path) AS paths FROM cl GROUP BY clustering_id, entity", "cl"))(lambda s, d: C.clusters_for(cl(s, d)).withColumn("paths", F.array_join(F.transform("paths", P.path_name), ",")))
 register("num_levels", sql("SELECT clustering_id, max(len(path)) AS num_levels FROM cl GROUP BY ALL", "cl"))(lambda s, d: C.num_levels(cl(s, d)).withColumn("num_levels", F.col("num_levels").cast("long")))
 

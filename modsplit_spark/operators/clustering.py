@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modsplit_spark.functions import paths as P
+from modsplit_spark.functions.paths import SEPARATOR
+from modsplit_spark.operators.ranks import numbered
 
 ID = "clustering_id"
+#: Members of a block of an inverted index.
+BLOCK = 10_000
 COLUMNS = [ID, "entity", "path"]
 
 
@@ -120,3 +124,34 @@ def entities_for(clustering: DataFrame) -> DataFrame:
 def clusters_for(clustering: DataFrame) -> DataFrame:
     """``(clustering_id, entity, paths)``."""
     return clustering.groupBy(ID, "entity").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+
+
+def _blocks(clustering: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    pairs = clustering.select(ID, F.col(key).alias("key"), F.col(member).alias("member")).distinct()
+    keyed = pairs.withColumn("_key", F.col("key") if key == "entity" else F.array_join("key", SEPARATOR))
+    placed = numbered(keyed, [ID, "_key"], ["member"], "_place").withColumn("block", F.floor(F.col("_place") / size).cast("int"))
+    return placed.groupBy(ID, "_key", "block").agg(F.first("key").alias(key), F.sort_array(F.collect_list("member")).alias("members")).select(ID, key, "block", "members")
+
+
+def entities_blocks(clustering: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(clustering_id, path, block, members)``: as ``entities_for``, in blocks of at most ``size`` sorted entities; one after another
+    they are a cluster's entities, so a cluster that holds all of them is many rows."""
+    return _blocks(clustering, "path", "entity", size)
+
+
+def clusters_blocks(clustering: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(clustering_id, entity, block, members)``: as ``clusters_for``, in blocks of at most ``size`` sorted paths."""
+    return _blocks(clustering, "entity", "path", size)
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Blocks in order of their key, so that a lookup of one key reads the few files whose range holds it; fails if ``path`` exists."""
+    key = "path" if "path" in blocks.columns else "entity"
+    keyed = blocks.withColumn("key", F.array_join("path", SEPARATOR) if key == "path" else F.col(key))
+    keyed.repartitionByRange(ID, "key", "block").sortWithinPartitions(ID, "key", "block").write.mode("errorifexists").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, clustering_id: str, key: str) -> DataFrame:
+    """The members of one key, from its blocks alone."""
+    found = spark.read.parquet(path).where((F.col(ID) == clustering_id) & (F.col("key") == key))
+    return found.select("block", F.explode("members").alias("member"))

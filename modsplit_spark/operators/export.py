@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from modsplit_spark.operators.extract import CLIENT
 from modsplit_spark.operators.graph import UNIT
+from modsplit_spark.operators.ranks import numbered
 from modsplit_spark.sources.workspace import materialize
 
 SCHEMA_VERSION = "1.0"
@@ -71,7 +72,8 @@ def tree_json(assignments: DataFrame, title: Column | None = None) -> DataFrame:
 
 def matrix_variables(nodes: DataFrame) -> DataFrame:
     """``(unit, entity_id, name, var_ix)``: nodes in order of name (ties by node order), from 0."""
-    return nodes.select(*UNIT, "entity_id", "name", (F.row_number().over(W.partitionBy(*UNIT).orderBy("name", "ix")) - 1).alias("var_ix"))
+    placed = numbered(nodes.select(*UNIT, "entity_id", "name", "ix"), UNIT, ["name", "ix"], "var_ix")
+    return placed.select(*UNIT, "entity_id", "name", F.col("var_ix").cast("int").alias("var_ix"))
 
 
 def dependency_counts(deps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -94,3 +96,61 @@ def dependency_json(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     joined = names.join(cells, UNIT, "left")
     none = F.array().cast("array<struct<src:int,dest:int,values:map<string,double>>>")
     return joined.select(*UNIT, F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("@schemaVersion"), F.col("parent_id").alias("name"), "variables", F.coalesce("cells", none).alias("cells"))).alias("json"))
+
+
+# ---------------------------------------------------------------- documents as ordered fragments
+
+#: After every key of a group's members.
+AFTER = (1 << 63) - 1
+
+
+def _string(value: Column) -> Column:
+    """A JSON string."""
+    quoted = F.to_json(F.array(value))
+    return quoted.substr(F.lit(2), F.length(quoted) - 2)
+
+
+def _longs(*values: Column | int) -> Column:
+    return F.array(*((F.lit(v) if isinstance(v, int) else v).cast("long") for v in values)).cast("array<long>")
+
+
+def tree_fragments(assignments: DataFrame, title: Column | None = None) -> DataFrame:
+    """``(unit, key array<long>, text)``: the document of ``tree_json`` in pieces. A unit's texts in order of ``key`` are the document; each is a
+    header, the opening of a group, an item or a closing, so no row grows with the unit.
+
+    A group's key holds the places of the groups above it and its own; a member's key goes on from it, the closing's with a number after all."""
+    title = F.col("parent_id") if title is None else title
+    groups = materialize(tree_groups(assignments), "groups")
+    above = groups.select(*UNIT, "node_path", F.explode(F.sequence(F.lit(1), F.size("node_path"))).alias("d")).withColumn("_prefix", F.slice("node_path", F.lit(1), F.col("d")))
+    steps = above.join(groups.select(*UNIT, F.col("node_path").alias("_prefix"), "ord"), [*UNIT, "_prefix"]).groupBy(*UNIT, "node_path").agg(F.array_sort(F.collect_list(F.struct("d", "ord"))).alias("steps"))
+    keyed = groups.join(steps, [*UNIT, "node_path"]).select(*UNIT, "node_path", "name", "ord", F.concat(_longs(0), F.transform("steps", lambda s: 2 * s["ord"].cast("long"))).alias("key"), F.get("steps", F.size("steps") - 2)["ord"].alias("parent_ord"))
+    keyed = materialize(keyed, "group-keys")
+    top = groups.groupBy(*UNIT).agg(F.min("ord").alias("top"))
+    # The first member of a group is the one that gave the group its place.
+    comma = lambda place, first: F.when(place == first, "").otherwise(",")
+    opened = keyed.join(top, UNIT).select(*UNIT, "key", F.concat(comma(F.col("ord"), F.coalesce("parent_ord", "top")), F.lit('{"@type":"group","name":'), _string(F.col("name")), F.lit(',"nested":[')).alias("text"))
+    closed = keyed.select(*UNIT, F.concat("key", _longs(AFTER)).alias("key"), F.lit("]}").alias("text"))
+    items = tree_items(assignments).withColumnRenamed("name", "item").join(keyed, [*UNIT, "node_path"])
+    items = items.select(*UNIT, F.concat("key", _longs(2 * F.col("ix") + 1)).alias("key"), F.concat(comma(F.col("ix"), F.col("ord")), _item(F.col("item"))).alias("text"))
+    clients_ = client_root_items(assignments)
+    first = clients_.groupBy(*UNIT).agg(F.min("ix").alias("first")).join(top, UNIT, "left")
+    clients_ = clients_.join(first, UNIT).select(*UNIT, _longs(1, F.col("ix")).alias("key"), F.concat(F.when(F.col("top").isNull() & (F.col("ix") == F.col("first")), "").otherwise(","), _item(F.col("name"))).alias("text"))
+    units = assignments.select(*UNIT).distinct()
+    header = units.select(*UNIT, _longs().alias("key"), F.concat(F.lit(f'{{"@schemaVersion":"{SCHEMA_VERSION}","name":'), _string(title), F.lit(',"structure":[')).alias("text"))
+    footer = units.select(*UNIT, _longs(2).alias("key"), F.lit("]}").alias("text"))
+    return header.unionByName(opened).unionByName(items).unionByName(closed).unionByName(clients_).unionByName(footer)
+
+
+def dependency_fragments(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(unit, key array<long>, text)``: the document of ``dependency_json`` in pieces, one for each variable and each cell."""
+    names = materialize(matrix_variables(nodes), "variables")
+    units = names.select(*UNIT).distinct()
+    header = units.select(*UNIT, _longs(0).alias("key"), F.concat(F.lit(f'{{"@schemaVersion":"{SCHEMA_VERSION}","name":'), _string(F.col("parent_id")), F.lit(',"variables":[')).alias("text"))
+    variables = names.select(*UNIT, _longs(1, F.col("var_ix")).alias("key"), F.concat(F.when(F.col("var_ix") == 0, "").otherwise(","), _string(F.col("name"))).alias("text"))
+    middle = units.select(*UNIT, _longs(2).alias("key"), F.lit('],"cells":[').alias("text"))
+    cells = materialize(matrix_cells(counts).join(units, UNIT, "left_semi"), "cells")
+    first = cells.groupBy(*UNIT).agg(F.min(F.struct("src", "dest")).alias("first"))
+    text = F.concat(F.when(F.struct("src", "dest") == F.col("first"), "").otherwise(","), F.to_json(F.struct("src", "dest", "values")))
+    cells = cells.join(first, UNIT).select(*UNIT, _longs(3, F.col("src"), F.col("dest")).alias("key"), text.alias("text"))
+    footer = units.select(*UNIT, _longs(4).alias("key"), F.lit("]}").alias("text"))
+    return header.unionByName(variables).unionByName(middle).unionByName(cells).unionByName(footer)

@@ -7,9 +7,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modsplit_spark.operators.ranks import numbered
 from modsplit_spark.sources.tables import commit_key
 from modsplit_spark.sources.workspace import materialize_observed
 
@@ -44,8 +44,8 @@ def list_roots(entities: DataFrame) -> DataFrame:
 
 def children(entities: DataFrame) -> DataFrame:
     """Direct children with ``ord``, their rank by start_byte (ties by id) from 0."""
-    order = W.partitionBy("parent_id").orderBy("start_byte", "entity_id")
-    return entities.where("parent_id is not null").select("parent_id", "entity_id", "name", "kind", "start_byte", (F.row_number().over(order) - 1).alias("ord"))
+    kids = entities.where("parent_id is not null").select("parent_id", "entity_id", "name", "kind", "start_byte")
+    return numbered(kids, ["parent_id"], ["start_byte", "entity_id"], "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def descend_single_child(entities: DataFrame) -> DataFrame:
@@ -64,6 +64,30 @@ def resolve_units(entities: DataFrame, requests: DataFrame) -> DataFrame:
     return found.select("filename", "root_id", "parent_id", status.alias("status"))
 
 
+def root_report(entities: DataFrame) -> DataFrame:
+    """``(entity_id, root_id, status, witness)`` of every entity: ``ok`` with its root; ``dangling`` where the chain of parents ends at a
+    missing one, which is the witness; ``cycle`` where it never ends, with the least id of the cycle it runs into.
+
+    Pointers jump as in ``root_closure``, and each carries the least id of what it has passed. When a round settles nothing all that is left runs
+    into cycles; once pointers reach further than there are such entities, each has passed its cycle as a whole or stands on it."""
+    still = F.count(F.when(F.col("status") == "open", 1)).alias("left")
+    status = F.when(F.col("parent_id").isNull(), "ok").otherwise("open")
+    first = entities.select("entity_id", F.coalesce("parent_id", "entity_id").alias("ptr"), F.col("entity_id").alias("least"), status.alias("status"))
+    now, seen = materialize_observed(first, "report", still)
+    left, reach, settled = seen["left"], 1, False
+    while left and not (settled and reach > left):
+        ahead = now.select(F.col("entity_id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("least").alias("_least"), F.col("status").alias("_status"))
+        met = now.where("status = 'open'").join(ahead, F.col("ptr") == F.col("_id"), "left")
+        moving = met.select("entity_id", F.coalesce("_ptr", "ptr").alias("ptr"), F.least("least", "_least").alias("least"), F.coalesce("_status", F.lit("dangling")).alias("status"))
+        now, seen = materialize_observed(now.where("status != 'open'").unionByName(moving), "report", still)
+        settled, left, reach = seen["left"] == left, seen["left"], 2 * reach
+    on_cycle = now.where("status = 'open'").select(F.col("entity_id").alias("ptr"), F.col("least").alias("cycle"))
+    known = now.join(on_cycle, "ptr", "left")
+    done = known.select("entity_id", F.when(F.col("status") == "ok", F.col("ptr")).alias("root_id"), F.when(F.col("status") == "open", "cycle").otherwise(F.col("status")).alias("status"),
+        F.when(F.col("status") == "open", F.col("cycle")).when(F.col("status") == "dangling", F.col("ptr")).alias("witness"))
+    return done
+
+
 def root_closure(entities: DataFrame) -> DataFrame:
     """``(entity_id, root_id)`` by pointer jumping: every round doubles how far each pointer reaches, so a chain of
     depth n takes log2(n) joins. Roots map to themselves; chains that end at a missing parent or in a cycle have no row."""

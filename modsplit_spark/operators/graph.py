@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modsplit_spark.operators.components import connected_components
+from modsplit_spark.operators.ranks import numbered
 from modsplit_spark.operators.similarity import both_ways
 from modsplit_spark.operators.strong import strong_components_loop
 from modsplit_spark.sources.workspace import materialize
@@ -23,8 +24,8 @@ GROUP_ROWS = 500_000
 
 def index_nodes(labelled: DataFrame) -> DataFrame:
     """``labelled`` with ``ix`` (children by start_byte, then clients by name, ties by id) and ``weight``."""
-    order = W.partitionBy(*UNIT).orderBy("is_client", "start_byte", "name", "entity_id")
-    return node_weights(labelled.withColumn("ix", (F.row_number().over(order) - 1).cast("int")))
+    placed = numbered(labelled, UNIT, ["is_client", "start_byte", "name", "entity_id"], "ix")
+    return node_weights(placed.withColumn("ix", F.col("ix").cast("int")))
 
 
 def node_weights(nodes: DataFrame) -> DataFrame:

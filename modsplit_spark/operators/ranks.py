@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ from modsplit_spark.sources.workspace import materialize
 BASE = 0x9E3779B97F4A7C15
 WORD = 1 << 64
 FIRST, LAST = 1, 2
+#: Rows of a group up to which one task numbers them by a window.
+GROUP_ROWS = 1_000_000
 
 
 def _powers(exponents: np.ndarray) -> np.ndarray:
@@ -147,3 +150,15 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], pla
     one = F.lit(1).cast("long")
     out += [join(F.coalesce(F.col(f"_{n}"), zero), F.coalesce("_power", one), F.col(n)).alias(n) for n in hashes]
     return both.select(*names, *out)
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str, most_rows: int | None = None) -> DataFrame:
+    """``df`` with ``name`` (long), the row's place from 0 within the group ``by`` in ``order``, which must leave no two rows equal.
+
+    ``df`` is written and its groups counted. If none is over ``most_rows`` a window numbers them; else ``running`` does, and no group is one task."""
+    most_rows = GROUP_ROWS if most_rows is None else most_rows
+    table = materialize(df, "numbered")
+    if (table.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > most_rows:
+        placed = running(table, by, order, "_place")
+        return placed.withColumn(name, F.col("_place") - 1).drop("_place")
+    return table.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long") - 1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modsplit_spark.operators.ranks import numbered
 from modsplit_spark.sources.workspace import materialize
 
 MIN_SIM = 0.25
@@ -44,10 +45,17 @@ def total(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("parent_id").agg(F.sum("n").alias("total"))
 
 
-def vocabulary(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(parent_id, term, term_ix)`` and ``(parent_id, doc, doc_ix)``, numbered from 0 by name."""
-    number = lambda c: (F.row_number().over(W.partitionBy("parent_id").orderBy(c)) - 1).alias(f"{c}_ix")
-    return tuple(pairs.select("parent_id", c).distinct().select("parent_id", c, number(c)) for c in ("term", "doc"))
+def vocabulary(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(parent_id, term, term_ix)`` and ``(parent_id, doc, doc_ix)``, numbered from 0 by first appearance.
+
+    ``placed`` has one row for each occurrence, (parent_id, doc, term, at), ``at`` its place among its parent's (no two equal). Isolated
+    terms, and documents of them alone, have no number."""
+    of_pair = placed.groupBy("parent_id", "term", "doc").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    kept = materialize(drop_isolated_terms(of_pair), "placed")
+    return tuple(
+        numbered(kept.groupBy("parent_id", c).agg(F.min("at").alias("at")), ["parent_id"], ["at"], f"{c}_ix").select("parent_id", c, F.col(f"{c}_ix").cast("int").alias(f"{c}_ix"))
+        for c in ("term", "doc")
+    )
 
 
 def with_counts(pairs: DataFrame) -> DataFrame:
@@ -116,6 +124,11 @@ def vectors(pairs: DataFrame) -> Vectors:
     return Vectors(own, both, cross, delta.select("parent_id", "term", "doc", "delta"))
 
 
+def _written(v: Vectors) -> Vectors:
+    """The frames as tables: each is read several times."""
+    return Vectors(*(materialize(frame, f"similarity-{name}") for name, frame in zip(Vectors._fields, v, strict=True)))
+
+
 def _without_terms(pairs_all: DataFrame, v: Vectors) -> DataFrame:
     """``pairs_all`` (parent_id, doc_a, doc_b, ...) with what their product is but for the terms they share (``dot``), and the product of their lengths."""
     side = lambda x: v.docs.select("parent_id", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "doc_count", "sum", "norm")], *(["m"] if x == "a" else []))
@@ -134,7 +147,7 @@ def doc_similarity(pairs: DataFrame) -> DataFrame:
     two vectors over the product of their uncentred lengths, 0 if negative or undefined; dist = 1 - sim.
 
     The result is quadratic in a parent's names; ``similar_pairs`` finds those over a bound without it."""
-    v = vectors(pairs)
+    v = _written(vectors(pairs))
     a, b = v.delta.alias("a"), v.delta.alias("b")
     shared = a.join(b, (F.col("a.parent_id") == F.col("b.parent_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.doc") <= F.col("b.doc"))).groupBy(F.col("a.parent_id").alias("parent_id"), F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).agg(F.sum(F.col("a.delta") * F.col("b.delta")).alias("shared"))
     pairs_all = v.docs.select("parent_id", F.col("doc").alias("doc_a")).join(v.docs.select("parent_id", F.col("doc").alias("doc_b")), "parent_id").where("doc_a <= doc_b")
@@ -196,7 +209,7 @@ def candidate_pairs(v: Vectors, least: float = MIN_SIM, by_terms: float = BY_TER
 def similar_pairs(pairs: DataFrame, least: float = MIN_SIM) -> DataFrame:
     """``(parent_id, doc_a, doc_b, sim)`` of all doc_a <= doc_b whose similarity is ``least`` (over 0) or more, as ``doc_similarity`` has it; only
     candidates are compared, and no parent's names meet in one task."""
-    v = Vectors(*(materialize(frame, f"similarity-{name}") for name, frame in zip(Vectors._fields, vectors(pairs), strict=True)))
+    v = _written(vectors(pairs))
     same = v.docs.select("parent_id", F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"))
     compared = materialize(candidate_pairs(v, least).unionByName(same), "candidates")
     held = v.delta.groupBy("parent_id", "doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "delta"))).alias("terms"))
@@ -218,9 +231,9 @@ def has_doc(termed: DataFrame, pairs: DataFrame) -> DataFrame:
     return termed.join(pairs.select("parent_id", "doc").distinct(), ["parent_id", "doc"], "left_semi")
 
 
-def doc_index(termed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Names with ``doc_ix``; null where the document is unknown."""
-    return termed.join(vocabulary(pairs)[1], ["parent_id", "doc"], "left")
+def doc_index(termed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Names with ``doc_ix`` of the vocabulary's ``docs``; null where the document is unknown."""
+    return termed.join(docs, ["parent_id", "doc"], "left")
 
 
 def name_sim(requests: DataFrame, sims: DataFrame) -> DataFrame:
@@ -231,11 +244,13 @@ def name_sim(requests: DataFrame, sims: DataFrame) -> DataFrame:
     return keyed.join(known, ["parent_id", "_a", "_b"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).drop("_a", "_b")
 
 
-def most_similar(sims: DataFrame, n: int) -> DataFrame:
+def most_similar(sims: DataFrame, n: int, docs: DataFrame | None = None) -> DataFrame:
     """``(parent_id, doc, other, sim, rank)``: of each name the 2nd to n-th most similar (its own row included in the
-    ranking), ties by later name first."""
-    rank = F.row_number().over(W.partitionBy("parent_id", "doc_a").orderBy(F.desc("sim"), F.desc("doc_b")))
-    ranked = both_ways(sims.select("parent_id", "doc_a", "doc_b", "sim")).withColumn("rank", rank).where((F.col("rank") >= 2) & (F.col("rank") <= n))
+    ranking), ties by later number in the vocabulary's ``docs`` first, without them by later name."""
+    both = both_ways(sims.select("parent_id", "doc_a", "doc_b", "sim"))
+    both = both.withColumn("doc_ix", F.col("doc_b")) if docs is None else both.join(docs.withColumnRenamed("doc", "doc_b"), ["parent_id", "doc_b"])
+    rank = F.row_number().over(W.partitionBy("parent_id", "doc_a").orderBy(F.desc("sim"), F.desc("doc_ix")))
+    ranked = both.withColumn("rank", rank).where((F.col("rank") >= 2) & (F.col("rank") <= n))
     return ranked.select("parent_id", F.col("doc_a").alias("doc"), F.col("doc_b").alias("other"), "sim", (F.col("rank") - 1).alias("rank"))
 
 

@@ -41,3 +41,28 @@ def test_internal_bag_and_clients_distinct(spark):
     assert R.internal_deps(deps, e, units).count() == 2
     labelled = R.label_clients(units, e, R.clients(outside, e)).collect()
     assert {r["name"] for r in labelled} == {"a", "b", "(Client) g"}
+
+
+def test_root_report(spark):
+    """A chain 10,000 deep, one that ends at a missing parent, a cycle of 1,000 with tails, a self-loop."""
+    chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(10_000)]
+    lost = [(f"l{i}", f"l{i - 1}" if i else "gone") for i in range(300)]
+    ring = [(f"r{i:04}", f"r{(i + 1) % 1000:04}") for i in range(1000)]
+    tail = [(f"a{i}", f"a{i + 1}" if i < 699 else "r0500") for i in range(700)]
+    rows = [*chain, *lost, *ring, *tail, ("own", "own"), ("root", None)]
+    got = {r["entity_id"]: tuple(r)[1:] for r in R.root_report(spark.createDataFrame(rows, "entity_id string, parent_id string")).collect()}
+    want = {i: ("c0", "ok", None) for i, _ in chain} | {i: (None, "dangling", "gone") for i, _ in lost} | {i: (None, "cycle", "r0000") for i, _ in [*ring, *tail]}
+    assert got == want | {"own": (None, "cycle", "own"), "root": ("root", "ok", None)}
+    assert R.root_report(spark.createDataFrame([], "entity_id string, parent_id string")).collect() == []
+
+
+def test_children_of_a_giant_parent(spark, monkeypatch):
+    from modsplit_spark.operators import ranks
+
+    rows = [(f"e{i}", "p" if i % 9 else "q", f"n{i}", "k", (i * 37) % 500) for i in range(1200)]
+    df = spark.createDataFrame(rows, "entity_id string, parent_id string, name string, kind string, start_byte long")
+    few = sorted(map(tuple, R.children(df).collect()))
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 100)
+    kids = R.children(df)
+    assert sorted(map(tuple, kids.collect())) == few
+    assert "Window" not in kids._jdf.queryExecution().executedPlan().toString()
