@@ -327,7 +327,7 @@ def recursive_partition(nodes: DataFrame, edges: DataFrame, eps: float = EPS, mi
     orders and moves. Of larger ones a level splits all open blocks by the sweep; it ends when none can be split. Blocks shrink to at most 55 % a
     level, so levels grow with the logarithm of the largest component. A level writes what it has split to the shared folder; only
     blocks that are still open go on."""
-    own = edges.where("a != b")
+    nodes, own = materialize(nodes, "partition-nodes"), materialize(edges.where("a != b"), "partition-edges")
     ends = own.select(*UNIT, "wcc", F.col("a").alias("pos")).unionByName(own.select(*UNIT, "wcc", F.col("b").alias("pos")))
     touched = nodes.join(ends.distinct(), [*UNIT, "wcc", "pos"], "left_semi")
     sizes = ends.groupBy(*UNIT, "wcc").agg(F.count("*").alias("ends"))
