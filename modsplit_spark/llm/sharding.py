@@ -12,8 +12,11 @@ from __future__ import annotations
 import heapq
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modsplit_spark.sources.workspace import materialize_observed
+
 GRAIN = 1024
 BUNDLES = 256
 
@@ -29,41 +32,40 @@ def longest_first(items: list[tuple[int, object]], shards: int) -> dict[object,
     return out
 
 
-def shard_by_size(rows: DataFrame, shards: int, group: str = "group_key", size: str = "size", order: str = "doc_id", rows_per_slot_range: int = 50_000) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` added; rows that share ``group`` (binary) share a shard.
+def shard_by_size(rows: DataFrame, shards: int, group: str = "group_key", size: str = "size", rows_per_slot_range: int = 50_000) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot`` added (columns of these names are replaced); rows that share ``group`` (binary) share a shard.
 
-    Null groups form one group. Slots count from 0 without gaps within a shard, in no particular
-    order. An empty table gives an empty result. Repeated rows get slots of their own.
+    Null groups form one group. Slots count from 0 without gaps within a shard, by hashed ranges of written row
+    numbers, so they rest on no column: rows that are equal in all columns get slots of their own, and one id may stand
+    in any number of rows. An empty table gives an empty result. Names that begin with ``_`` are the operator's own.
+    ``rows`` are evaluated once and written.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("_group", F.coalesce(F.col(group), F.lit(b"").cast("binary")))
-    groups = rows.groupBy("_group").agg(F.sum(size).alias("_bytes"))
-    total, count = rows.agg(F.sum(size), F.count("*")).first()
-    least = max(1, -(-(total or 0) // (shards * GRAIN)))
+    numbered = rows.withColumn("_group", F.coalesce(F.col(group), F.lit(b"").cast("binary"))).withColumn("_row", F.monotonically_increasing_id())
+    rows, seen = materialize_observed(numbered, "shard-rows", F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    least = max(1, -(-(seen["bytes"] or 0) // (shards * GRAIN)))
     bundle = F.pmod(F.xxhash64("_group"), F.lit(shards * BUNDLES)).cast("int")
-    large = groups.where(F.col("_bytes") >= least)
-    small = groups.where(F.col("_bytes") < least).groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes").alias("_bytes"))
-    items = [(r["_bytes"], ("g", bytes(r["_group"]))) for r in large.collect()] + [(r["_bytes"], ("s", r["_bundle"].to_bytes(4, "big"))) for r in small.collect()]
-    placed = longest_first(items, shards)
-    of_group = spark.createDataFrame([(k[1], s) for k, s in placed.items() if k[0] == "g"], "_group binary, _g int")
-    of_bundle = spark.createDataFrame([(int.from_bytes(k[1], "big"), s) for k, s in placed.items() if k[0] == "s"], "_bundle int, _b int")
+    groups = rows.groupBy("_group").agg(F.sum(size).alias("_bytes"))
+    alone = F.col("_bytes") >= least
+    items = groups.groupBy(F.when(alone, F.col("_group")).alias("_group"), F.when(~alone, bundle).alias("_bundle")).agg(F.sum("_bytes").alias("_bytes"))
+    placed = longest_first([(n, ("b", b.to_bytes(4, "big")) if g is None else ("a", bytes(g))) for g, b, n in items.collect()], shards)
+    of_group = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == "a"], "_group binary, _of_group int")
+    of_bundle = spark.createDataFrame([(int.from_bytes(k, "big"), s) for (kind, k), s in placed.items() if kind == "b"], "_bundle int, _of_bundle int")
     dealt = (
         rows.withColumn("_bundle", bundle)
         .join(F.broadcast(of_group), "_group", "left")
         .join(F.broadcast(of_bundle), "_bundle", "left")
-        .withColumn("shard", F.coalesce("_g", "_b"))
+        .withColumn("shard", F.coalesce("_of_group", "_of_bundle"))
     )
-    return with_slots(dealt, count, order, rows_per_slot_range).drop("_group", "_bundle", "_g", "_b")
+    return with_slots(dealt, seen["rows"], rows_per_slot_range).drop("_row", "_group", "_bundle", "_of_group", "_of_bundle")
 
 
-def with_slots(dealt: DataFrame, count: int, order: str, rows_per_range: int) -> DataFrame:
-    """Number the rows of each ``shard`` from 0. Rows are ranked in hashed ranges of bounded size,
+def with_slots(dealt: DataFrame, count: int, rows_per_range: int) -> DataFrame:
+    """Number the rows of each ``shard`` from 0. Rows are ranked by ``_row`` in hashed ranges of bounded size,
     and a small table of range sizes gives each range its first number."""
-    from pyspark.sql import Window as W
-
     ranges = max(64, count // rows_per_range)
-    dealt = dealt.withColumn("_range", F.pmod(F.xxhash64(order, F.lit(7)), F.lit(ranges)).cast("int"))
-    within = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_range").orderBy(order)) - 1)
+    dealt = dealt.withColumn("_range", F.pmod(F.xxhash64("_row", F.lit(7)), F.lit(ranges)).cast("int"))
+    within = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_range").orderBy("_row")) - 1)
     sizes = dealt.groupBy("shard", "_range").count()
     before = sizes.select("shard", "_range", (F.sum("count").over(W.partitionBy("shard").orderBy("_range")) - F.col("count")).alias("_before"))
     joined = within.join(before, ["shard", "_range"])
@@ -73,7 +75,8 @@ def with_slots(dealt: DataFrame, count: int, order: str, rows_per_range: int) ->
 def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
     """The digest of ``op2``: every document with its size, checksum, shard and slot under the law ``bytes``.
 
-    Groups are equal texts; null counts as the empty text (size 1). Size is UTF-8 bytes plus 1.
+    Groups are equal texts (by MD5); null counts as the empty text (size 1). Size is UTF-8 bytes plus 1. The texts, of any
+    length, are read once; null and repeated ids are rows like others.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = documents.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("group_key"))
