@@ -2,9 +2,10 @@
 
 LPT takes the items by falling size and gives each to the least-loaded shard, found through a heap.
 A group of at least ``total / (shards * grain)`` bytes is an item of its own; there are at most
-``shards * grain`` such groups, however large the table. The many smaller groups are hashed into
-``shards * bundles`` bundles, which are items too. So the heap sees a bounded number of items (by default
-under 33,000), at every input size alike, and its answer is a broadcast table of that bounded size.
+``shards * grain`` such groups, however large the table. The many smaller groups are hashed into bundles, which
+are items too: ``shards * bundles`` coarse ones, and as many of two finer tiers, to which one group in 64 and one in
+4,096 go. The finest come last and level what the coarse ones leave. So the heap sees a bounded number of items
+(under 23,000 for 16 shards), at every input size alike, and its answer is a broadcast table of that bounded size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from modsplit_spark.sources.workspace import materialize_observed
 
 GRAIN = 1024
-BUNDLES = 256
+BUNDLES = 128
+#: Of so many groups one goes to a finer tier of bundles, and of that many times as many one to the finest.
+FINER = 64
 
 
 def longest_first(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
@@ -44,7 +47,9 @@ def shard_by_size(rows: DataFrame, shards: int, group: str = "group_key", size:
     numbered = rows.withColumn("_group", F.coalesce(F.col(group), F.lit(b"").cast("binary"))).withColumn("_row", F.monotonically_increasing_id())
     rows, seen = materialize_observed(numbered, "shard-rows", F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     least = max(1, -(-(seen["bytes"] or 0) // (shards * GRAIN)))
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(shards * BUNDLES)).cast("int")
+    hashed, fine = F.xxhash64("_group"), F.shiftrightunsigned(F.xxhash64("_group"), 32).bitwiseAND(F.lit(FINER * FINER - 1))
+    tier = F.when(fine == 0, 2).when(fine < FINER, 1).otherwise(0)
+    bundle = (tier * shards * BUNDLES + F.pmod(hashed, F.lit(shards * BUNDLES))).cast("int")
     groups = rows.groupBy("_group").agg(F.sum(size).alias("_bytes"))
     alone = F.col("_bytes") >= least
     items = groups.groupBy(F.when(alone, F.col("_group")).alias("_group"), F.when(~alone, bundle).alias("_bundle")).agg(F.sum("_bytes").alias("_bytes"))

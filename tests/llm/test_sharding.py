@@ -25,8 +25,13 @@ def test_bundled_groups_against_a_plain_schedule(spark):
         sizes[t] = sizes.get(t, 0) + len(t) + 1
     least, bundles, items = -(-sum(sizes.values()) // (shards * sharding.GRAIN)), shards * sharding.BUNDLES, {}
     name = {t: hashlib.md5(t.encode()).digest() for t in sizes}
-    of = {t: (0, name[t]) if n >= least else (1, xxhash.xxh64(name[t], seed=42).intdigest() % bundles) for t, n in sizes.items()}
-    assert sum(kind for kind, _ in of.values()) > 2000
+
+    def bundle(h):
+        fine = (h >> 32) % 4096
+        return (2 if fine == 0 else 1 if fine < 64 else 0) * bundles + (h if h < 1 << 63 else h - (1 << 64)) % bundles
+
+    of = {t: (0, name[t]) if n >= least else (1, bundle(xxhash.xxh64(name[t], seed=42).intdigest())) for t, n in sizes.items()}
+    assert sum(kind for kind, _ in of.values()) > 2000 and any(b >= bundles for kind, b in of.values() if kind)
     for t, n in sizes.items():
         items[of[t]] = items.get(of[t], 0) + n
     loads, shard = [0] * shards, {}
