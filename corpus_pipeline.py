@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modsplit_spark.llm import decontamination, near_copies, packing, substring_dedup, toxicity
+from modsplit_spark.llm import decontamination, packing, simhash, substring_dedup, toxicity
 from modsplit_spark.sources.workspace import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link at 5-word Jaccard similarity 0.8 one row stays, that with the least doc_id."""
-    return near_copies.keep_one(_documents(docs))
+    """Of each group of documents that link at 5-word Jaccard similarity 0.8 one row stays, that with the least doc_id. Found by SimHash
+    within 4 bits, and what it leaves apart by MinHash; a comparison of the whole shingle sets decides each link."""
+    return simhash.keep_one(_documents(docs))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near copies by word shingles: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts meet through MinHash bands and link only if their whole shingle sets say so. With ``BANDS`` bands of
+Texts link only if their whole shingle sets say so. SimHash goes first: each text is compared with the most central one whose
+fingerprint is within a few bits of its own, or the same. At similarity 0.8 about 10 of 64 bits differ, up to 15 and more, and at such a radius no part
+of a fingerprint is selective; so what SimHash leaves apart meets through MinHash bands. With ``BANDS`` bands of
 ``ROWS`` values, two texts at similarity 0.8 miss every band with a chance of 3 in a million, and more alike ones
-less often. SimHash can't offer candidates here: at similarity 0.8 about 10 of 64 bits differ, and a radius of 15
-or more has no selective parts.
+less often.
 
 Texts that share a band key (a bucket) are compared in two rounds. First all with the bucket's hub, its text that meets the most others in
 all its buckets: in a group of copies that is the text nearest to the original, so that even where copies are alike only by way of it, the group
@@ -18,6 +19,8 @@ it still meets the square of the number of those with less, but only pairs that
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,13 +79,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-def _sketches(batches):
+def _sketches(batches, fingerprint):
     for batch in parts(batches):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
         for i, j in slices(texts):
             sets = shingle_sets(texts[i:j])
             keys = pa.array(list(band_keys(sets)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), keys], ["_text", "size", "bands"])
+            prints = pa.array([fingerprint(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), keys, prints], ["_text", "size", "bands", "print"])
 
 
 def parity_map(shingles: np.ndarray) -> np.ndarray:
@@ -150,25 +154,41 @@ def late_pairs(members: DataFrame) -> DataFrame:
     return with_open.unionByName(others).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
 
 
-def components(sketches: DataFrame, texts_of) -> DataFrame:
-    """``(node, component)`` of all texts with a near copy. ``sketches`` has id, size and bands, one row a text;
-    ``texts_of`` gives (id, text) for a table of ids."""
+def near_prints(sketches: DataFrame, neighbours) -> DataFrame:
+    """``(a, b)``: texts ``b`` to compare with ``a`` as their fingerprints are the same or ``neighbours`` pairs them; sizes fit."""
+    first = materialize(sketches.groupBy("print").agg(F.min(F.struct("id", "size")).alias("a")), "simhash-first")
+    same = sketches.join(first, "print").where(F.col("id") != F.col("a.id")).select("a", F.struct("id", "size").alias("b"))
+    near = neighbours(first.select("print")).join(first.withColumnRenamed("a", "b"), "print").join(first.withColumnRenamed("print", "hub"), "hub").select("a", "b")
+    return same.unionByName(near).where(fit("a.size", "b.size")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ends are in different components of ``of``."""
+    ends = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
+    return ends.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def components(sketches: DataFrame, texts_of, neighbours) -> DataFrame:
+    """``(node, component)`` of all texts with a near copy. ``sketches`` has id, size, bands and print, one row a text;
+    ``texts_of`` gives (id, text) for a table of ids, ``neighbours`` (hub, print) for one of prints."""
+    near = materialize(near_prints(sketches, neighbours), "simhash-pairs")
     keys = sketches.select("id", "size", F.explode("bands").alias("bucket"))
     shared = materialize(keys.join(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "near-buckets")
     met = shared.groupBy("id").agg(F.sum("n").alias("met"))
     hubs = shared.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", "id", "size")).alias("hub"))
     shared = materialize(shared.join(hubs, "bucket").drop("n"), "near-hubs")
-    sets = materialize(texts_of(shared.select("id").distinct()).mapInArrow(_sets, "id long, shingles binary, parity array<long>"), "near-sets")
-    # The best of a text's hubs first; the others only if it is not in one component with them by then.
+    wanted = shared.select("id").unionByName(near.select(F.col("a").alias("id"))).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    sets = materialize(texts_of(wanted).mapInArrow(_sets, "id long, shingles binary, parity array<long>"), "near-sets")
+    links = materialize(_links(near, sets), "simhash-links")
+    of = connected_components(links)
+    # Of what SimHash leaves apart, the best of a text's hubs first; the others only if it is not in one component with them by then.
     best = shared.groupBy("id", "size").agg(F.max("hub").alias("hub")).where((F.col("id") != F.col("hub.id")) & fit("size", "hub.size"))
-    tried = materialize(best.select(F.col("hub.id").alias("a"), F.col("id").alias("b")), "near-pairs")
-    links = materialize(_links(tried, sets), "near-links")
+    tried = materialize(_apart(best.select(F.col("hub.id").alias("a"), F.col("id").alias("b")), of), "near-pairs")
+    links = links.unionByName(materialize(_links(tried, sets), "near-links"))
     of = connected_components(links)
     apart = shared.where((F.col("id") != F.col("hub.id")) & fit("size", "hub.size")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    apart = apart.join(of.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("of_b")), "b", "left")
-    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    apart = materialize(apart, "near-pairs")
-    first = tried.unionByName(apart)
+    apart = materialize(_apart(apart, of).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    first = near.unionByName(tried).unionByName(apart)
     links = links.unionByName(materialize(_links(apart, sets), "near-links"))
     joined = connected_components(links)
     named = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
@@ -190,19 +210,20 @@ def components(sketches: DataFrame, texts_of) -> DataFrame:
     return connected_components(links.unionByName(_links(late, sets)))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, fingerprint, neighbours) -> DataFrame:
     """The rows of ``documents``, all columns, less their near copies: of every connected component of alike texts one row stays,
     that with the least doc_id (null ones last; ties by hashes of text and row). Of rows that are equal in all columns one stays.
     Texts without a word, null ones too, are alike. Equal texts are known by their MD5, and each different text has a number of its
     own from then on; rows of one text are told apart by 64-bit hashes of all columns. An empty table gives an empty result, a text of any
-    length is one row, and columns of other names are kept unless they begin with ``_``, which are the operator's own."""
+    length is one row, and columns of other names are kept unless they begin with ``_``, which are the operator's own.
+    ``fingerprint`` makes a long of a set's hashes, ``neighbours`` pairs prints (``simhash.set_print`` and ``simhash.neighbours``)."""
     columns = documents.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = documents.select("*", F.unhex(F.md5(text)).alias("_text"), F.xxhash64(*columns).alias("_row"))
     rows = keyed.groupBy("_text", "_row", "doc_id").agg(F.count("*").alias("_n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row", "_n")
-    sketched = keyed.select("_text", text.alias("text")).mapInArrow(_sketches, "_text binary, size long, bands array<long>")
-    sketched = sketched.groupBy("_text").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sketched = keyed.select("_text", text.alias("text")).mapInArrow(partial(_sketches, fingerprint=fingerprint), "_text binary, size long, bands array<long>, print long")
+    sketched = sketched.groupBy("_text").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("print").alias("print"))
     sketches = materialize(sketched.withColumn("id", F.monotonically_increasing_id()), "near-sketches")
     first = rows.groupBy("_text").agg(F.min(order).alias("first"))
     least = materialize(first.join(sketches.select("_text", "id"), "_text").select("id", "first"), "near-first")
@@ -211,7 +232,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
         wanted = least.join(ids, "id").select("id", "first._text", "first._row")
         return keyed.select("_text", "_row", text.alias("text")).join(wanted, ["_text", "_row"]).groupBy("id").agg(F.first("text").alias("text"))
 
-    joined = components(sketches, texts_of)
+    joined = components(sketches, texts_of, neighbours)
     named = least.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     kept = materialize(named.groupBy("component").agg(F.min("first").alias("first")).select("first._text", "first._row", "first._n"), "near-kept")
     once = keyed.join(kept.where("_n = 1"), ["_text", "_row"]).select(*columns)

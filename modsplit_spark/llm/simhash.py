@@ -12,6 +12,9 @@ that share a key and verify; components by star rounds. Keys that more than ``PA
 fingerprints share are not paired. There, every fingerprint and its one-bit neighbours become keys:
 two fingerprints meet in such a key exactly if they differ in at most two bits, at most 65 can
 share one, and one edge per row links them, so no group is ever gathered or squared.
+
+``keep_one``, the pipeline's stage, goes on from prints of 5-word shingle sets: ``neighbours`` gives each the most central print within
+``RADIUS`` bits by the same parts and thresholds, and ``near_copies`` compares the two texts and looks for what lies further apart.
 """
 
 from __future__ import annotations
@@ -27,14 +30,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modsplit_spark.llm import near_copies
 from modsplit_spark.llm.bytegrams import parts
-from modsplit_spark.llm.near_copies import keep_one  # noqa: F401 (the pipeline's stage, under its old name)
 from modsplit_spark.operators.components import connected_components
 from modsplit_spark.sources.workspace import materialize
 
 BITS = 64
 SEED = 42
 PAIR_LIMIT = 64
+#: Bits of ``neighbours``. Plans have 5 keys a text at 230,000 texts and 46 at 14 million (30 GB); 5 bits take 36 and 67, 6 bits 52 and 298.
+RADIUS = 4
+#: Prints of a key up to which ``neighbours`` compares each with each; chance alone gives 150 at 14 million.
+CROWD = 512
+
+
+def majority(raw: np.ndarray) -> int:
+    """The signed integer of the bits that are set in over half of the rows of 8 bytes."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(raw), 1 << 15):
+        votes += np.unpackbits(raw[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(raw)).tobytes(), "big", signed=True)
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes (0 if it is empty)."""
+    return majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -52,10 +72,7 @@ def fingerprint(text: str | None, words: int) -> int:
         starts = (ends - lengths)[: n - words + 1].tolist()
         digest, count = xxhash.xxh64_digest, n - words + 1
         digests = b"".join([digest(line[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)])
-    raw, votes = np.frombuffer(digests, np.uint8).reshape(count, 8), np.zeros(BITS, np.int64)
-    for i in range(0, count, 1 << 15):
-        votes += np.unpackbits(raw[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > count).tobytes(), "big", signed=True)
+    return majority(np.frombuffer(digests, np.uint8).reshape(count, 8))
 
 
 def _fingerprints(batches, words: int):
@@ -157,13 +174,9 @@ def _mask(bits) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(prints: DataFrame, t: int = 2) -> DataFrame:
-    """``(a, b)`` with a < b: links among the distinct fingerprints of ``prints`` (column ``print``)
-    whose connected components are those of all pairs that differ in at most ``t`` (0 to 2) bits.
-    Keys shared by up to ``PAIR_LIMIT`` fingerprints give every such pair; larger ones give a star
-    for each one-bit neighbourhood instead, through the fingerprint or a mid-point that is a node too."""
-    if not 0 <= t <= 2:
-        raise ValueError("links are exact for 0 to 2 differing bits")
+def shared_keys(prints: DataFrame, t: int) -> DataFrame:
+    """``(part, key, print, own, n, any_own)``: the probe keys of ``prints`` that ``n`` > 1 of them share, one of these by its own part.
+    Any two prints that differ in at most ``t`` bits share a key that is one's own."""
     n, both = bit_statistics(prints)
     plan = plan_parts(n, both, t)
     probes = []
@@ -180,7 +193,17 @@ def links(prints: DataFrame, t: int = 2) -> DataFrame:
     for more in probes[1:]:
         keyed = keyed.unionByName(more)
     sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
-    shared = materialize(keyed.join(sizes, ["part", "key"]), "simhash-keys")
+    return materialize(keyed.join(sizes, ["part", "key"]), "simhash-keys")
+
+
+def links(prints: DataFrame, t: int = 2) -> DataFrame:
+    """``(a, b)`` with a < b: links among the distinct fingerprints of ``prints`` (column ``print``)
+    whose connected components are those of all pairs that differ in at most ``t`` (0 to 2) bits.
+    Keys shared by up to ``PAIR_LIMIT`` fingerprints give every such pair; larger ones give a star
+    for each one-bit neighbourhood instead, through the fingerprint or a mid-point that is a node too."""
+    if not 0 <= t <= 2:
+        raise ValueError("links are exact for 0 to 2 differing bits")
+    shared = shared_keys(prints, t)
     few = shared.where(F.col("n") <= PAIR_LIMIT)
     left = few.where("own").select("part", "key", F.col("print").alias("x"))
     right = few.select("part", "key", F.col("print").alias("y"))
@@ -208,6 +231,30 @@ def neighbour_stars(prints: DataFrame, t: int) -> DataFrame:
     return keys.join(least, ["tag", "key"]).where("a != print").select("a", F.col("print").alias("b")).distinct()
 
 
+def neighbours(prints: DataFrame, t: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """``(hub, print)``: for each of the distinct ``prints`` one other within ``t`` bits, that which meets the most prints in its own keys.
+
+    Every print with another within ``t`` bits has a row, unless they meet only in keys of more than ``crowd`` prints: there each is compared with
+    the most central print of the key alone. Work is linear in keys; whoever needs all pairs has to look for the rest."""
+    shared = shared_keys(prints, t)
+    met = materialize(shared.where("own").groupBy("print").agg(F.sum("n").alias("met")), "simhash-met")
+    few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
+    left = few.where("own").select("part", "key", F.col("print").alias("x"))
+    right = few.select("part", "key", F.col("print").alias("y"), "own")
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= t
+    pairs = left.join(right, ["part", "key"]).where((F.col("x") != F.col("y")) & (~F.col("own") | (F.col("x") < F.col("y"))) & near).select("x", "y")
+    ranked = many.join(met, "print", "left").select("part", "key", "print", F.struct(F.coalesce("met", F.lit(0)).alias("met"), "print").alias("rank"))
+    stars = ranked.join(ranked.groupBy("part", "key").agg(F.max("rank").alias("top")), ["part", "key"]).select(F.col("print").alias("x"), F.col("top.print").alias("y")).where((F.col("x") != F.col("y")) & near)
+    found = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(stars), "simhash-near")
+    best = found.join(met.withColumnRenamed("print", "y"), "y", "left").groupBy("x").agg(F.max(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "y")).alias("top"))
+    return best.select(F.col("top.y").alias("hub"), F.col("x").alias("print"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The pipeline's stage: near copies found by SimHash first, then by what ``near_copies`` adds; see its ``keep_one``."""
+    return near_copies.keep_one(documents, set_print, neighbours)
+
+
 def near_duplicates(documents: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``documents``.
 

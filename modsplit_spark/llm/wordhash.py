@@ -10,6 +10,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20)
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Bytes that are hashed together; a longer word is alone.
+BLOCK_BYTES = 1 << 17
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,6 +47,17 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix((sums[end] - sums[start]) * powers(base, len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
+def _byte_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word's bytes, block by block: eight bytes a byte of a whole chunk, several times over, would be most of a worker's memory."""
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, "right")))
+        first = start[i]
+        out[i:j] = range_hash(range_sums(BYTE[a[first : end[j - 1]]], BASES[0]), start[i:j] - first, end[i:j] - first, BASES[0])
+        i = j
+    return out
+
+
 def word_hashes(texts: list[bytes], fold: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hash, text number, first and past-the-last byte of every word, and the buffer they refer to.
 
@@ -59,4 +72,4 @@ def word_hashes(texts: list[bytes], fold: bytes | None = None) -> tuple[np.ndarr
     start, end = edge[0::2], edge[1::2]
     first = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
     owner = np.searchsorted(first, start, "right") - 1
-    return range_hash(range_sums(BYTE[a], BASES[0]), start, end, BASES[0]), owner, start, end, buffer
+    return _byte_hashes(a, start, end), owner, start, end, buffer
